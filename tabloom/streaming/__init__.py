@@ -1,0 +1,4 @@
+"""Deliberately empty: no listed operator reads a stream, keeps state or waits
+for late data.  The nearest one, the gap-filled daily mean, is a batch
+aggregation in :mod:`tabloom.operators.charts`.
+"""
