@@ -27,6 +27,11 @@ def _rows(row_df: DataFrame, pairs: list[Pair], fields: dict) -> DataFrame:
     return row_df.select(F.inline(F.array(*items)))
 
 
+def _correlation(x, y):
+    """Null instead of a division by zero where either side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pair_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     """(pair, a, b, n): rows where both are present; all pairs in one pass."""
     both = lambda a, b: F.count(F.when(quoted_col(a).isNotNull() & quoted_col(b).isNotNull(), 1))
@@ -40,8 +45,7 @@ def pearson(df: DataFrame, pairs: list[Pair]) -> DataFrame:
         x, y = quoted_col(a).cast("double"), quoted_col(b).cast("double")
         ok = x.isNotNull() & y.isNotNull()
         x, y = F.when(ok, x), F.when(ok, y)
-        r = F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
-        aggs += [F.count(x).alias(f"n{i}"), r.alias(f"r{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), _correlation(x, y).alias(f"r{i}")]
     return _rows(df.agg(*aggs), pairs, {"n": "long", "r": "double"})
 
 
@@ -80,8 +84,7 @@ def _rank_correlations(base: DataFrame, pairs, columns: list[str], bounds, rows:
     aggs = []
     for i, a, b in pairs:
         x, y = F.col(f"rank_{a}"), F.col(f"rank_{b}")
-        r = F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
-        aggs += [F.count(x).alias(f"n{i}"), r.alias(f"r{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), _correlation(x, y).alias(f"r{i}")]
     items = [
         F.struct(F.lit(i).alias("pair"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, _, _ in pairs
     ]
