@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.sampling import order_hash
 from tabloom.operators.ranking import lookup, ordered_counts, quoted_col
+from tabloom.session import scratch_path
 from tabloom.settings import DEFAULTS, Settings
 
 FEATURES = 1 << 16
@@ -48,6 +49,14 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
     return marked.withColumn("part", part).drop("_label", "_h", "_edge")
 
 
+def written_split(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """The split as a written table: training reads it many times, and a filter
+    on ``part`` prunes the other part's files."""
+    path = scratch_path(df.sparkSession, "split")
+    stratified_split(df, label, keys).where("part is not null").write.partitionBy("part").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_pipeline(kind: str, text: str, label: str) -> Pipeline:
     steps = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
@@ -87,8 +96,8 @@ class ModelScorer:
         shown = F.create_map(*[F.lit(x) for k, v in self.names.items() for x in (float(k), v)])
         scored = self.model.transform(texts.withColumn(self.text, F.coalesce(quoted_col(column), F.lit(""))))
         return scored.select(
-            *[quoted_col(c) for c in texts.columns], shown[F.col("prediction")].alias("raw_label"),
-            F.array_max(vector_to_array("probability")).alias("score"),
+            *[quoted_col(c) for c in texts.columns], shown[F.col("prediction")].alias("_raw_label"),
+            F.array_max(vector_to_array("probability")).alias("_raw_score"),
         )
 
     def score(self, texts: DataFrame, column: str) -> DataFrame:
@@ -97,8 +106,8 @@ class ModelScorer:
     def opinion(self, texts: DataFrame, column: str) -> DataFrame:
         top = self._top(texts, column)
         return top.withColumns({
-            "is_opinion": F.col("raw_label").isin(*self.opinion_labels).cast("int"), "opinion_score": F.col("score"),
-        }).drop("raw_label", "score")
+            "_is_opinion": F.col("_raw_label").isin(*self.opinion_labels).cast("int"), "_opinion_score": F.col("_raw_score"),
+        }).drop("_raw_label", "_raw_score")
 
 
 def class_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -137,7 +146,7 @@ def metrics(df: DataFrame, label: str, prediction: str, positive: str | None = N
 
 def train_and_score(df: DataFrame, text: str, label: str, keys: list[str], kind: str) -> DataFrame:
     """(model, n, accuracy, precision, recall, f1, train_time) on the held-out part."""
-    split = stratified_split(df.dropna(subset=[text, label]), label, keys)
+    split = written_split(df.dropna(subset=[text, label]), label, keys)
     started = time.time()
     model = train(split.where("part = 'train'"), text, label, kind)
     spent = time.time() - started

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text as tx
 from tabloom.functions.sampling import sample_per_column
-from tabloom.operators.facts import column_facts, physical_classes, unpivoted
+from tabloom.operators.facts import column_facts, constant_columns, physical_classes, unpivoted
 from tabloom.operators.ranking import column_bounds, lookup, ordered_counts, quoted_col, with_bucket
 from tabloom.settings import DEFAULTS, ID_NAME, IDENTITY_NAME, PROSE_WORDS, TIME_NAME, Settings
 
@@ -147,13 +147,8 @@ def drop_constant(df: DataFrame, nulls_count: bool = False, protected: set[str]
 
     ``nulls_count`` treats null as a value (the rule after feature building).
     """
-    rows = column_facts(df).select("column", "n_unique", "n_rows", "non_null").collect()
-    constant = []
-    for r in rows:
-        distinct = r["n_unique"] + (1 if nulls_count and r["non_null"] < r["n_rows"] else 0)
-        if distinct <= 1 and r["column"] not in protected:
-            constant.append(r["column"])
-    return df.drop(*constant)
+    gone = [c for c in constant_columns(df, nulls_count=nulls_count) if c not in protected]
+    return df.drop(*gone)
 
 
 def drop_identity_names(df: DataFrame) -> DataFrame:
@@ -233,7 +228,7 @@ def encode_first_seen(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     firsts = (
         df.where(quoted_col(column).isNotNull())
         .groupBy(quoted_col(column).alias("_v"))
-        .agg(F.min(F.struct(*[quoted_col(k) for k in keys])).alias("_first"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.min(F.struct(*[quoted_col(k).alias(k) for k in keys])).alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("n", F.lit(1))
         .withColumn("_x", F.col("_first").getField(order).cast("double"))
     )
@@ -241,8 +236,8 @@ def encode_first_seen(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     # value then struct: the bucket needs a number, the order inside it the whole key
     placed = ordered_counts(_bucketed(firsts, known.cuts), "_first")
     distinct = df.agg(F.approx_count_distinct(quoted_col(column))).first()[0]
-    codes = placed.select(F.col("_v").alias(column), F.col("before").cast("int").alias("_code"), "rows")
-    joined = lookup(df, codes, [column], ["_code"], known.non_null, distinct, weight="rows")
+    codes = placed.select(F.col("_v").alias(column), F.col("before").cast("int").alias("_code"), "_rows")
+    joined = lookup(df, codes, [column], ["_code"], known.non_null, distinct, weight="_rows")
     return joined.select(*[
         (F.col("_code") if c == column else quoted_col(c)).alias(c) for c in df.columns
     ])

@@ -105,3 +105,23 @@ def column_facts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def unique_fraction() -> "F.Column":
     return F.when(F.col("non_null") > 0, F.col("n_unique") / F.col("non_null")).otherwise(F.lit(0.0))
+
+
+def constant_columns(df: DataFrame, columns: list[str] | None = None, nulls_count: bool = False) -> list[str]:
+    """Columns with at most one distinct value; ``nulls_count`` treats null as one.
+
+    Minimum, maximum and counts in one aggregation settle it: no shuffle of
+    values, no distinct count.
+    """
+    columns = columns or df.columns
+    aggs = []
+    for i, c in enumerate(columns):
+        x = quoted_col(c)
+        aggs += [F.min(x).eqNullSafe(F.max(x)).alias(f"same{i}"), (F.count(x) < F.count(F.lit(1))).alias(f"holes{i}"),
+                 (F.count(x) == 0).alias(f"empty{i}")]
+    row = df.agg(*aggs).first()
+    out = []
+    for i, c in enumerate(columns):
+        if row[f"empty{i}"] or (row[f"same{i}"] and not (nulls_count and row[f"holes{i}"])):
+            out.append(c)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import text as tx
+from tabloom.operators.cleaning import drop_constant
 from tabloom.operators.facts import column_facts, physical_class, physical_classes
 from tabloom.operators.ranking import column_bounds, lookup, median, quoted_col
 from tabloom.settings import DEFAULTS, Settings
@@ -65,10 +66,9 @@ def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
         return df
     coerced = df.withColumns({c: to_number(df, c) for c in columns})
     bounds = column_bounds(coerced, columns)
-    rows = coerced.agg(F.count(F.lit(1))).first()[0]
     fixes = {}
     for c in columns:
-        if 0 < bounds[c].non_null < rows:
+        if 0 < bounds[c].non_null and not bounds[c].complete:
             fixes[c] = F.coalesce(quoted_col(c), median(coerced, c, bounds[c]))
     return coerced.withColumns(fixes) if fixes else coerced
 
@@ -161,10 +161,9 @@ def frequency_encode(df: DataFrame, columns: list[str], cfg: Settings = DEFAULTS
     ).first()
     out = df
     for i, c in enumerate(columns):
-        table = frequencies(df, c, cfg).select(F.col("v").alias("_key"), F.col("freq").alias(f"{c}_freq"), "n")
+        table = frequencies(df, c, cfg).select(F.col("v").alias("_key"), F.col("freq").alias("_freq"), "n")
         keyed = out.withColumn("_key", as_category(c, cfg))
-        found = lookup(keyed, table.withColumnRenamed(f"{c}_freq", "_freq"), ["_key"], ["_freq"],
-                       sizes["rows"], sizes[f"d{i}"])
+        found = lookup(keyed, table, ["_key"], ["_freq"], sizes["rows"], sizes[f"d{i}"])
         out = found.withColumnRenamed("_freq", f"{c}_freq").drop("_key")
     return out
 
@@ -351,7 +350,7 @@ def engineer(df: DataFrame, tags: dict[str, str], targets: list[str], cfg: Setti
 def prune(df: DataFrame, meta: dict, targets: list[str]) -> tuple[DataFrame, dict]:
     """Drops constant and duplicate columns of the *written* feature table and
     completes the metadata with the lineage of what is left."""
-    out = drop_constant_features(df, set(targets))
+    out = drop_constant(df, nulls_count=True, protected=set(targets))
     out = drop_duplicate_columns(out, set(targets))
     links = lineage(out.columns, meta["kinds"])
     return out, {
@@ -359,20 +358,3 @@ def prune(df: DataFrame, meta: dict, targets: list[str]) -> tuple[DataFrame, dic
         "lineage": links,
         "feature_columns": [c for c in out.columns if c not in meta["original_columns"]],
     }
-
-
-def drop_constant_features(df: DataFrame, protected: set[str]) -> DataFrame:
-    """Null counts as a value here; min, max and null counts in one aggregation
-    settle it without a distinct count."""
-    aggs = []
-    for i, c in enumerate(df.columns):
-        aggs += [F.min(quoted_col(c)).alias(f"a{i}"), F.max(quoted_col(c)).alias(f"b{i}"),
-                 F.count(quoted_col(c)).alias(f"n{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-    gone = []
-    for i, c in enumerate(df.columns):
-        n = row[f"n{i}"]
-        same = n == 0 or (n == row["rows"] and row[f"a{i}"] == row[f"b{i}"])
-        if same and c not in protected:
-            gone.append(c)
-    return df.drop(*gone)

@@ -21,11 +21,21 @@ HOT_SHARE = 1000          # a key with over 1/1000 of all rows is hot: at most 1
 
 @dataclass(frozen=True)
 class ColumnBounds:
+    rows: int
     non_null: int
     approx_distinct: int
     cuts: tuple[float, ...]
     mean: float | None = None
 
+    @property
+    def complete(self) -> bool:
+        return self.rows == self.non_null
+
+    @property
+    def few(self) -> bool:
+        """Few enough distinct values for a broadcast or for one small window."""
+        return self.approx_distinct <= BROADCAST_ROWS
+
 
 def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, ColumnBounds]:
     """Decision action: row counts, cardinality and range cuts of numeric columns.
@@ -45,11 +55,11 @@ def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, ColumnBounds]:
             F.percentile_approx(c.cast("double"), probs, 20 * buckets).alias(f"q{i}"),
             F.avg(c.cast("double")).alias(f"m{i}"),
         ]
-    row = df.agg(*aggs).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     out = {}
     for i, name in enumerate(wanted):
         cuts = tuple(sorted({q for q in (row[f"q{i}"] or []) if q is not None and q == q}))
-        out[name] = ColumnBounds(row[f"n{i}"], row[f"d{i}"], cuts, row[f"m{i}"])
+        out[name] = ColumnBounds(row["rows"], row[f"n{i}"], row[f"d{i}"], cuts, row[f"m{i}"])
     return out
 
 
@@ -105,12 +115,47 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     )
 
 
-def average_ranks(df: DataFrame, value: str, bounds: ColumnBounds) -> DataFrame:
-    """(value, n, rank): average rank of every distinct value."""
-    counted = with_bucket(value_counts(df, value), value, bounds.cuts)
-    return ordered_counts(counted, value).select(
-        quoted_col(value), "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank")
+def placed_counts(df: DataFrame, value: str, bounds: ColumnBounds, by: list[str] | None = None) -> DataFrame:
+    """(by..., value, n, before).  Few values are ordered by one small window per
+    group, many by value ranges."""
+    counted = value_counts(df, value, by)
+    if bounds.few and not by:
+        below = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    return ordered_counts(with_bucket(counted, value, bounds.cuts), value, by)
+
+
+def with_rank(rows: DataFrame, value: str, bounds: ColumnBounds, out: str) -> DataFrame:
+    """Adds the average rank of a numeric column that holds no nulls.
+
+    Few distinct values: a rank table is broadcast and the rows are not
+    shuffled.  Many: rows are cut into value ranges and ranked inside each by one
+    shuffle and one sort.  Every cut is a range of its own, so a value that fills
+    whole quantiles is never sorted: its rank follows from counts, and its rows
+    are only spread by a salt.
+    """
+    if bounds.few:
+        ranks = placed_counts(rows, value, bounds).select(
+            value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+        return rows.join(F.broadcast(ranks), value, "left")
+    ranged = with_bucket(rows, value, bounds.cuts)
+    cut = F.try_element_at(F.array(*[F.lit(c) for c in bounds.cuts]), F.greatest(F.col("_bucket").cast("int"), F.lit(1)))
+    at_cut = F.coalesce((F.col("_bucket") > 0) & (F.col(value).cast("double") == cut), F.lit(False))
+    ranged = ranged.withColumn("_point", at_cut.cast("int"))
+    sizes = ranged.groupBy("_bucket", "_point").agg(F.count(F.lit(1)).alias("_size"))
+    # at most two rows per cut; a cut comes before the rest of its range
+    earlier = (
+        Window.partitionBy(F.lit(0)).orderBy("_bucket", F.desc("_point")).rowsBetween(Window.unboundedPreceding, -1)
     )
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    spread = F.pmod(F.xxhash64(*[quoted_col(c) for c in rows.columns]), F.lit(4096))
+    ranged = ranged.withColumn("_salt", F.when(F.col("_point") == 1, spread).otherwise(F.lit(0)))
+    inside = Window.partitionBy("_bucket", "_point", "_salt").orderBy(value)
+    up_to = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumns({"_low": F.rank().over(inside), "_high": F.count(F.lit(1)).over(up_to)})
+    placed = ranked.join(F.broadcast(offsets), ["_bucket", "_point"])
+    local = F.when(F.col("_point") == 1, (F.col("_size") + 1) / 2.0).otherwise((F.col("_low") + F.col("_high")) / 2.0)
+    return placed.withColumn(out, F.col("_offset") + local).select(*[quoted_col(c) for c in rows.columns], out)
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
@@ -120,13 +165,14 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     One output row per group (a single row without groups).
     """
     by = by or []
-    bounds = bounds or column_bounds(df, [value])[value]
-    counted = with_bucket(value_counts(df, value, by), value, bounds.cuts)
-    placed = ordered_counts(counted, value, by)
-    totals = counted.groupBy(*by).agg(F.sum("n").alias("_total"))
-    placed = placed.join(totals, by) if by else placed.withColumn("_total", totals.select("_total").scalar())
+    groups = [f"_g{i}" for i in range(len(by))]
+    narrow = df.select(quoted_col(value).alias("_v"), *[quoted_col(b).alias(g) for b, g in zip(by, groups)])
+    bounds = bounds or column_bounds(narrow, ["_v"])["_v"]
+    placed = placed_counts(narrow, "_v", bounds, groups)
+    totals = value_counts(narrow, "_v", groups).groupBy(*groups).agg(F.sum("n").alias("_total"))
+    placed = placed.join(totals, groups) if by else placed.withColumn("_total", totals.select("_total").scalar())
     out = []
-    x = quoted_col(value).cast("double")
+    x = F.col("_v").cast("double")
     for i, p in enumerate(probs):
         h = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.floor(h), F.ceil(h)
@@ -135,7 +181,9 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
         at_high = F.max(F.when(covers(high), x))
         weight = F.max(h - low)
         out.append((at_low + (at_high - at_low) * weight).alias(f"q{i}"))
-    return placed.groupBy(*by).agg(*out) if by else placed.agg(*out)
+    if not by:
+        return placed.agg(*out)
+    return placed.groupBy(*groups).agg(*out).withColumnsRenamed(dict(zip(groups, by)))
 
 
 def median(df: DataFrame, value: str, bounds: ColumnBounds | None = None) -> Column:

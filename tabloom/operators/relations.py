@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tabloom.functions import text as tx
 from tabloom.functions.special import p_value_udf
 from tabloom.operators import stats
-from tabloom.operators.facts import column_facts
+from tabloom.operators.facts import column_facts, constant_columns, physical_classes
 from tabloom.operators.ranking import quoted_col
 from tabloom.settings import DEFAULTS, Settings
 
@@ -34,12 +34,19 @@ def effective_type_rule() -> Column:
 
 
 def type_facts(df: DataFrame, columns: list[str] | None = None) -> list[dict]:
-    """Decision action: (column, kind, constant) of each column."""
-    rows = column_facts(df, columns).select(
-        "column", effective_type_rule().alias("kind"),
-        (F.col("n_unique") + (F.col("non_null") < F.col("n_rows")).cast("int") <= 1).alias("constant"),
-    )
-    return [r.asDict() for r in rows.collect()]
+    """Decision action: column, kind and constancy of each column.
+
+    Only string columns need counts per value; the rest follows from the schema.
+    """
+    columns = columns or df.columns
+    constant = set(constant_columns(df, columns, nulls_count=True))
+    kinds = physical_classes(df)
+    found = {c: "datetime" if kinds[c] == "datetime" else "numeric" for c in columns if kinds[c] != "string"}
+    textual = [c for c in columns if kinds[c] == "string"]
+    if textual:
+        rows = column_facts(df, textual).select("column", effective_type_rule().alias("kind")).collect()
+        found.update({r["column"]: r["kind"] for r in rows})
+    return [{"column": c, "kind": found[c], "constant": c in constant} for c in columns]
 
 
 def parent_map(links: list[tuple[str, str, int]], existing: list[dict] = ()) -> dict[str, str]:

@@ -28,10 +28,10 @@ class Scorer(Protocol):
     columnar: bool
 
     def score(self, texts: DataFrame, column: str) -> DataFrame:
-        """Adds ``raw_label`` and ``score``."""
+        """Adds ``_raw_label`` and ``_raw_score``."""
 
     def opinion(self, texts: DataFrame, column: str) -> DataFrame:
-        """Adds ``is_opinion`` and ``opinion_score``."""
+        """Adds ``_is_opinion`` and ``_opinion_score``."""
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,8 @@ class LexiconScorer:
         p, q = F.col("_pos"), F.col("_neg")
         counted = texts.withColumns({"_pos": pos, "_neg": neg})
         return counted.withColumns({
-            "raw_label": F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral"),
-            "score": F.when(p + q > 0, F.abs(p - q) / (p + q)).otherwise(F.lit(0.0)),
+            "_raw_label": F.when(p > q, "positive").when(q > p, "negative").otherwise("neutral"),
+            "_raw_score": F.when(p + q > 0, F.abs(p - q) / (p + q)).otherwise(F.lit(0.0)),
         }).drop("_pos", "_neg")
 
     def opinion(self, texts: DataFrame, column: str) -> DataFrame:
@@ -57,8 +57,8 @@ class LexiconScorer:
         p, q = F.col("_pos"), F.col("_neg")
         counted = texts.withColumns({"_pos": pos, "_neg": neg})
         return counted.withColumns({
-            "is_opinion": (p + q > 0).cast("int"),
-            "opinion_score": F.when(p + q > 0, F.abs(p - q) / (p + q)).otherwise(F.lit(0.0)),
+            "_is_opinion": (p + q > 0).cast("int"),
+            "_opinion_score": F.when(p + q > 0, F.abs(p - q) / (p + q)).otherwise(F.lit(0.0)),
         }).drop("_pos", "_neg")
 
 
@@ -151,8 +151,8 @@ def opinion_gate(sample: DataFrame, scorer: Scorer, cfg: Settings = DEFAULTS) ->
     return (
         scored.groupBy("column")
         .agg(
-            F.avg(F.col("is_opinion")).alias("opinion_frac"),
-            F.coalesce(F.avg(F.when(F.col("is_opinion") == 1, F.col("opinion_score"))), F.lit(0.0)).alias("mean_conf"),
+            F.avg(F.col("_is_opinion")).alias("opinion_frac"),
+            F.coalesce(F.avg(F.when(F.col("_is_opinion") == 1, F.col("_opinion_score"))), F.lit(0.0)).alias("mean_conf"),
         )
         .withColumn("passes", F.col("opinion_frac") >= cfg.opinion_share)
     )
@@ -193,26 +193,26 @@ def annotate(df: DataFrame, columns: list[str], scorer: Scorer, cfg: Settings =
             out = scorer.score(out, "_clean")
             out = _label_columns(out, c, cfg).drop("_clean")
         return out
-    distinct = score_distinct(df, columns, scorer).select("key", "raw_label", "score", "n")
+    distinct = score_distinct(df, columns, scorer).select(F.col("key").alias("_key"), "_raw_label", "_raw_score", "n")
     totals = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.approx_count_distinct(quoted_col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
     ).first()
     size = sum(totals[f"d{i}"] for i in range(len(columns)))
     for c in columns:
-        keyed = out.withColumn("key", tx.value_key(tx.clean_text(quoted_col(c))))
-        out = lookup(keyed, distinct, ["key"], ["raw_label", "score"], totals["rows"] * len(columns), size)
-        out = _label_columns(out, c, cfg).drop("key")
+        keyed = out.withColumn("_key", tx.value_key(tx.clean_text(quoted_col(c))))
+        out = lookup(keyed, distinct, ["_key"], ["_raw_label", "_raw_score"], totals["rows"] * len(columns), size)
+        out = _label_columns(out, c, cfg).drop("_key")
     return out
 
 
 def _label_columns(df: DataFrame, c: str, cfg: Settings) -> DataFrame:
-    label = row_label(F.col("raw_label"), F.col("score"), cfg)
+    label = row_label(F.col("_raw_label"), F.col("_raw_score"), cfg)
     return (
         df.withColumn(f"{c}_sentiment", label)
         .withColumn(f"{c}_sentiment_num", lb.label_code(quoted_col(f"{c}_sentiment")))
-        .withColumn(f"{c}_sentiment_confidence", F.col("score"))
-        .drop("raw_label", "score")
+        .withColumn(f"{c}_sentiment_confidence", F.col("_raw_score"))
+        .drop("_raw_label", "_raw_score")
     )
 
 

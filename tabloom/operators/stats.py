@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
-from tabloom.operators.ranking import average_ranks, column_bounds, lookup, quoted_col
+from tabloom.operators.ranking import column_bounds, lookup, quoted_col, with_rank
 from tabloom.settings import DEFAULTS, Settings
 
 Pair = tuple[str, str]
@@ -59,28 +59,24 @@ def spearman(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     base = df.select(*[quoted_col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     bounds = column_bounds(base, base.columns)
-    rows = base.agg(F.count(F.lit(1))).first()[0]
-    whole = {c for c in columns if bounds[at[c]].non_null == rows}
-    shared = [(i, p) for i, p in enumerate(pairs) if set(p) <= whole]
-    parts = []
-    if shared:
-        needed = [c for c in columns if any(c in p for _, p in shared)]
-        parts.append(_rank_correlations(base, [(i, at[a], at[b]) for i, (a, b) in shared], [at[c] for c in needed], bounds, rows))
+    whole = {c for c in columns if bounds[at[c]].complete}
+    shared = [(i, at[a], at[b]) for i, (a, b) in enumerate(pairs) if {a, b} <= whole]
+    parts = [_rank_correlations(base, shared, bounds)] if shared else []
     for i, (a, b) in enumerate(pairs):
         if not {a, b} <= whole:
-            sub = base.select(at[a], at[b]).where(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull())
-            parts.append(_rank_correlations(sub, [(i, at[a], at[b])], [at[a], at[b]], column_bounds(sub, [at[a], at[b]]), rows))
+            both = base.select(at[a], at[b]).where(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull())
+            parts.append(_rank_correlations(both, [(i, at[a], at[b])], column_bounds(both, [at[a], at[b]])))
     out = reduce(DataFrame.unionByName, parts)
     left = F.create_map(*[x for i, (a, _) in enumerate(pairs) for x in (F.lit(i), F.lit(a))])
     right = F.create_map(*[x for i, (_, b) in enumerate(pairs) for x in (F.lit(i), F.lit(b))])
     return out.select("pair", left[F.col("pair")].alias("a"), right[F.col("pair")].alias("b"), "n", "r")
 
 
-def _rank_correlations(base: DataFrame, pairs, columns: list[str], bounds, rows: int) -> DataFrame:
+def _rank_correlations(base: DataFrame, pairs, bounds) -> DataFrame:
+    columns = list(dict.fromkeys(c for _, a, b in pairs for c in (a, b)))
     ranked = base.select(*columns)
     for c in columns:
-        table = average_ranks(base, c, bounds[c]).withColumnRenamed("rank", f"rank_{c}")
-        ranked = lookup(ranked, table, [c], [f"rank_{c}"], rows, bounds[c].approx_distinct)
+        ranked = with_rank(ranked, c, bounds[c], f"rank_{c}")
     aggs = []
     for i, a, b in pairs:
         x, y = F.col(f"rank_{a}"), F.col(f"rank_{b}")

@@ -129,7 +129,7 @@ def row_meta(spark, sf):
 @query("drop_constant_features", _kept_sql("lineitem", _LINE_EXTRA, nulls=True))
 def drop_constant_features(spark, sf):
     li = with_constants(spark, sf)
-    return _names(ft.drop_constant_features(li, set()), li)
+    return _names(ft.drop_constant(li, nulls_count=True), li)
 
 
 _COPIES = {"line_copy": "CAST(l_linenumber AS DOUBLE)", "flag_copy": "l_returnflag", "line_text": "CAST(l_linenumber AS VARCHAR)"}

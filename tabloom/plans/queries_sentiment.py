@@ -162,7 +162,7 @@ GROUP BY ALL
 def sentiment_score_dedup(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     scored = st.score_distinct(docs, ["text"], SCORER)
-    return scored.select(F.md5("clean").alias("h"), "raw_label", r6("score").alias("score"), "n")
+    return scored.select(F.md5("clean").alias("h"), F.col("_raw_label").alias("raw_label"), r6("_raw_score").alias("score"), "n")
 
 
 _ANNOTATED = f"""
@@ -272,7 +272,7 @@ def _training_rows(spark, sf):
 
 @query("train_text_classifier")
 def train_text_classifier(spark, sf):
-    rows = cf.stratified_split(_training_rows(spark, sf), "quality", ["doc_id"])
+    rows = cf.written_split(_training_rows(spark, sf), "quality", ["doc_id"])
     model = cf.train(rows.where("part = 'train'"), "text", "quality")
     held_out = cf.predict(model, rows.where("part = 'test'"), ["doc_id", "quality"])
     return held_out.select("doc_id", "quality", F.col("prediction").cast("int").alias("prediction"))
