@@ -80,7 +80,10 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     aggs = []
     for i, c in enumerate(columns):
         x = quoted_col(c).cast("double")
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"p{i}"), F.stddev_samp(x).alias(f"s{i}")]
+        # a merged variance of equal values can differ from zero by rounding
+        varies = F.min(x) < F.max(x)
+        aggs += [F.avg(x).alias(f"m{i}"), F.when(varies, F.stddev_pop(x)).otherwise(0.0).alias(f"p{i}"),
+                 F.when(varies, F.stddev_samp(x)).otherwise(0.0).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {c: {"mean": row[f"m{i}"], "pop": row[f"p{i}"], "std": row[f"s{i}"]} for i, c in enumerate(columns)}
 

@@ -28,8 +28,13 @@ def _rows(row_df: DataFrame, pairs: list[Pair], fields: dict) -> DataFrame:
 
 
 def _correlation(x, y):
-    """Null instead of a division by zero where either side is constant."""
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    """Null where either side is constant.
+
+    Constancy is read from minimum and maximum: a merged variance of equal
+    values can differ from zero by rounding.
+    """
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def pair_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
@@ -97,7 +102,7 @@ def spearman_time_hour(df: DataFrame, pairs: list[Pair]) -> DataFrame:
 
 
 def group_moments(df: DataFrame, pairs: list[Pair]) -> DataFrame:
-    """(pair, g, n, mean, var) for (numeric, category) pairs, both present.
+    """(pair, g, n, mean, var, lo, hi) for (numeric, category) pairs, both present.
 
     All pairs in one aggregation; a hot group is combined before the shuffle.
     """
@@ -112,7 +117,9 @@ def group_moments(df: DataFrame, pairs: list[Pair]) -> DataFrame:
         df.select(F.inline(F.array(*items)))
         .where("g is not null and y is not null")
         .groupBy("pair", "g")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"),
+             F.min("y").alias("lo"), F.max("y").alias("hi"))
+        .withColumn("var", F.when(F.col("lo") < F.col("hi"), F.col("var")).otherwise(F.lit(0.0)))
     )
 
 
@@ -136,6 +143,7 @@ def anova(df: DataFrame, pairs: list[Pair]) -> DataFrame:
         F.sum(n * F.col("var")).alias("_within"),
         F.max("mean").alias("top_mean"),
         F.min("mean").alias("bottom_mean"),
+        (F.min("lo") < F.max("hi")).alias("_varies"),
     )
     total = F.col("_between") + F.col("_within")
     usable = (F.col("n") >= 10) & (F.col("groups") >= 2)
@@ -145,8 +153,8 @@ def anova(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     ratio = (F.col("_between") / df1) / F.nullif(F.col("_within") / F.nullif(df2, F.lit(0)), F.lit(0.0))
     return per_pair.select(
         "pair", left[F.col("pair")].alias("a"), right[F.col("pair")].alias("b"), "n", "groups",
-        F.when(usable, F.when(total > 0, F.col("_between") / F.when(total > 0, total)).otherwise(0.0)).alias("effect"),
-        F.when(usable & (df2 > 0), F.when((F.col("_within") == 0) & (F.col("_between") > 0), F.lit(float("inf")))
+        F.when(usable, F.when(F.col("_varies"), F.col("_between") / total).otherwise(0.0)).alias("effect"),
+        F.when(usable & (df2 > 0) & F.col("_varies"), F.when((F.col("_within") == 0) & (F.col("_between") > 0), F.lit(float("inf")))
                .otherwise(ratio)).alias("f"),
         df1.cast("double").alias("df1"), df2.cast("double").alias("df2"), "top_mean", "bottom_mean",
     )

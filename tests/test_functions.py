@@ -23,7 +23,7 @@ def test_text_edges(spark):
     upper = values(spark, rows, tx.upper_ratio(c))
     assert upper[:2] == [0, 0] and upper[4] == 1 and upper[7] == pytest.approx(0.5)
     assert values(spark, rows, tx.clean_text(c)) == [
-        "", "", "", "a a b", "HELLO", "see and", "smile", "b", "one two three"]
+        "", "", "", "a a b", "HELLO", "see and www", "smile", "b", "one two three"]
 
 
 def test_numbers_and_dates(spark):
