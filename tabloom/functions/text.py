@@ -103,12 +103,19 @@ def as_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
 
 
-def as_timestamp(c: Column) -> Column:
-    """Timestamp (without zone) of a string cell, or null."""
-    tried = [F.when(c.rlike(ISO_DATE), F.trim(c).try_cast("timestamp_ntz"))]
+def timestamp_sql(x: str) -> str:
+    """SQL expression: timestamp (without zone) of a string cell, or null."""
+    literal = lambda t: "r'" + t + "'"
+    tried = [f"CASE WHEN {x} RLIKE {literal(ISO_DATE)} THEN try_cast(trim({x}) AS TIMESTAMP_NTZ) END"]
     for guard, layout in OTHER_DATES:
-        tried.append(F.when(c.rlike(guard), F.try_to_timestamp(c, F.lit(layout)).cast("timestamp_ntz")))
-    return F.coalesce(*tried)
+        tried.append(
+            f"CASE WHEN {x} RLIKE {literal(guard)} THEN CAST(try_to_timestamp({x}, '{layout}') AS TIMESTAMP_NTZ) END")
+    return f"coalesce({', '.join(tried)})"
+
+
+def as_timestamp(name: str) -> Column:
+    """Timestamp of the named string column, or null."""
+    return F.expr(timestamp_sql("`" + name.replace("`", "``") + "`"))
 
 
 def value_key(c: Column) -> Column:

@@ -164,7 +164,7 @@ def normalize_datetimes(df: DataFrame) -> DataFrame:
     facts = [{**r.asDict(), "is_id": False} for r in column_facts(df, named).collect()]
     dropped = {c: why for c, why in decide_drops(facts, set()).items() if why in ("single day",)}
     out = df.drop(*dropped)
-    fixes = {c: tx.as_timestamp(quoted_col(c)) for c in datetime_columns(facts, dropped)}
+    fixes = {c: tx.as_timestamp(c) for c in datetime_columns(facts, dropped)}
     return out.withColumns(fixes) if fixes else out
 
 
@@ -259,7 +259,7 @@ def clean(df: DataFrame, keys: list[str], file: str, primary: str, secondary, ta
     dropped = decide_drops(facts, {primary, *secondary}, cfg)
     dates = datetime_columns(facts, dropped)
     if dates:
-        df = df.withColumns({c: tx.as_timestamp(quoted_col(c)) for c in dates})
+        df = df.withColumns({c: tx.as_timestamp(c) for c in dates})
     row_keys = [k for k in keys if k in dropped]
     out = df.drop(*[c for c in dropped if c not in row_keys])
     by_name = {f["column"]: f for f in facts}

@@ -30,17 +30,22 @@ def physical_classes(df: DataFrame) -> dict[str, str]:
     return {f.name: physical_class(f.dataType) for f in df.schema.fields}
 
 
-def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(keys..., column, value) with every cell as a string; nulls kept."""
+def _slotted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., slot, value): every cell as a string with its column number."""
     keys = keys or []
-    safe = [f"_c{i}" for i in range(len(columns))]
     wide = df.select(
         *[quoted_col(k).alias(k) for k in keys],
-        *[quoted_col(c).cast("string").alias(s) for c, s in zip(columns, safe)],
+        *[quoted_col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(columns)],
     )
-    long = wide.unpivot(keys, safe, "_slot", "value")
-    names = F.create_map(*[F.lit(x) for pair in zip(safe, columns) for x in pair])
-    return long.select(*keys, names[F.col("_slot")].alias("column"), "value")
+    pairs = ", ".join(f"{i}, _c{i}" for i in range(len(columns)))
+    return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (slot, value)")
+
+
+def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., column, value) with every cell as a string; nulls kept."""
+    long = _slotted(df, columns, keys)
+    names = F.array(*[F.lit(c) for c in columns])[F.col("slot")]
+    return long.select(*(keys or []), names.alias("column"), "value")
 
 
 def column_facts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -52,55 +57,51 @@ def column_facts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     columns = columns or df.columns
     kinds = physical_classes(df)
-    textual = [c for c in columns if kinds[c] == "string"]
-    dated = textual + [c for c in columns if kinds[c] == "datetime"]
-    v = F.col("value")
-    for_text = F.col("column").isin(textual) & v.isNotNull() if textual else F.lit(False)
-
-    def flag(cond):
-        return F.when(for_text, cond.cast("int"))
-
-    cells = unpivoted(df, columns).select(
-        "column",
-        tx.value_key(v).alias("key"),
-        F.length(v).alias("len"),
-        F.when(for_text, tx.word_count(v)).alias("words"),
-        F.when(F.col("column").isin(dated), F.to_date(tx.as_timestamp(v))).alias("day"),
-        flag(tx.as_timestamp(v).isNotNull()).alias("ts"),
-        flag(tx.as_number(v).isNotNull()).alias("number"),
-        F.when(v.isNotNull(), v.rlike(tx.PLAIN_DECIMAL).cast("int")).alias("digits"),
-        flag(v.rlike("^[A-Za-z0-9_-]+$")).alias("alnum"),
-        flag(v.rlike(r"\s")).alias("space"),
+    number = {c: i for i, c in enumerate(columns)}
+    numbers = lambda wanted: ", ".join(str(number[c]) for c in columns if kinds[c] in wanted) or "-1"
+    text = f"slot IN ({numbers(('string',))}) AND value IS NOT NULL"
+    stamp = tx.timestamp_sql("value")
+    # SQL text: one call per expression keeps plan building cheap
+    cells = _slotted(df, columns).selectExpr(
+        "slot",
+        "CASE WHEN length(value) > 64 THEN concat('#', sha2(value, 256)) ELSE value END AS key",
+        "length(value) AS len",
+        rf"CASE WHEN {text} THEN size(array_remove(split(value, r'\s+'), '')) END AS words",
+        f"CASE WHEN slot IN ({numbers(('string', 'datetime'))}) THEN to_date({stamp}) END AS day",
+        f"CASE WHEN {text} THEN CAST({stamp} IS NOT NULL AS INT) END AS ts",
+        f"CASE WHEN {text} THEN CAST(value RLIKE r'{tx.NUMBER}' AS INT) END AS number",
+        f"CAST(value RLIKE r'{tx.PLAIN_DECIMAL}' AS INT) AS digits",
+        f"CASE WHEN {text} THEN CAST(value RLIKE '^[A-Za-z0-9_-]+$' AS INT) END AS alnum",
+        rf"CASE WHEN {text} THEN CAST(value RLIKE r'\s' AS INT) END AS space",
     )
-    measures = ["len", "words", "ts", "number", "digits", "alnum", "space"]
-    per_value = cells.groupBy("column", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("day").alias("day"), *[F.max(m).alias(m) for m in measures]
-    )
-    seen = F.col("key").isNotNull()
-    n = F.col("n").cast("double")
-    non_null = F.sum(F.when(seen, F.col("n")).otherwise(0))
+    measures = ["day", "len", "words", "ts", "number", "digits", "alnum", "space"]
+    per_value = cells.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), *[F.max(m).alias(m) for m in measures])
 
     def weighted(m):
-        return F.sum(n * F.col(m)) / F.sum(F.when(F.col(m).isNotNull(), n))
-
-    square_gap = F.sum(n * F.col("len") * F.col("len")) - F.sum(n * F.col("len")) * weighted("len")
-    facts = per_value.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        non_null.alias("non_null"),
-        F.count("key").alias("n_unique"),
-        weighted("len").alias("avg_len"),
-        F.when(non_null > 1, F.sqrt(F.greatest(square_gap, F.lit(0.0)) / (non_null - 1))).alias("len_std"),
-        weighted("words").alias("avg_words"),
-        weighted("ts").alias("ts_frac"),
-        weighted("number").alias("number_frac"),
-        (F.coalesce(F.sum(n * F.col("digits")), F.lit(0.0)) / F.sum(n)).alias("digits_frac"),
-        weighted("alnum").alias("alnum_frac"),
-        weighted("space").alias("space_frac"),
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
-    )
-    physical = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
-    return facts.withColumn("physical", physical[F.col("column")])
+        """Mean over the rows where the measure is known."""
+        return f"sum(CAST(n AS DOUBLE) * {m}) / sum(CASE WHEN {m} IS NOT NULL THEN CAST(n AS DOUBLE) END)"
+
+    non_null = "sum(CASE WHEN key IS NOT NULL THEN n ELSE 0 END)"
+    square_gap = f"sum(CAST(n AS DOUBLE) * len * len) - sum(CAST(n AS DOUBLE) * len) * ({weighted('len')})"
+    facts = per_value.groupBy("slot").agg(*[F.expr(f"{e} AS {a}") for a, e in {
+        "n_rows": "sum(n)",
+        "non_null": non_null,
+        "n_unique": "count(key)",
+        "avg_len": weighted("len"),
+        "len_std": f"CASE WHEN {non_null} > 1 THEN sqrt(greatest({square_gap}, 0.0D) / ({non_null} - 1)) END",
+        "avg_words": weighted("words"),
+        "ts_frac": weighted("ts"),
+        "number_frac": weighted("number"),
+        "digits_frac": "coalesce(sum(CAST(n AS DOUBLE) * digits), 0.0D) / sum(n)",
+        "alnum_frac": weighted("alnum"),
+        "space_frac": weighted("space"),
+        "first_day": "min(day)",
+        "last_day": "max(day)",
+    }.items()])
+    # slots are numbers inside the shuffle and become names here
+    names = F.array(*[F.lit(c) for c in columns])[F.col("slot")]
+    physical = F.array(*[F.lit(kinds[c]) for c in columns])[F.col("slot")]
+    return facts.withColumns({"column": names, "physical": physical}).drop("slot")
 
 
 def unique_fraction() -> "F.Column":
@@ -111,17 +112,29 @@ def constant_columns(df: DataFrame, columns: list[str] | None = None, nulls_coun
     """Columns with at most one distinct value; ``nulls_count`` treats null as one.
 
     Minimum, maximum and counts in one aggregation settle it: no shuffle of
-    values, no distinct count.
+    values, no distinct count.  Strings are compared by hash first, and only
+    those with a single hash are then compared as text.
     """
     columns = columns or df.columns
+    kinds = physical_classes(df)
+    shown = lambda c: F.when(quoted_col(c).isNotNull(), F.xxhash64(quoted_col(c))) if kinds[c] == "string" else quoted_col(c)
+    found = _single_valued(df, {c: shown(c) for c in columns}, nulls_count)
+    doubtful = [c for c in found if kinds[c] == "string"]
+    if doubtful:
+        sure = set(_single_valued(df, {c: quoted_col(c) for c in doubtful}, nulls_count))
+        found = [c for c in found if c not in doubtful or c in sure]
+    return found
+
+
+def _single_valued(df: DataFrame, shown: dict, nulls_count: bool) -> list[str]:
     aggs = []
-    for i, c in enumerate(columns):
-        x = quoted_col(c)
-        aggs += [F.min(x).eqNullSafe(F.max(x)).alias(f"same{i}"), (F.count(x) < F.count(F.lit(1))).alias(f"holes{i}"),
-                 (F.count(x) == 0).alias(f"empty{i}")]
-    row = df.agg(*aggs).first()
+    for i, x in enumerate(shown.values()):
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     out = []
-    for i, c in enumerate(columns):
-        if row[f"empty{i}"] or (row[f"same{i}"] and not (nulls_count and row[f"holes{i}"])):
+    for i, c in enumerate(shown):
+        n = row[f"n{i}"]
+        holes = nulls_count and n < row["rows"]
+        if n == 0 or (row[f"lo{i}"] == row[f"hi{i}"] and not holes):
             out.append(c)
     return out

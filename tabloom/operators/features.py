@@ -204,7 +204,7 @@ def datetime_parts(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         t = quoted_col(c)
         if physical_class(df.schema[c].dataType) == "string":
-            t = tx.as_timestamp(t)
+            t = tx.as_timestamp(c)
             out[c] = t
         out[f"{c}_year"] = F.year(t)
         out[f"{c}_month"] = F.month(t)

@@ -39,13 +39,16 @@ def type_facts(df: DataFrame, columns: list[str] | None = None) -> list[dict]:
     Only string columns need counts per value; the rest follows from the schema.
     """
     columns = columns or df.columns
-    constant = set(constant_columns(df, columns, nulls_count=True))
     kinds = physical_classes(df)
-    found = {c: "datetime" if kinds[c] == "datetime" else "numeric" for c in columns if kinds[c] != "string"}
+    typed = [c for c in columns if kinds[c] != "string"]
     textual = [c for c in columns if kinds[c] == "string"]
+    found = {c: "datetime" if kinds[c] == "datetime" else "numeric" for c in typed}
+    constant = set(constant_columns(df, typed, nulls_count=True)) if typed else set()
     if textual:
-        rows = column_facts(df, textual).select("column", effective_type_rule().alias("kind")).collect()
+        levels = F.col("n_unique") + (F.col("non_null") < F.col("n_rows")).cast("int")
+        rows = column_facts(df, textual).select("column", effective_type_rule().alias("kind"), levels.alias("levels")).collect()
         found.update({r["column"]: r["kind"] for r in rows})
+        constant |= {r["column"] for r in rows if r["levels"] <= 1}
     return [{"column": c, "kind": found[c], "constant": c in constant} for c in columns]
 
 

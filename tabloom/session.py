@@ -16,6 +16,8 @@ def tuned(builder):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no call-site capture per Column call: it costs more than building the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
