@@ -37,14 +37,13 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
     counted = narrow.withColumns({
         "n": F.lit(1), "_bucket": F.conv(F.substring("_h", 1, 3), 16, 10).cast("double"),
     })
-    sizes = narrow.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
-    classes = sizes.count()
-    placed = lookup(ordered_counts(counted, "_h", ["_label"]).select("_label", "_h", "before"),
-                    sizes.withColumn("_size", F.col("n")), ["_label"], ["_size"], 1 << 62, classes)
-    in_test = F.col("before") < F.round(F.col("_size") * F.lit(test_share))
+    placed = ordered_counts(counted, "_h", ["_label"])
+    in_test = F.col("before") < F.round(F.col("total") * F.lit(test_share))
     edges = placed.groupBy("_label").agg(
         F.max(F.when(in_test, F.col("_h"))).alias("_edge"), F.count(F.lit(1)).alias("n"))
-    marked = lookup(df.withColumns({"_label": quoted_col(label), "_h": h}), edges, ["_label"], ["_edge"], 1 << 62, classes)
+    sizes = narrow.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("_label").alias("classes")).first()
+    marked = lookup(df.withColumns({"_label": quoted_col(label), "_h": h}), edges, ["_label"], ["_edge"],
+                    sizes["rows"], sizes["classes"])
     part = F.when(quoted_col("_label").isNull(), None).when(F.col("_h") <= F.col("_edge"), "test").otherwise("train")
     return marked.withColumn("part", part).drop("_label", "_h", "_edge")
 

@@ -82,7 +82,8 @@ def with_bucket(df: DataFrame, value: str, cuts: tuple[float, ...]) -> DataFrame
 
 
 def ordered_counts(counted: DataFrame, value: str, by: list[str] | None = None, n: str = "n") -> DataFrame:
-    """Adds ``before``: how many rows of the group have a smaller value.
+    """Adds ``before``, how many rows of the group have a smaller value, and
+    ``total``, the size of the group.
 
     ``counted`` has one row per (group, value) with its count ``n`` and a
     ``_bucket`` that grows with the value.  A bucket is ordered by a window over
@@ -96,6 +97,7 @@ def ordered_counts(counted: DataFrame, value: str, by: list[str] | None = None,
     offsets = (
         counted.groupBy(*keys).agg(F.sum(n).alias("_t"))
         .withColumn("_offset", F.coalesce(F.sum("_t").over(over), F.lit(0)))
+        .withColumn("total", F.sum("_t").over(Window.partitionBy(*(by or [F.lit(0)]))))
         .drop("_t")
     )
     local = counted.withColumn("_before", F.coalesce(F.sum(n).over(inside), F.lit(0)))
@@ -116,12 +118,14 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Data
 
 
 def placed_counts(df: DataFrame, value: str, bounds: ColumnBounds, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, n, before).  Few values are ordered by one small window per
+    """(by..., value, n, before, total).  Few values are ordered by one small window per
     group, many by value ranges."""
     counted = value_counts(df, value, by)
     if bounds.few and not by:
         below = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+        everything = Window.partitionBy(F.lit(0))
+        return counted.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn(
+            "total", F.sum("n").over(everything))
     return ordered_counts(with_bucket(counted, value, bounds.cuts), value, by)
 
 
@@ -169,12 +173,10 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     narrow = df.select(quoted_col(value).alias("_v"), *[quoted_col(b).alias(g) for b, g in zip(by, groups)])
     bounds = bounds or column_bounds(narrow, ["_v"])["_v"]
     placed = placed_counts(narrow, "_v", bounds, groups)
-    totals = value_counts(narrow, "_v", groups).groupBy(*groups).agg(F.sum("n").alias("_total"))
-    placed = placed.join(totals, groups) if by else placed.withColumn("_total", totals.select("_total").scalar())
     out = []
     x = F.col("_v").cast("double")
     for i, p in enumerate(probs):
-        h = (F.col("_total") - 1) * F.lit(float(p))
+        h = (F.col("total") - 1) * F.lit(float(p))
         low, high = F.floor(h), F.ceil(h)
         covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
         at_low = F.max(F.when(covers(low), x))

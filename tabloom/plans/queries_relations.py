@@ -283,7 +283,35 @@ def _finished_relations(spark, sf):
     return ranked, rl.select(good, "p_retailprice", ["p_size"])
 
 
-@query("select_relations")
+_PART = """(SELECT p_brand, p_type, p_size, p_retailprice, CAST(CAST(floor(p_retailprice / 100) AS BIGINT) AS VARCHAR) AS price_band,
+  p_retailprice * 0.5 + p_size AS half_price FROM part)"""
+_PART_PAIRS = [("p_retailprice", c) for c in ("half_price", "p_brand", "p_size", "p_type", "price_band")] + [
+    ("p_size", c) for c in ("half_price", "p_brand", "p_type", "price_band")]
+
+
+def _part_relation_sql(a: str, b: str) -> str:
+    """Effect of one pair; significance by the usual normal approximations."""
+    head = f"SELECT '{a}' AS parent_a, '{b}' AS parent_b, {3 if a == 'p_retailprice' else 0} + {2 if 'p_size' in (a, b) else 0} AS w, "
+    if b in ("half_price", "p_size"):
+        return head + f"'spearman' AS method, rho AS e, abs(rho) * sqrt((n - 2) / (1 - least(rho * rho, 0.999999999))) > 2.3 AS sig FROM ({spearman_sql(a, b, _PART)})"
+    z = ("((1 - 2 / (9.0 * (n - groups))) * pow(f, 1 / 3.0) - (1 - 2 / (9.0 * (groups - 1)))) "
+         "/ sqrt(2 / (9.0 * (n - groups)) * pow(f, 2 / 3.0) + 2 / (9.0 * (groups - 1)))")
+    return head + f"'anova_eta2' AS method, eta2 AS e, {z} > 2 AS sig FROM ({anova_sql(a, b, _PART)})"
+
+
+@query("select_relations", f"""
+WITH RECURSIVE q AS (
+  SELECT *, row_number() OVER (ORDER BY round(abs(e) * (1 + w), 9) DESC, parent_a, parent_b) AS i
+  FROM ({union_sql([_part_relation_sql(a, b) for a, b in _PART_PAIRS])}) WHERE sig AND abs(e) >= 0.15),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS picked
+  UNION ALL
+  SELECT q.i, CASE WHEN len(picked) < 4 AND NOT (list_contains(used, parent_a) AND list_contains(used, parent_b)) THEN list_concat(used, [parent_a, parent_b]) ELSE used END,
+    CASE WHEN len(picked) < 4 AND NOT (list_contains(used, parent_a) AND list_contains(used, parent_b)) THEN list_append(picked, q.i) ELSE picked END
+  FROM g JOIN q ON q.i = g.i + 1)
+SELECT parent_a, parent_b, method, round(e, 6) AS effect_size, w AS priority_weight
+FROM q WHERE list_contains((SELECT picked FROM g ORDER BY i DESC LIMIT 1), i)
+""")
 def select_relations(spark, sf):
     ranked, picked = _finished_relations(spark, sf)
     chosen = ranked.where(F.col("seq").isin([r["seq"] for r in picked]))
