@@ -51,10 +51,11 @@ def first_values(df: DataFrame, keys: list[str], columns: list[str] | None = Non
     )
 
 
-def profile(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The profile table: column, ordinal, dtype, non_null, unique, sample_values."""
-    order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
-    out = column_facts(df).select(
+def profile(df: DataFrame, keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The profile table: column, ordinal, dtype, n_rows, non_null, unique, sample_values."""
+    columns = columns or df.columns
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
+    out = column_facts(df, columns).select(
         "column",
         order[F.col("column")].alias("ordinal"),
         semantic_type().alias("dtype"),
@@ -63,7 +64,7 @@ def profile(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.col("n_unique").alias("unique"),
     )
     if keys:
-        samples = first_values(df, keys)
+        samples = first_values(df, keys, columns)
         out = out.join(F.broadcast(samples), "column", "left")  # one row per column
         out = out.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as tx
+from tabloom.functions.sampling import sample_per_column
+from tabloom.operators.facts import unpivoted
 from tabloom.operators.ranking import quoted_col
 
 # The section marks tried in this order, and heading patterns.
@@ -74,6 +76,26 @@ def sanitize_summary(c: Column) -> Column:
     return tx.strip(text)
 
 
+def column_samples(df: DataFrame, keys: list[str], columns: list[str], n: int = 6, profile: DataFrame | None = None,
+                   seed: int = 1) -> DataFrame:
+    """(column, samples): up to n values per column, from the profile where it has
+    the column, else a seeded sample of the table."""
+    safe = [f"_k{i}" for i in range(len(keys))]
+    known = [] if profile is None else [
+        r["column"] for r in profile.where(F.size("sample_values") > 0).select("column").collect()]
+    rest = [c for c in columns if c not in known]
+    parts = []
+    if profile is not None:
+        chosen = profile.where(F.col("column").isin(columns) & (F.size("sample_values") > 0))
+        parts.append(chosen.select("column", F.slice("sample_values", 1, n).alias("samples")))
+    if rest:
+        keyed = df.select("*", *[quoted_col(k).alias(s) for k, s in zip(keys, safe)])
+        cells = unpivoted(keyed, rest, safe).where("value is not null")
+        sampled = sample_per_column(cells, n, safe, seed)
+        parts.append(sampled.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def report_facts(profile: DataFrame, sentiment: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     """(section, ord, text): the content of a report in reading order.
 

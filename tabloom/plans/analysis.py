@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import cleaning, features, profile, relations, responses, sentiment
 from tabloom.operators.cleaning import validate_targets
 from tabloom.session import scratch_path
 from tabloom.settings import DEFAULTS, Settings
+from tabloom.sources import csv
 from tabloom.sources.store import ResultStore
 
 RELATIONS_SCHEMA = (
@@ -18,6 +19,26 @@ RELATIONS_SCHEMA = (
 )
 
 
+ROW = "_tabloom_row"  # key given to a table that has none
+
+
+def analyze_csv(spark: SparkSession, path: str, primary: str, secondary=(), task: str = "classification",
+                name: str = "table", out: str | None = None, multi_line: bool = True, **options) -> dict[str, DataFrame]:
+    """:func:`analyze` of a CSV file or folder.
+
+    Rows are numbered in file order, and the numbered table is written once so
+    that the numbers never change afterwards.
+    """
+    out = out or scratch_path(spark, name)
+
+    def build():
+        typed = csv.infer_types(csv.read_csv(spark, path, multi_line=multi_line))
+        return typed.withColumn(ROW, F.monotonically_increasing_id())
+
+    table = ResultStore(spark, out).table("source", build)
+    return analyze(table, [ROW], primary, secondary, task, name, out, **options)
+
+
 def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: str = "classification",
             name: str = "table", out: str | None = None, scorer=None, epoch_units: dict[str, str] | None = None,
             response: str | None = None, cfg: Settings = DEFAULTS) -> dict[str, DataFrame]:
@@ -30,10 +51,11 @@ def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: st
     spark = df.sparkSession
     store = ResultStore(spark, out or scratch_path(spark, name))
     body = [c for c in df.columns if c not in keys or c in (primary, *secondary)]
+    shown = [c for c in df.columns if c != ROW]
 
-    profiled = store.table("profile", lambda: profile.profile(df, keys))
+    profiled = store.table("profile", lambda: profile.profile(df, keys, shown))
     tags = {r["column"]: r["dtype"] for r in profiled.select("column", "dtype").collect()}
-    title = store.table("title", lambda: profile.title_corpus({name: df}))
+    title = store.table("title", lambda: profile.title_corpus({name: df.drop(ROW)}))
 
     def build_clean():
         cleaned, dropped, record = cleaning.clean(

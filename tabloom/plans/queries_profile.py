@@ -221,14 +221,3 @@ def title_corpus(spark, sf):
 @query("preview_rows", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 5")
 def preview_rows(spark, sf):
     return pf.preview(table(spark, sf, "nation"), ["n_nationkey"])
-
-
-@query("column_samples", union_sql([
-    f"SELECT '{c}' AS \"column\", string_agg(CAST({c} AS VARCHAR), '|' ORDER BY p_partkey) AS samples "
-    f"FROM (SELECT * FROM part WHERE {c} IS NOT NULL ORDER BY p_partkey LIMIT 6)" for c in ("p_name", "p_brand", "p_type")
-]))
-def column_samples(spark, sf):
-    found = pf.first_values(table(spark, sf, "part"), ["p_partkey"], ["p_name", "p_brand", "p_type"], n=6)
-    return found.select("column", F.array_join("sample_values", "|").alias("samples"))
-
-

@@ -484,3 +484,16 @@ UNION ALL SELECT 'sentiment', CAST(row_number() OVER (ORDER BY n DESC, label) AS
 def report_facts(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     return rs.report_facts(pf.profile(e, ["event_id"]), st.distribution(e, "event_type"))
+
+
+@query("column_samples", """
+SELECT 'p_name' AS "column", string_agg(v, '|' ORDER BY k) AS samples FROM (SELECT p_name AS v, p_partkey AS k FROM part ORDER BY p_partkey LIMIT 5)
+""" + "".join(f"""
+UNION ALL SELECT '{c}', string_agg(v, '|' ORDER BY v) FROM (SELECT {c} AS v FROM part ORDER BY md5('1:' || p_partkey), p_partkey LIMIT 6)
+""" for c in ("p_brand", "p_type")))
+def column_samples(spark, sf):
+    """One column from its profile, the others from a seeded sample."""
+    part = table(spark, sf, "part")
+    known = pf.profile(part.select("p_partkey", "p_name"), ["p_partkey"])
+    out = rs.column_samples(part, ["p_partkey"], ["p_name", "p_brand", "p_type"], 6, known)
+    return out.select("column", F.array_join("samples", "|").alias("samples"))

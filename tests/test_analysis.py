@@ -1,6 +1,6 @@
 import random
 
-from tabloom.plans.analysis import analyze
+from tabloom.plans.analysis import ROW, analyze, analyze_csv
 
 
 def test_reviews_end_to_end(spark, tmp_path):
@@ -40,3 +40,25 @@ def test_regression_on_text_target(spark, tmp_path):
     assert {r[0] for r in got["cleaned"].select("grade").distinct().collect()} == {0, 1, 2}
     assert got["selected"].count() == 1
     assert got["response"].first()["recommendations"] == ["more"]
+
+
+def test_csv_with_awkward_names(spark, tmp_path):
+    """Names with dots, brackets and blanks; a bad row; n/a cells; existing labels."""
+    lines = ["Ratings(10),seat.type,Recommended ?,mood,n,score"]
+    for i in range(100):
+        good = i % 3 != 0
+        rating = 8 + i % 3 if good else 1 + i % 2
+        lines.append(f"{rating if i % 20 else 'n/a'},{'Economy' if i % 2 else 'Business'},{'yes' if good else 'no'},"
+                     f"{'Positive' if good else 'NEG'},{i % 9},{i % 5}")
+    lines.insert(5, "1,Economy,yes,pos,1,2,surplus")
+    path = tmp_path / "air.csv"
+    path.write_text("\n".join(lines), encoding="latin-1")
+    got = analyze_csv(spark, str(path), "Recommended ?", ["seat.type"], name="air", out=str(tmp_path / "o"))
+    profile = {r["column"]: r for r in got["profile"].collect()}
+    assert ROW not in profile and profile["Ratings(10)"]["non_null"] == 95 and profile["Ratings(10)"]["n_rows"] == 100
+    assert profile["Ratings(10)"]["sample_values"][0] == "9.0"
+    assert "mood_num" in got["enriched"].columns and ROW not in got["features"].columns
+    best = got["selected"].orderBy("seq").collect()
+    pairs = {frozenset((r["parent_a"], r["parent_b"])) for r in best}
+    assert frozenset(("Recommended ?", "Ratings(10)")) in pairs
+    assert {r["section"] for r in got["report"].collect()} == {"overview", "columns", "sentiment", "relations"}
