@@ -38,9 +38,8 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
         "n": F.lit(1), "_bucket": F.conv(F.substring("_h", 1, 3), 16, 10).cast("double"),
     })
     placed = ordered_counts(counted, "_h", ["_label"])
-    in_test = F.col("before") < F.round(F.col("total") * F.lit(test_share))
-    edges = placed.groupBy("_label").agg(
-        F.max(F.when(in_test, F.col("_h"))).alias("_edge"), F.count(F.lit(1)).alias("n"))
+    last = F.round(F.col("total") * F.lit(test_share)) - 1
+    edges = placed.where(F.col("before") == last).select("_label", F.col("_h").alias("_edge"), F.col("total").alias("n"))
     sizes = narrow.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("_label").alias("classes")).first()
     marked = lookup(df.withColumns({"_label": quoted_col(label), "_h": h}), edges, ["_label"], ["_edge"],
                     sizes["rows"], sizes["classes"])

@@ -225,12 +225,14 @@ def encode_first_seen(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     ranges of that key instead of one global sort.
     """
     order = keys[0]
+    # a single key keeps the aggregation hash based
+    first = quoted_col(order) if len(keys) == 1 else F.struct(*[quoted_col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     firsts = (
         df.where(quoted_col(column).isNotNull())
         .groupBy(quoted_col(column).alias("_v"))
-        .agg(F.min(F.struct(*[quoted_col(k).alias(k) for k in keys])).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("n", F.lit(1))
-        .withColumn("_x", F.col("_first").getField(order).cast("double"))
+        .withColumn("_x", (F.col("_first") if len(keys) == 1 else F.col("_first.k0")).cast("double"))
     )
     known = column_bounds(df.select(quoted_col(order).cast("double").alias("_x")), ["_x"])["_x"]
     # value then struct: the bucket needs a number, the order inside it the whole key

@@ -129,24 +129,28 @@ def placed_counts(df: DataFrame, value: str, bounds: ColumnBounds, by: list[str]
     return ordered_counts(with_bucket(counted, value, bounds.cuts), value, by)
 
 
-def with_rank(rows: DataFrame, value: str, bounds: ColumnBounds, out: str) -> DataFrame:
+def with_rank(rows: DataFrame, value: str, bounds: ColumnBounds, out: str, source: DataFrame | None = None) -> DataFrame:
     """Adds the average rank of a numeric column that holds no nulls.
 
+    ``source`` is the table the counts come from (default ``rows``): when several
+    columns are ranked in turn, counts should not repeat the earlier steps.
+
     Few distinct values: a rank table is broadcast and the rows are not
     shuffled.  Many: rows are cut into value ranges and ranked inside each by one
     shuffle and one sort.  Every cut is a range of its own, so a value that fills
     whole quantiles is never sorted: its rank follows from counts, and its rows
     are only spread by a salt.
     """
+    source = (rows if source is None else source).select(value)
     if bounds.few:
-        ranks = placed_counts(rows, value, bounds).select(
+        ranks = placed_counts(source, value, bounds).select(
             value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
         return rows.join(F.broadcast(ranks), value, "left")
-    ranged = with_bucket(rows, value, bounds.cuts)
     cut = F.try_element_at(F.array(*[F.lit(c) for c in bounds.cuts]), F.greatest(F.col("_bucket").cast("int"), F.lit(1)))
     at_cut = F.coalesce((F.col("_bucket") > 0) & (F.col(value).cast("double") == cut), F.lit(False))
-    ranged = ranged.withColumn("_point", at_cut.cast("int"))
-    sizes = ranged.groupBy("_bucket", "_point").agg(F.count(F.lit(1)).alias("_size"))
+    in_range = lambda df: with_bucket(df, value, bounds.cuts).withColumn("_point", at_cut.cast("int"))
+    ranged = in_range(rows)
+    sizes = in_range(source).groupBy("_bucket", "_point").agg(F.count(F.lit(1)).alias("_size"))
     # at most two rows per cut; a cut comes before the rest of its range
     earlier = (
         Window.partitionBy(F.lit(0)).orderBy("_bucket", F.desc("_point")).rowsBetween(Window.unboundedPreceding, -1)

@@ -81,7 +81,7 @@ def _rank_correlations(base: DataFrame, pairs, bounds) -> DataFrame:
     columns = list(dict.fromkeys(c for _, a, b in pairs for c in (a, b)))
     ranked = base.select(*columns)
     for c in columns:
-        ranked = with_rank(ranked, c, bounds[c], f"rank_{c}")
+        ranked = with_rank(ranked, c, bounds[c], f"rank_{c}", base)
     aggs = []
     for i, a, b in pairs:
         x, y = F.col(f"rank_{a}"), F.col(f"rank_{b}")

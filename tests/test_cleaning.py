@@ -62,6 +62,9 @@ def test_first_seen_codes(spark):
     df = spark.createDataFrame(rows, "k int, y string").repartition(4)
     got = {r["k"]: r["y"] for r in cl.encode_first_seen(df, "y", ["k"]).collect()}
     assert got == {1: 0, 2: None, 3: 1, 4: 0, 5: 2}
+    two = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (0, 9, "z"), (2, 0, "y")], "k int, turn int, y string")
+    got = {(r["k"], r["turn"]): r["y"] for r in cl.encode_first_seen(two, "y", ["k", "turn"]).collect()}
+    assert got == {(0, 9): 0, (1, 1): 1, (1, 2): 2, (2, 0): 1}
 
 
 def test_epoch_units(spark):
