@@ -20,9 +20,8 @@ def semantic_type() -> Column:
     few = (unique_fraction() < 0.05) | (F.col("n_unique") <= 30)
     return (
         F.when(F.col("physical") == "datetime", "datetime")
-        .when(F.col("physical") == "numeric", "numeric")
+        .when(F.col("physical").isin("numeric", "boolean"), "numeric")
         .when(F.col("non_null") == 0, "numeric")  # an all-null column reads as a float
-        .when(F.col("physical") == "boolean", "categorical")
         .when(F.col("ts_frac") > 0.95, "datetime")
         .when(few, "categorical")
         .when(F.col("avg_len") > 20, "text")

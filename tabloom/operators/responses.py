@@ -45,7 +45,7 @@ def split_response(c: Column) -> Column:
     mark = F.lit(None).cast("string")
     for m in reversed(SECTION_MARKS):
         mark = F.when(text.contains(m), F.lit(m)).otherwise(mark)
-    at = F.locate_column(mark, text) if hasattr(F, "locate_column") else F.position(mark, text)
+    at = F.position(mark, text)
     head = tx.strip(F.substr(text, F.lit(1), at - 1))
     tail = tx.strip(F.substr(text, at + F.length(mark)))
     sectioned = F.struct(head.alias("summary"), F.transform(_lines(tail), _section_item).alias("recommendations"))

@@ -51,7 +51,7 @@ def fix_numeric_datetime(spark, sf):
         shown(F.min("at")).alias("first_ts"), shown(F.max("at")).alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 
-def _kept_sql(tbl, expressions, nulls: bool) -> str:
+def kept_sql(tbl, expressions, nulls: bool) -> str:
     extra = "+ (CASE WHEN count(v) < count(*) THEN 1 ELSE 0 END)" if nulls else ""
     return "SELECT \"column\" FROM (" + union_sql([
         f"SELECT '{c}' AS \"column\", count(DISTINCT v) {extra} AS d FROM (SELECT {e} AS v FROM {tbl})"
@@ -59,7 +59,7 @@ def _kept_sql(tbl, expressions, nulls: bool) -> str:
     ]) + ") WHERE d > 1"
 
 
-_LINE_EXTRA = [(c, c) for c in TABLES["lineitem"]] + [
+LINE_EXTRA = [(c, c) for c in TABLES["lineitem"]] + [
     ("one_value", "'x'"), ("nothing", "CAST(NULL AS VARCHAR)"), ("value_or_null", "CASE WHEN l_returnflag = 'R' THEN 'r' END"),
 ]
 
@@ -72,16 +72,16 @@ def with_constants(spark, sf):
     })
 
 
-def _names(df, source):
+def column_rows(df, source):
     """Column names left, as rows; ``source`` keeps the result tied to the data."""
     names = F.array(*[F.lit(c) for c in df.columns])
     return source.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(names).alias("column"))
 
 
-@query("drop_constant_cols", _kept_sql("lineitem", _LINE_EXTRA, nulls=False))
+@query("drop_constant_cols", kept_sql("lineitem", LINE_EXTRA, nulls=False))
 def drop_constant_cols(spark, sf):
     li = with_constants(spark, sf)
-    return _names(cl.drop_constant(li), li)
+    return column_rows(cl.drop_constant(li), li)
 
 
 def _id_sql(tbl: str, key: str) -> str:
@@ -126,7 +126,7 @@ SELECT "column" FROM (SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal', 'c
 """)
 def drop_identity_cols(spark, sf):
     c = table(spark, sf, "customer").withColumnRenamed("c_name", "c_username")
-    return _names(cl.drop_identity_names(c), c)
+    return column_rows(cl.drop_identity_names(c), c)
 
 
 @query("normalize_datetime", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text as tx
 from tabloom.operators import features as ft
-from tabloom.plans.queries_cleaning import _LINE_EXTRA, _kept_sql, _names, with_constants
+from tabloom.plans.queries_cleaning import LINE_EXTRA, kept_sql, column_rows, with_constants
 from tabloom.plans.registry import query, r6, spread, table, union_sql, words_sql
 
 
@@ -37,7 +37,7 @@ def median_fill(spark, sf):
 
 
 @query("zscore", """
-SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal_z, 0.0 AS flat_z
+SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal_z, CAST(0 AS DOUBLE) AS flat_z
 FROM customer, (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer)
 """)
 def zscore(spark, sf):
@@ -126,10 +126,10 @@ def row_meta(spark, sf):
     return out.select("event_id", "n_missing", "n_text_cols_nonempty", "has_urls")
 
 
-@query("drop_constant_features", _kept_sql("lineitem", _LINE_EXTRA, nulls=True))
+@query("drop_constant_features", kept_sql("lineitem", LINE_EXTRA, nulls=True))
 def drop_constant_features(spark, sf):
     li = with_constants(spark, sf)
-    return _names(ft.drop_constant(li, nulls_count=True), li)
+    return column_rows(ft.drop_constant(li, nulls_count=True), li)
 
 
 _COPIES = {"line_copy": "CAST(l_linenumber AS DOUBLE)", "flag_copy": "l_returnflag", "line_text": "CAST(l_linenumber AS VARCHAR)"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
 from tabloom.operators import charts as ch
@@ -224,19 +225,13 @@ def _derived_relations(spark, sf):
         F.struct(F.lit(a).alias("parent_a"), F.lit(b).alias("parent_b"), F.col(f"r{i}").alias("effect_size"))
         for i, (a, b) in enumerate(_MEASURE_PAIRS)])
     long = wide.select("l_returnflag", "l_linestatus", "n", F.inline(items))
-    order = F.row_number().over(F_window().orderBy("l_returnflag", "l_linestatus", "parent_a", "parent_b"))
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("l_returnflag", "l_linestatus", "parent_a", "parent_b"))
     p = F.exp(-F.col("n") * F.col("effect_size") * F.col("effect_size") / 2.0)
     return long.withColumn("p_value", p).withColumn("seq", order).withColumns({
         "feature_a": F.col("parent_a"), "feature_b": F.col("parent_b"), "method": F.lit("pearson"),
         "direction": F.when(F.col("effect_size") > 0, "positive").otherwise("negative"), "notes": F.lit(None).cast("string")})
 
 
-def F_window():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def _bh_sql(source: str) -> str:
     return f"""
     SELECT *, least(min(p_value * m / rk) OVER (ORDER BY p_value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS adj
@@ -435,8 +430,9 @@ def _strip_sql(x: str) -> str:
 
 _LINES = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '{_BREAKS}'), lambda s: {_strip_sql('s')}), lambda s: s <> '')"
 _ITEM = (
-    rf"CASE WHEN regexp_matches(s, '^[-*]') THEN {_strip_sql(chr(114) + 'egexp_replace(s, ' + chr(39) + '^[-* ]+' + chr(39) + ', ' + chr(39) + chr(39) + ')')} "
-    rf"WHEN regexp_matches(s, '^[0-9][.)]') AND contains(s, '.') THEN {_strip_sql('substr(s, instr(s, ' + chr(39) + '.' + chr(39) + ') + 1)')} ELSE s END"
+    "CASE WHEN regexp_matches(s, '^[-*]') THEN " + _strip_sql("regexp_replace(s, '^[-* ]+', '')")
+    + " WHEN regexp_matches(s, '^[0-9][.)]') AND contains(s, '.') THEN " + _strip_sql("substr(s, instr(s, '.') + 1)")
+    + " ELSE s END"
 )
 
 

@@ -86,3 +86,12 @@ def test_single_day_time_column_goes(spark):
     df = spark.createDataFrame([(f"2024-01-01 0{i % 9}:00:00", f"2024-01-0{i % 9 + 1}", i) for i in range(20)],
                                "load_time string, ship_date string, x int")
     assert dict(cl.normalize_datetimes(df).dtypes) == {"ship_date": "timestamp_ntz", "x": "int"}
+
+
+def test_flags_are_numbers(spark):
+    from tabloom.operators import features as ft
+
+    df = spark.createDataFrame([(True, "x"), (False, "y"), (None, "x")], "b boolean, s string")
+    assert {r["column"]: r["dtype"] for r in pf.profile(df).collect()} == {"b": "numeric", "s": "categorical"}
+    assert ft.classify(df) == {"b": "numeric", "s": "categorical"}
+    assert sorted(r[0] for r in ft.median_fill(df, ["b"]).select("b").collect()) == [0.0, 0.5, 1.0]
