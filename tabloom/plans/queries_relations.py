@@ -13,7 +13,6 @@ from tabloom.operators import relations as rl
 from tabloom.operators import responses as rs
 from tabloom.operators import sentiment as st
 from tabloom.operators import stats
-from tabloom.operators.facts import column_facts
 from tabloom.plans.queries_features import engineered_orders
 from tabloom.plans.queries_profile import TABLES, TEXTUAL
 from tabloom.plans.registry import query, r6, table, union_sql, words_sql
@@ -28,10 +27,8 @@ from tabloom.plans.registry import query, r6, table, union_sql, words_sql
     for t in ("lineitem", "part") for c in TABLES[t]
 ]).replace("SELECT DISTINCT 'l_orderkey', 'numeric' FROM", "SELECT DISTINCT 'l_orderkey' AS \"column\", 'numeric' AS kind FROM", 1))
 def effective_type(spark, sf):
-    parts = [
-        column_facts(table(spark, sf, t)).select("column", rl.effective_type_rule().alias("kind")) for t in ("lineitem", "part")
-    ]
-    return parts[0].unionByName(parts[1])
+    rows = [(f["column"], f["kind"]) for t in ("lineitem", "part") for f in rl.type_facts(table(spark, sf, t))]
+    return spark.createDataFrame(rows, "column string, kind string")
 
 
 NUMERIC_PAIRS = [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"), ("l_quantity", "l_linenumber")]
