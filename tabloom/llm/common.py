@@ -106,15 +106,15 @@ class SubstringHash:
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts after A-Z are lower-cased, and the number of words of each.
+def word_ranges(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the words (``[^\\x20\\x09-\\x0D]+``) of texts, and the number of words of each.
 
     ``data`` holds the bytes of the texts and ``at`` their borders, from 0.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
-    inside = ~SEPARATOR[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+    inside = ~separator[data]
     first = np.zeros(n + 1, bool)
     first[at[:-1]] = True
     first = first[:n]
@@ -123,8 +123,18 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = SubstringHash(data, _LOWER_BYTE).of(begin, end)
-    return hashes, np.diff(np.searchsorted(begin, at))
+    return begin, end, np.diff(np.searchsorted(begin, at))
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts after A-Z are lower-cased, and the number of words of each."""
+    begin, end, counts = word_ranges(data, at)
+    return lowered_hash(data).of(begin, end), counts
+
+
+def lowered_hash(data: np.ndarray) -> SubstringHash:
+    """Hashes of byte ranges that do not tell A-Z from a-z."""
+    return SubstringHash(data, _LOWER_BYTE)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

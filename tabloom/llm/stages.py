@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import minhash_dedup, packing, suffix_dedup
-from tabloom.llm.queries import tokenizer_path
+from tabloom.llm import minhash_dedup, packing, quality, suffix_dedup, toxicity
+from tabloom.llm.queries import table, tokenizer_path
 
 NEAR_PERCENT = 80
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is usual for trusted text of their language."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not likely to be toxic."""
+    return toxicity.harmless(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
     kept = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
