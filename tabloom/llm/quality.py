@@ -9,7 +9,8 @@ position can ask for.  A shard has ``SHARD_ENTRIES`` entries at most unless a si
 to the tasks, and documents pass by it without a shuffle, adding up their log probabilities: a table too large for one shard costs
 more passes, not more memory.
 
-Documents whose perplexity lies outside of what their language's trusted documents show, at quantiles of held-out ones, are rejected.
+Documents whose perplexity lies outside of what their language's trusted documents show are rejected: above a quantile of those held out
+from counting, or below them all.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tabloom.llm.common import ODD, cut, mixed, pieces, quoted, text_column, utf
 ORDER = 5
 SHARD_ENTRIES = 1 << 21
 HELD_OUT = 5                    # one trusted document of so many is not counted and gives the thresholds
-QUANTILES = (0.002, 0.998)
-MARGIN = 0.02                   # of the logarithm of perplexity, beyond the quantiles
+HIGH = 0.998                    # quantile of held-out trusted documents; the low end is the least of all trusted ones
+MARGIN = 0.05                   # of the logarithm of perplexity, beyond these two
 PRIOR_BYTES = 100               # a text counts as if so many bytes at its language's mean stood before it
 LEAST_TRUSTED = 30              # a language with fewer held-out trusted documents takes the thresholds of all
 _GRID = 1000                    # log perplexity is counted in steps of 1 / _GRID
@@ -249,7 +250,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(doc_id, lang, perplexity, low, high, good), one row per row of ``docs``.
 
     ``labels`` (doc_id, quality) name the trusted documents, those of quality 1; four of five are counted and the others give the
-    thresholds.  ``perplexity`` is per byte, of the text and ``PRIOR_BYTES`` bytes at the mean of its language's trusted text, so
+    upper threshold.  ``perplexity`` is per byte, of the text and ``PRIOR_BYTES`` bytes at the mean of its language's trusted text, so
     that a few words alone decide nothing.  ``good`` says that it lies between the thresholds of the language: too high means
     text that is unlike trusted text, too low means repetition.
 
@@ -277,7 +278,7 @@ def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: st
     language = F.coalesce(F.col(f"_c{docs.columns.index(lang)}").cast("string"), F.lit(""))
     known = scores.select(F.col(f"_c{docs.columns.index(doc_id)}").alias("_id"), language.alias("_lang"), "_p", "_n")
     base = cut(
-        known.where("_n > 0").join(trusted.where(_held_out(F.col("_trusted"))), F.col("_id") == F.col("_trusted"), "left_semi"),
+        known.where("_n > 0").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi").withColumn("_held", _held_out(F.col("_id"))),
         "trusted-perplexities")
     by_lang, overall = thresholds(base)
 
@@ -297,11 +298,12 @@ def _cost(mean: Column) -> Column:
 
 
 def thresholds(base: DataFrame) -> tuple[dict[str, tuple[float, float, float]], tuple[float, float, float]]:
-    """(mean, low, high) of the log perplexity of held-out trusted documents: by language, and of all.
+    """(mean, low, high) of the log perplexity of trusted documents: by language, and of all.
 
     Quantiles are exact on a grid of 1 / ``_GRID``: values are counted, and at most a few thousand counts per language are read.
     """
-    means = base.groupBy("_lang").agg(
+    held = base.where("_held")
+    means = held.groupBy("_lang").agg(
         (-F.sum("_p") / F.sum("_n")).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum("_n").alias("bytes")).collect()
     if not means:
         return {}, (0.0, float("-inf"), float("inf"))
@@ -310,13 +312,13 @@ def thresholds(base: DataFrame) -> tuple[dict[str, tuple[float, float, float]],
     mean = F.lit(float(overall))
     for name, m in large.items():
         mean = F.when(F.col("_lang") == name, F.lit(float(m))).otherwise(mean)
-    cells = base.groupBy("_lang", F.round(_cost(mean) * _GRID).cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cell = F.round(_cost(mean) * _GRID).cast("long")
+    cells = base.groupBy("_lang", "_held", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
 
     def span(rows: list, mean: float) -> tuple[float, float, float]:
-        rows = sorted(rows)
-        n = np.cumsum([r[1] for r in rows])
-        low, high = (rows[int(np.searchsorted(n, q * n[-1]))][0] / _GRID for q in QUANTILES)
-        return mean, low - MARGIN, high + MARGIN
+        counts = sorted((r["cell"], r["n"]) for r in rows if r["_held"])
+        n = np.cumsum([c[1] for c in counts])
+        high = counts[int(np.searchsorted(n, HIGH * n[-1]))][0]
+        return mean, min(r["cell"] for r in rows) / _GRID - MARGIN, high / _GRID + MARGIN
 
-    by_lang = {name: span([(r["cell"], r["n"]) for r in cells if r["_lang"] == name], m) for name, m in large.items()}
-    return by_lang, span([(r["cell"], r["n"]) for r in cells], overall)
+    return {name: span([r for r in cells if r["_lang"] == name], m) for name, m in large.items()}, span(cells, overall)
