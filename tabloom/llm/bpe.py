@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ODD, quoted, text_column
 
-PIECE_BYTES = 1 << 23
+PIECE_BYTES = 1 << 22
 CACHED_WORDS = 400_000  # distinct words whose ids a task remembers between pieces; forgetting them changes no result
 
 # The pattern that splits texts into words before merging.
@@ -276,12 +276,21 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
     return rows.mapInArrow(run, schema).withColumnsRenamed({**{f"_c{i}": c for i, c in enumerate(kept)}, "_text": "text"})
 
 
-def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, text)."""
-    for batch in batches:
-        lists = batch.column("ids")
-        ids = [np.asarray(x.values).astype("<u4").tobytes() for x in lists]
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), lists.value_lengths().cast(pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("text")]),
-        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, so ids never leave their task."""
+    codec = Codec(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(codec)
+        for batch in batches:
+            for first, texts in text_pieces(batch.column("text")):
+                ids, at = encoder.encode(texts)
+                own = [ids[b:e] for b, e in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(first, len(texts)), pa.array(np.diff(at)), pa.array([hashlib.sha256(x.astype("<u4")).hexdigest() for x in own]),
+                    pa.array([hashlib.sha256(codec.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in own]),
+                ], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    ids = docs.select(docs[quoted(doc_id)].alias("id"), text_column(docs, text).alias("text"))
+    kind = ids.schema["id"].dataType.simpleString()
+    return ids.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnsRenamed({"id": doc_id})

@@ -91,7 +91,7 @@ def with_next(rows: DataFrame, id: str, tie: str, take: list[str]) -> DataFrame:
     """
     buckets = RANGES_PER_PARTITION * max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.col(id).cast("double")
-    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or [0.0]  # any border serves where there are no numbers
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = rows.withColumn("_x", F.coalesce(key, F.lit(float("-inf"))))
     ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_range", handleInvalid="keep").transform(ranged).drop("_x")
