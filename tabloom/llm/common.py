@@ -153,7 +153,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE_WO
         full[:long] = text_of[:long] == text_of[size - 1:]
     for k in np.flatnonzero((counts > 0) & (counts < size)):
         begin, end = border[k], border[k + 1]
-        out[begin] = (words[begin:end] * ODD[:end - begin]).sum() + ODD[size:size + 1].repeat(counts[k]).sum()
+        out[begin:begin + 1] = (words[begin:end] * ODD[:end - begin]).sum(keepdims=True) + ODD[size + counts[k]:][:1]
         full[begin] = True
     return mixed(out[full]), np.where(counts >= size, counts - size + 1, (counts > 0).astype(counts.dtype))
 

@@ -22,18 +22,21 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Of repeated rows one stays.  Rows without an id have no document to stand for them and all stay.
+    """
     kept = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(
+        docs.where("doc_id IS NULL"))
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that occur more than once; a character of which bytes went goes as a whole."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffix_dedup.remove_repeats(docs, carry=rest)
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("UTF-8"))).otherwise(text)
-    return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    kept = suffix_dedup.remove_repeats(docs.withColumnsRenamed(rest), carry=list(rest.values()), as_text=True)
+    kept = kept.select("doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"), *rest.values())
+    return kept.withColumnsRenamed({v: c for c, v in rest.items()}).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,12 +34,13 @@ _PLACE = np.uint64(21)  # bits of a position in a piece
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES,
-                   block_segments: int = BLOCK_SEGMENTS, carry: list[str] | None = None) -> DataFrame:
+                   block_segments: int = BLOCK_SEGMENTS, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, carried columns), one row per row of ``docs``.
 
     Texts are UTF-8 bytes.  A byte goes if it lies in a string of ``min_bytes`` bytes that also starts anywhere else, in
     another or the same text; all copies go.  Strings are judged on the input and do not cross texts.  ``n_spans`` counts the
-    maximal runs that went, ``kept`` are the bytes that stay, put together; a character may be cut.
+    maximal runs that went, ``kept`` are the bytes that stay, put together; a character may be cut.  With ``as_text`` they are a
+    string without the rests of such characters.
 
     Null and empty texts give zero bytes and an empty ``kept``; texts shorter than ``min_bytes`` stay as they are.  Repeated
     rows are two texts, so both lose all long enough bytes.  An empty table gives an empty result.  Other columns, whatever
@@ -55,9 +56,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = keyed.join(spans, (keyed["_key"] == spans["_k"]) & (keyed["_len"] == spans["_l"]), "left").drop("_key", "_len", "_k", "_l")
     fields = {f.name: f.dataType.simpleString() for f in keyed.schema}
     schema = ", ".join([
-        f"_id {fields['_id']}", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *[f"_c{i} {fields[f'_c{i}']}" for i in range(len(carried))]])
+        f"_id {fields['_id']}", "n_bytes long", "n_removed long", "n_spans long", "kept string" if as_text else "kept binary", *[f"_c{i} {fields[f'_c{i}']}" for i in range(len(carried))]])
     names = {"_id": doc_id, **{f"_c{i}": c for i, c in enumerate(carried)}}
-    return joined.mapInArrow(_removed(len(carried)), schema).withColumnsRenamed(names)
+    return joined.mapInArrow(_removed(len(carried), as_text), schema).withColumnsRenamed(names)
 
 
 def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
@@ -438,7 +439,7 @@ def _name(data: bytes, place: int) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=b"%d" % place).digest(), "little", signed=True)
 
 
-def _removed(n_carried: int):
+def _removed(n_carried: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("_text"))
@@ -461,7 +462,7 @@ def _removed(n_carried: int):
                     kept.append(text.tobytes())
             columns = [
                 batch.column("_id"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
-                pa.array(kept, pa.binary()), *[batch.column(f"_c{i}") for i in range(n_carried)]]
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[batch.column(f"_c{i}") for i in range(n_carried)]]
             yield pa.RecordBatch.from_arrays(
                 columns, ["_id", "n_bytes", "n_removed", "n_spans", "kept", *[f"_c{i}" for i in range(n_carried)]])
 
