@@ -192,6 +192,8 @@ def shards(table: DataFrame, most: int = SHARD_ENTRIES) -> list[Table]:
         F.when(F.col("kind") == 0, F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(255))).cast("int")
     dealt = table.withColumn("byte", byte)
     sizes = {r["byte"]: r["n"] for r in dealt.groupBy("byte").agg(F.count(F.lit(1)).alias("n")).collect()}  # 257 rows at most
+    key = F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 60)).bitwiseOR(F.shiftleft(F.col("length").cast("long"), 50)).bitwiseOR(
+        F.lit(-(1 << 63)))
     groups, held = [[]], 0
     for b in range(256):
         n = sizes.get(b, 0)
@@ -202,8 +204,8 @@ def shards(table: DataFrame, most: int = SHARD_ENTRIES) -> list[Table]:
         held += n
     out = []
     for group in groups:
-        rows = dealt.where(F.col("byte").isin(-1, *group)).select("kind", "length", "gram", "value").toPandas()
-        keys = rows["gram"].to_numpy(np.uint64) | np.uint64(1 << 63) | (rows["kind"].to_numpy(np.uint64) << np.uint64(60)) | (rows["length"].to_numpy(np.uint64) << np.uint64(50))
+        rows = dealt.where(F.col("byte").isin(-1, *group)).select(key.alias("key"), F.col("value").cast("float")).toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
         last = np.zeros(256, bool)
         last[group] = True
         out.append(Table(keys, rows["value"].to_numpy(), last))
