@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import ODD, SEPARATOR, lowered_hash, pieces, quoted, text_column, utf8, word_ranges
 
-MOST_TOXIC, MOST_UNLABELLED = 6_000, 12_000
+MOST_TOXIC, MOST_UNLABELLED = 4_000, 8_000
 BITS = 18
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 LEAST_DOCUMENTS, LEAST_LIFT, LEAST_Z = 5, 4.0, 6.0  # of features: toxic documents, ratio of shares, standard deviations
@@ -81,8 +81,9 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[
     out = []
     for chosen in (toxic, unlabelled):
         texts = rows.join(F.broadcast(chosen), "_doc", "left_semi")
-        found = texts.mapInArrow(_words, "words array<int>").collect()
-        out.append([np.array(r["words"], np.int64) for r in found])
+        lists = texts.mapInArrow(_words, "words array<int>").toArrow()["words"].combine_chunks()
+        words, at = np.asarray(lists.flatten()).astype(np.int64), np.cumsum(np.asarray(lists.value_lengths()))
+        out.append(np.split(words, at[:-1]) if len(at) else [])
     return out[0], out[1], (counts[1] or 0) / max(counts[0], 1)
 
 
