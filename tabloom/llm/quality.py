@@ -268,15 +268,18 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``judged`` finds good."""
-    kept = _judged(docs, labels, doc_id, text, lang).where("_good")
+    kept = _judged(docs, labels, doc_id, text, lang, with_text=True).where("_good")
     return kept.select(*[f"_c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
-def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, with_text: bool = False) -> DataFrame:
     trusted = trusted_ids(labels)
     named = docs.select(docs[quoted(doc_id)].alias("_id"), text_column(docs, text).alias("text"))
-    learnt = named.join(trusted.where(~_held_out(F.col("_trusted"))), F.col("_id") == F.col("_trusted"), "left_semi").select("text")
-    scores = cut(perplexities(docs, shards(model(counted(learnt))), text), "perplexities")
+    # one plan at every size: texts move once, and are not sorted for it
+    counted_ids = trusted.where(~_held_out(F.col("_trusted"))).hint("shuffle_hash")
+    learnt = named.join(counted_ids, F.col("_id") == F.col("_trusted"), "left_semi").select("text")
+    scores = perplexities(docs, shards(model(counted(learnt))), text)
+    scores = cut(scores if with_text else scores.drop(f"_c{docs.columns.index(text)}"), "perplexities")
     language = F.coalesce(F.col(f"_c{docs.columns.index(lang)}").cast("string"), F.lit(""))
     known = scores.select(F.col(f"_c{docs.columns.index(doc_id)}").alias("_id"), language.alias("_lang"), "_p", "_n")
     base = cut(
