@@ -127,6 +127,6 @@ def value_key(c: Column) -> Column:
 def prettify(c: Column) -> Column:
     """Underscores to spaces, then a capital after every non-letter."""
     spaced = strip(F.regexp_replace(c, "_", " "))
-    runs = F.regexp_extract_all(spaced, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    runs = F.regexp_extract_all(spaced, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     titled = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30))))
     return F.array_join(titled, "")

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import labels as lb
-from tabloom.functions.sampling import seeded_sample
-from tabloom.operators.ranking import column_bounds, lookup, quantiles, quoted_col, value_counts
+from tabloom.operators.ranking import column_bounds, lookup, number, quantiles, quoted_col, value_counts
 from tabloom.operators.sentiment import distribution
 from tabloom.settings import DEFAULTS, Settings
 
 
 def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, slope, intercept, x_min, x_max) of the straight-line fit."""
-    a, b = quoted_col(x).cast("double"), quoted_col(y).cast("double")
+    a, b = number(quoted_col(x)), number(quoted_col(y))
     both = df.where(a.isNotNull() & b.isNotNull())
     return both.agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"),
@@ -22,9 +21,23 @@ def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def scatter_points(df: DataFrame, x: str, y: str, keys: list[str], n: int, cfg: Settings = DEFAULTS) -> DataFrame:
-    both = df.where(quoted_col(x).isNotNull() & quoted_col(y).isNotNull())
-    return seeded_sample(both, n, keys, cfg.sample_seed).select(quoted_col(x).alias("x"), quoted_col(y).alias("y"))
+def scatter_points(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
+    """(x_bin, y_bin, n, x, y): complete pairs counted in equal bins of both ranges, with the mean point of each bin.
+
+    Every pair is in one bin, and there are ``bins`` * ``bins`` of them at most, however many rows there are.  A side
+    without spread has one bin.
+    """
+    pairs = df.select(number(quoted_col(x)).alias("x"), number(quoted_col(y)).alias("y")).where("x is not null and y is not null")
+    ends = pairs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+
+    def bin_of(side: str):
+        low, high = ends[f"{side}0"], ends[f"{side}1"]
+        if low is None or low == high:
+            return F.lit(0)
+        return F.least(F.floor((F.col(side) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+
+    return pairs.groupBy(bin_of("x").alias("x_bin"), bin_of("y").alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
 def box_stats(df: DataFrame, value: str, category: str, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -35,7 +48,7 @@ def box_stats(df: DataFrame, value: str, category: str, cfg: Settings = DEFAULTS
     """
     rows = df.select(
         F.coalesce(quoted_col(category).cast("string"), F.lit(cfg.missing_class)).alias("cat"),
-        quoted_col(value).cast("double").alias("v"),
+        number(quoted_col(value)).alias("v"),
     ).where("v is not null")
     bounds = column_bounds(rows, ["v"])["v"]
     quarts = quantiles(rows, "v", [0.25, 0.5, 0.75], ["cat"], bounds)
@@ -70,7 +83,7 @@ def crosstab_heatmap(df: DataFrame, a: str, b: str, limit: int = 30, cfg: Settin
 
 def daily_mean(df: DataFrame, ts: str, value: str) -> DataFrame:
     """(day, mean) for every day between the first and the last; gaps are null."""
-    rows = df.where(quoted_col(ts).isNotNull() & quoted_col(value).isNotNull())
+    rows = df.where(quoted_col(ts).isNotNull() & number(quoted_col(value)).isNotNull())
     daily = rows.groupBy(F.to_date(quoted_col(ts)).alias("day")).agg(F.avg(quoted_col(value).cast("double")).alias("mean"))
     span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null")
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))

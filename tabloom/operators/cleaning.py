@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tabloom.functions import text as tx
 from tabloom.functions.sampling import sample_per_column
 from tabloom.operators.facts import column_facts, constant_columns, physical_classes, unpivoted
-from tabloom.operators.ranking import column_bounds, lookup, ordered_counts, quoted_col, with_bucket
+from tabloom.operators.ranking import lookup, ordered_counts, quoted_col
+from tabloom.session import written
 from tabloom.settings import DEFAULTS, ID_NAME, IDENTITY_NAME, PROSE_WORDS, TIME_NAME, Settings
 
 # ---------------------------------------------------------------- type repair
@@ -224,31 +225,26 @@ def encode_first_seen(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     Codes are positions in the order of each value's first row key, found by
     ranges of that key instead of one global sort.
     """
-    order = keys[0]
     # a single key keeps the aggregation hash based
-    first = quoted_col(order) if len(keys) == 1 else F.struct(*[quoted_col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    first = quoted_col(keys[0]) if len(keys) == 1 else F.struct(*[quoted_col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     firsts = (
         df.where(quoted_col(column).isNotNull())
         .groupBy(quoted_col(column).alias("_v"))
         .agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("n", F.lit(1))
-        .withColumn("_x", (F.col("_first") if len(keys) == 1 else F.col("_first.k0")).cast("double"))
     )
-    known = column_bounds(df.select(quoted_col(order).cast("double").alias("_x")), ["_x"])["_x"]
-    # value then struct: the bucket needs a number, the order inside it the whole key
-    placed = ordered_counts(_bucketed(firsts, known.cuts), "_first")
-    distinct = df.agg(F.approx_count_distinct(quoted_col(column))).first()[0]
-    codes = placed.select(F.col("_v").alias(column), F.col("before").cast("int").alias("_code"), "_rows")
-    joined = lookup(df, codes, [column], ["_code"], known.non_null, distinct, weight="_rows")
+    # ranges of the first keys themselves, of any type; written, since both sides of a later join must see the same ranges
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(firsts.repartitionByRange(ranges, "_first").withColumn("_bucket", F.spark_partition_id()), "first-seen")
+    placed = ordered_counts(ranged, "_first")
+    sizes = ranged.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+    codes = placed.select(F.col("_v").alias(column), F.col("before").alias("_code"), "_rows")
+    joined = lookup(df, codes, [column], ["_code"], sizes[0] or 0, sizes[1], weight="_rows")
     return joined.select(*[
         (F.col("_code") if c == column else quoted_col(c)).alias(c) for c in df.columns
     ])
 
 
-def _bucketed(firsts: DataFrame, cuts) -> DataFrame:
-    return with_bucket(firsts.withColumnRenamed("_x", "_order"), "_order", cuts).drop("_order")
-
-
 def clean(df: DataFrame, keys: list[str], file: str, primary: str, secondary, task: str,
           epoch_units: dict[str, str] | None = None, tagged_datetime: list[str] | None = None,
           cfg: Settings = DEFAULTS):

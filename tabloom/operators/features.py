@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabloom.functions import text as tx
 from tabloom.operators.cleaning import drop_constant
 from tabloom.operators.facts import column_facts, physical_class, physical_classes
-from tabloom.operators.ranking import column_bounds, lookup, median, quoted_col
+from tabloom.operators.ranking import column_bounds, lookup, median, number, quoted_col
 from tabloom.settings import DEFAULTS, Settings
 
 TEXT_PARTS = ("word_count", "unique_ratio", "has_url", "has_emoji", "upper_ratio")
@@ -49,14 +49,14 @@ def classify(df: DataFrame, tags: dict[str, str] | None = None) -> dict[str, str
 def to_number(df: DataFrame, c: str) -> Column:
     kind = physical_class(df.schema[c].dataType)
     if kind == "numeric":
-        return quoted_col(c).cast("double")
+        return number(quoted_col(c))
     if kind == "boolean":
         return quoted_col(c).cast("int").cast("double")
     return tx.as_number(quoted_col(c).cast("string"))
 
 
 def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the exact median.
+    """Nulls and NaN become the exact median.
 
     Columns without nulls cost nothing beyond the one counting action; for the
     others the median comes from counts per value, not from one big sort.
@@ -78,7 +78,7 @@ def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         return {}
     aggs = []
     for i, c in enumerate(columns):
-        x = quoted_col(c).cast("double")
+        x = number(quoted_col(c))
         # a merged variance of equal values can differ from zero by rounding
         varies = F.min(x) < F.max(x)
         aggs += [F.avg(x).alias(f"m{i}"), F.when(varies, F.stddev_pop(x)).otherwise(0.0).alias(f"p{i}"),
@@ -94,9 +94,9 @@ def zscores(df: DataFrame, columns: list[str], stats: dict[str, dict] | None = N
     for c in columns:
         s = stats[c]
         if s["mean"] is None or not s["pop"]:
-            out[f"{c}_z"] = F.when(quoted_col(c).isNotNull(), F.lit(0.0))
+            out[f"{c}_z"] = F.when(number(quoted_col(c)).isNotNull(), F.lit(0.0))
         else:
-            out[f"{c}_z"] = (quoted_col(c) - F.lit(s["mean"])) / F.lit(s["pop"])
+            out[f"{c}_z"] = (number(quoted_col(c)) - F.lit(s["mean"])) / F.lit(s["pop"])
     return df.withColumns(out) if out else df
 
 
@@ -105,7 +105,7 @@ def numeric_meta(df: DataFrame, columns: list[str]) -> DataFrame:
     one-row unpivot."""
     aggs, pairs = [], []
     for i, c in enumerate(columns):
-        x = quoted_col(c).cast("double")
+        x = number(quoted_col(c))
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
         pairs.append(F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")))
     return df.agg(*aggs).select(F.inline(F.array(*pairs)))
@@ -190,8 +190,8 @@ def text_features(df: DataFrame, columns: list[str]) -> DataFrame:
 def row_mean(columns: list[str]) -> Column:
     """Mean of the non-null values of a row."""
     zero = F.lit(0.0)
-    total = reduce(lambda a, b: a + b, [F.coalesce(quoted_col(c).cast("double"), zero) for c in columns])
-    known = reduce(lambda a, b: a + b, [quoted_col(c).isNotNull().cast("int") for c in columns])
+    total = reduce(lambda a, b: a + b, [F.coalesce(number(quoted_col(c)), zero) for c in columns])
+    known = reduce(lambda a, b: a + b, [number(quoted_col(c)).isNotNull().cast("int") for c in columns])
     return F.when(known > 0, total / known)
 
 

@@ -9,12 +9,16 @@ each bucket is ordered on its own and bucket totals supply the offsets.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabloom.functions import text as tx
+
 BROADCAST_ROWS = 200_000  # (value, number) rows small enough to send everywhere
 HOT_SHARE = 1000          # a key with over 1/1000 of all rows is hot: at most 1000 keys
 
@@ -56,11 +60,41 @@ def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, ColumnBounds]:
             F.avg(c.cast("double")).alias(f"m{i}"),
         ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-    out = {}
-    for i, name in enumerate(wanted):
-        cuts = tuple(sorted({q for q in (row[f"q{i}"] or []) if q is not None and q == q}))
-        out[name] = ColumnBounds(row["rows"], row[f"n{i}"], row[f"d{i}"], cuts, row[f"m{i}"])
-    return out
+    found = {i: [q for q in row[f"q{i}"] or [] if q == q] for i in range(len(wanted))}
+    cuts = {i: set(q) for i, q in found.items()}
+    # A value that fills several quantiles is a range of its own; the other rows are cut again without it, until
+    # no value does.  Every pass takes such values out, so ranges stay even however skewed the column is.
+    hot: dict[int, set] = {}
+    while True:
+        again = {i: {q for q, nxt in zip(f, f[1:]) if q == nxt} for i, f in found.items()}
+        again = {i: h for i, h in again.items() if h and row[f"d{i}"] > BROADCAST_ROWS}
+        if not again:
+            break
+        aggs = []
+        for i, values in again.items():
+            hot[i] = hot.get(i, set()) | values
+            x = df[_quoted(wanted[i])].cast("double")
+            aggs.append(F.percentile_approx(F.when(~x.isin(*hot[i]), x), probs, 20 * buckets).alias(f"q{i}"))
+        rest = df.agg(*aggs).first()
+        found = {i: [q for q in rest[f"q{i}"] or [] if q == q] for i in again}
+        for i, values in found.items():
+            cuts[i] |= set(values)
+    return {
+        name: ColumnBounds(row["rows"], row[f"n{i}"], row[f"d{i}"], tuple(sorted(cuts[i])), row[f"m{i}"])
+        for i, name in enumerate(wanted)
+    }
+
+
+def number(c: Column) -> Column:
+    """As double; NaN counts as missing."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Neither null nor NaN."""
+    c = quoted_col(name)
+    return c.isNotNull() & ~F.isnan(c) if isinstance(df.schema[name].dataType, T.FractionalType) and not isinstance(df.schema[name].dataType, T.DecimalType) else c.isNotNull()
 
 
 def _quoted(name: str) -> str:
@@ -204,20 +238,30 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
     ``table`` has one row per key with the number of rows it matches in
     ``weight``.  Up to ``BROADCAST_ROWS`` keys the table is broadcast.  Beyond
     that, keys with more than 1/1000 of the rows (so at most 1000 of them) are
-    broadcast and the rest is joined by shuffle; rows already answered get a
-    null key and a spread salt, so no task receives a whole hot group.
+    broadcast and the rest is joined by shuffle; rows already answered and rows
+    with a null key get a null key and a salt, so no task receives a whole hot
+    group.  Strings are compared by ``value_key``, so that a key has 66
+    characters at most and what is broadcast has a bounded size.
     """
-    table = table.select(*[quoted_col(k) for k in keys], *take, weight)
+    short = {k: f"_short{i}" for i, k in enumerate(keys)}
+    shortened = lambda df: {s: tx.value_key(quoted_col(k)) if isinstance(df.schema[k].dataType, T.StringType) else quoted_col(k)
+                            for k, s in short.items()}
+    columns = rows.columns
+    rows = rows.withColumns(shortened(rows))
+    table = table.withColumns(shortened(table)).select(*short.values(), *take, weight)
+    keys = list(short.values())
     if distinct is not None and distinct <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table.drop(weight)), keys, "left")
+        return rows.join(F.broadcast(table.drop(weight)), keys, "left").select(*[quoted_col(c) for c in columns], *take)
     limit = max(1, total_rows // HOT_SHARE)
     hot = table.where(F.col(weight) > limit).drop(weight)
-    cold = table.where(F.col(weight) <= limit).drop(weight)
+    cold = table.where(F.col(weight) <= limit).withColumnRenamed(weight, "_weight")
     hot = hot.withColumn("_hit", F.lit(True)).withColumnsRenamed({t: f"_hot_{t}" for t in take})
     marked = rows.join(F.broadcast(hot), keys, "left")
-    spread = F.pmod(F.xxhash64(*[quoted_col(c) for c in rows.columns]), F.lit(4096))
-    marked = marked.withColumn("_salt", F.when(F.col("_hit"), spread).otherwise(F.lit(0)))
-    cold = cold.withColumn("_salt", F.lit(0).cast("long")).withColumnsRenamed(
+    spread = F.pmod(F.xxhash64(*[quoted_col(c) for c in columns]), F.lit(4096))
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    marked = marked.withColumn("_salt", F.when(F.coalesce(F.col("_hit"), null_key), spread).otherwise(F.lit(0)))
+    # always 0, but not a literal: that would be folded out of the join keys
+    cold = cold.withColumn("_salt", F.least(F.col("_weight"), F.lit(0)).cast("long")).drop("_weight").withColumnsRenamed(
         {**{k: f"_k{i}" for i, k in enumerate(keys)}, **{t: f"_cold_{t}" for t in take}}
     )
     for i, k in enumerate(keys):
@@ -227,6 +271,6 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
         on = on & (marked[f"_m{i}"] == cold[f"_k{i}"])
     joined = marked.join(cold, on, "left")
     return joined.select(
-        *[quoted_col(c) for c in rows.columns],
+        *[quoted_col(c) for c in columns],
         *[F.coalesce(f"_hot_{t}", f"_cold_{t}").alias(t) for t in take],
     )

@@ -13,6 +13,7 @@ from tabloom.functions import text as tx
 from tabloom.functions.sampling import sample_per_column
 from tabloom.operators.facts import physical_classes, unpivoted
 from tabloom.operators.ranking import lookup, quoted_col
+from tabloom.session import written
 from tabloom.settings import DEFAULTS, NEGATIVE_WORDS, POSITIVE_WORDS, Settings
 
 # ------------------------------------------------------------------- scorers
@@ -108,7 +109,8 @@ def text_sample(df: DataFrame, keys: list[str], columns: list[str], cfg: Setting
     safe = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[quoted_col(k).alias(s) for k, s in zip(keys, safe)])
     cells = unpivoted(keyed, columns, safe).where("value is not null")
-    return sample_per_column(cells, cfg.sample_rows, safe, cfg.sample_seed)
+    # written: 500 cells a column, which several measures read
+    return written(sample_per_column(cells, cfg.sample_rows, safe, cfg.sample_seed), "text-sample")
 
 
 def sampled_text_facts(sample: DataFrame, vocabulary, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -193,7 +195,8 @@ def annotate(df: DataFrame, columns: list[str], scorer: Scorer, cfg: Settings =
             out = scorer.score(out, "_clean")
             out = _label_columns(out, c, cfg).drop("_clean")
         return out
-    distinct = score_distinct(df, columns, scorer).select(F.col("key").alias("_key"), "_raw_label", "_raw_score", "n")
+    scored = score_distinct(df, columns, scorer).select(F.col("key").alias("_key"), "_raw_label", "_raw_score", "n")
+    distinct = written(scored, "scored-texts")  # or every column, and both branches of its lookup, would run the scorer again
     totals = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.approx_count_distinct(quoted_col(c)).alias(f"d{i}") for i, c in enumerate(columns)],

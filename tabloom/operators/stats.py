@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
-from tabloom.operators.ranking import column_bounds, lookup, quoted_col, with_rank
+from tabloom.operators.ranking import column_bounds, lookup, number, present, quoted_col, with_rank
 from tabloom.settings import DEFAULTS, Settings
 
 Pair = tuple[str, str]
@@ -39,7 +39,7 @@ def _correlation(x, y):
 
 def pair_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     """(pair, a, b, n): rows where both are present; all pairs in one pass."""
-    both = lambda a, b: F.count(F.when(quoted_col(a).isNotNull() & quoted_col(b).isNotNull(), 1))
+    both = lambda a, b: F.count(F.when(present(df, a) & present(df, b), 1))
     return _rows(df.agg(*[both(a, b).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]), pairs, {"n": "long"})
 
 
@@ -47,7 +47,7 @@ def pearson(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     """(pair, a, b, n, r); r is null where either side is constant."""
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = quoted_col(a).cast("double"), quoted_col(b).cast("double")
+        x, y = number(quoted_col(a)), number(quoted_col(b))
         ok = x.isNotNull() & y.isNotNull()
         x, y = F.when(ok, x), F.when(ok, y)
         aggs += [F.count(x).alias(f"n{i}"), _correlation(x, y).alias(f"r{i}")]
@@ -61,7 +61,7 @@ def spearman(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     with nulls is ranked on its own complete rows.
     """
     columns = list(dict.fromkeys(c for p in pairs for c in p))
-    base = df.select(*[quoted_col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    base = df.select(*[number(quoted_col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     bounds = column_bounds(base, base.columns)
     whole = {c for c in columns if bounds[at[c]].complete}
@@ -109,7 +109,7 @@ def group_moments(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     items = [
         F.struct(
             F.lit(i).alias("pair"), tx.value_key(quoted_col(g).cast("string")).alias("g"),
-            quoted_col(y).cast("double").alias("y"),
+            number(quoted_col(y)).alias("y"),
         )
         for i, (y, g) in enumerate(pairs)
     ]
@@ -130,7 +130,7 @@ def anova(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     the overall mean so that large offsets cancel before squaring.
     """
     columns = list(dict.fromkeys(y for y, _ in pairs))
-    centres = df.agg(*[F.avg(quoted_col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centres = df.agg(*[F.avg(number(quoted_col(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     centre = {c: centres[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
     k = F.create_map(*[x for i, (y, _) in enumerate(pairs) for x in (F.lit(i), F.lit(centre[y]))])
     g = group_moments(df, pairs)

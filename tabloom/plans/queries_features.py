@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import text as tx
 from tabloom.operators import features as ft
 from tabloom.plans.queries_cleaning import LINE_EXTRA, kept_sql, column_rows, with_constants
-from tabloom.plans.registry import query, r6, spread, table, union_sql, words_sql
+from tabloom.plans.registry import query, r6, table, union_sql, words_sql
 
 
 @query("classify_columns", union_sql([
@@ -20,12 +20,13 @@ def classify_columns(spark, sf):
     return spark.createDataFrame(list(kinds.items()), "column string, kind string")
 
 
-HOLES = "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END"
+HOLES = "CASE WHEN c_mktsegment = 'BUILDING' OR c_nationkey = 3 THEN NULL ELSE c_acctbal END"
 
 
 def _holey(spark, sf):
-    c = table(spark, sf, "customer")
-    return c.withColumn("c_acctbal", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")))
+    """With nulls and, which count as missing too, NaN."""
+    some = F.when(F.col("c_nationkey") == 3, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return table(spark, sf, "customer").withColumn("c_acctbal", F.when(F.col("c_mktsegment") != "BUILDING", some))
 
 
 @query("median_fill", f"""
@@ -36,12 +37,12 @@ def median_fill(spark, sf):
     return out.select("c_custkey", r6("c_acctbal").alias("c_acctbal"))
 
 
-@query("zscore", """
-SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal_z, CAST(0 AS DOUBLE) AS flat_z
-FROM customer, (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer)
+@query("zscore", f"""
+SELECT c_custkey, round(({HOLES} - m) / s, 6) AS c_acctbal_z, CAST(0 AS DOUBLE) AS flat_z
+FROM customer, (SELECT avg({HOLES}) AS m, stddev_pop({HOLES}) AS s FROM customer)
 """)
 def zscore(spark, sf):
-    c = table(spark, sf, "customer").withColumn("flat", F.lit(3.0))
+    c = _holey(spark, sf).withColumn("flat", F.lit(3.0))
     out = ft.zscores(c, ["c_acctbal", "flat"])
     return out.select("c_custkey", r6("c_acctbal_z").alias("c_acctbal_z"), "flat_z")
 
@@ -50,9 +51,11 @@ _NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("numeric_meta", union_sql([
-    f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM lineitem" for c in _NUMERIC]))
+    f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std "
+    "FROM (SELECT * REPLACE (CASE WHEN l_linenumber = 2 THEN NULL ELSE l_tax END AS l_tax) FROM lineitem)" for c in _NUMERIC]))
 def numeric_meta(spark, sf):
-    out = ft.numeric_meta(table(spark, sf, "lineitem"), _NUMERIC)
+    tax = F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    out = ft.numeric_meta(table(spark, sf, "lineitem").withColumn("l_tax", tax), _NUMERIC)
     return out.select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
@@ -85,7 +88,7 @@ SELECT doc_id, len(w) AS text_word_count, round(len(list_distinct(w)) * 1.0 / gr
 FROM (SELECT doc_id, text, {words_sql('text')} AS w FROM documents)
 """)
 def text_features(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     out = ft.text_features(docs, ["text"])
     return out.select(
         "doc_id", F.col("text_word_count").cast("long").alias("text_word_count"), "text_has_url", "text_has_emoji",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.domains import DEFAULT_DOMAIN, DEFAULT_TITLE, DOMAIN_KEYWORDS, TITLE_RULES
 from tabloom.operators import profile as pf
 from tabloom.operators.facts import column_facts, unique_fraction
-from tabloom.plans.registry import iso_sql, query, r6, spread, table, union_sql
+from tabloom.plans.registry import iso_sql, query, r6, table, union_sql
 from tabloom.session import scratch_path
 from tabloom.sources import csv, store
 
@@ -20,14 +20,20 @@ TABLES = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
     "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
 }
 TABLES = {t: cols.split() for t, cols in TABLES.items()}
 TEXTUAL = {
     "r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus",
-    "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props",
+    "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props", "text", "lang", "source", "embedding", "url", "html", "role",
 }
 DATED = {"o_orderdate", "l_shipdate", "ts"}
-CORPUS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+CORPUS = list(TABLES)
 
 
 def facts_sql(tbl: str, columns: list[str]) -> str:
@@ -47,24 +53,27 @@ FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE')
 """)
 def csv_tolerant_read(spark, sf):
     """Customers written as messy CSV lines, by market segment: extra fields, an
-    extra empty field, missing fields, quotes and line breaks, NA words."""
+    extra empty field, a very long quoted field, missing fields, quotes and line breaks,
+    NA words, and files with another order of columns."""
     rows = table(spark, sf, "customer")
     segment = F.col("c_mktsegment")
     quoted = F.concat(F.lit('"Doe, ""'), "c_name", F.lit('""\né"'))
     name = F.when(segment == "FURNITURE", quoted).otherwise(F.col("c_name"))
     nation = F.when(segment == "HOUSEHOLD", "n/a").otherwise(F.col("c_nationkey").cast("string"))
+    turned = (segment == "FURNITURE") & (F.col("c_custkey") % 2 == 0)
     line = (
         F.when(segment == "MACHINERY", F.concat_ws(",", "c_custkey", name))
-        .when(segment == "BUILDING", F.concat_ws(",", "c_custkey", name, segment, nation, F.lit("more")))
+        .when(segment == "BUILDING", F.concat_ws(",", "c_custkey", name, segment, nation, F.concat(F.lit('"'), F.repeat(F.lit("more, "), 10_000), F.lit('"'))))
         .when(segment == "AUTOMOBILE", F.concat(F.concat_ws(",", "c_custkey", name, segment, nation), F.lit(",")))
+        .when(turned, F.concat_ws(",", nation, segment, name, "c_custkey"))
         .otherwise(F.concat_ws(",", "c_custkey", name, segment, nation))
     )
-    header = "c_custkey,c_name,c_mktsegment,c_nationkey"
+    header = F.when(F.col("turned"), "c_nationkey,c_mktsegment,c_name,c_custkey").otherwise("c_custkey,c_name,c_mktsegment,c_nationkey")
     path = scratch_path(spark, "messy_csv")
     # one folder per file, its header line first
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = rows.select(F.pmod(F.xxhash64("c_custkey"), F.lit(files)).alias("file"), F.lit(1).alias("ord"), line.alias("value"))
-    heads = body.select("file").distinct().select("file", F.lit(0).alias("ord"), F.lit(header).alias("value"))
+    body = rows.select(F.concat(F.pmod(F.xxhash64("c_custkey"), F.lit(files)), F.lit("-"), turned).alias("file"), turned.alias("turned"), F.lit(1).alias("ord"), line.alias("value"))
+    heads = body.select("file", "turned").distinct().select("file", "turned", F.lit(0).alias("ord"), header.alias("value"))
     lines = body.unionByName(heads).repartition("file").sortWithinPartitions("file", "ord")
     lines.select("file", "value").write.partitionBy("file").text(path, lineSep="\n")
     return csv.read_csv(spark, path)
@@ -191,7 +200,7 @@ _TITLE = first_match_sql("lower(domain)", TITLE_RULES, DEFAULT_TITLE)
 
 @query("domain_detect", f"SELECT doc_id, {_DOMAIN} AS domain FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def domain_detect(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return pf.with_domain(docs, "text").select("doc_id", "domain")
 
 
@@ -201,7 +210,7 @@ SELECT title, count(*) AS n, count(DISTINCT domain) AS n_domains FROM (
 GROUP BY title
 """)
 def domain_title(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     counted = pf.with_domain(docs, "text").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     return pf.with_title(counted).groupBy("title").agg(F.sum("n").alias("n"), F.count("domain").alias("n_domains"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
+from tabloom.functions.special import p_value_udf
 from tabloom.operators import charts as ch
 from tabloom.operators import features as ft
 from tabloom.operators import profile as pf
@@ -32,12 +33,14 @@ def effective_type(spark, sf):
 
 
 NUMERIC_PAIRS = [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"), ("l_quantity", "l_linenumber")]
-DISCOUNT_HOLES = "CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_discount END"
+DISCOUNT_HOLES = "CASE WHEN l_returnflag = 'R' OR l_linenumber = 1 THEN NULL ELSE l_discount END"
 
 
 def _lineitem(spark, sf):
+    """With a column that has nulls and, which counts as missing too, NaN."""
     li = table(spark, sf, "lineitem")
-    return li.withColumn("holey", F.when(F.col("l_returnflag") != "R", F.col("l_discount")))
+    some = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    return li.withColumn("holey", F.when(F.col("l_returnflag") != "R", some))
 
 
 @query("pair_counts", union_sql([
@@ -103,17 +106,31 @@ def anova_sql(y: str, g: str, source: str) -> str:
     SELECT n, k AS groups, between / total AS eta2, (between / (k - 1)) / (within / (n - k)) AS f, top, bottom FROM b, t"""
 
 
-_ANOVA_PAIRS = [("l_quantity", "l_returnflag"), ("l_extendedprice", "l_linestatus"), ("l_tax", "l_returnflag"), ("l_discount", "l_suppkey")]
+_ANOVA_PAIRS = [("l_quantity", "l_returnflag"), ("l_extendedprice", "l_linestatus"), ("l_tax", "l_returnflag"), ("l_discount", "l_suppkey"), ("holey", "l_linestatus")]
 
 
 @query("anova_eta2", union_sql([
-    f"SELECT '{a}' AS a, '{b}' AS b, n, groups, round(eta2, 6) AS effect, round(f, 4) AS f FROM ({anova_sql(a, b, 'lineitem')})"
+    f"SELECT '{a}' AS a, '{b}' AS b, n, groups, round(eta2, 6) AS effect, round(f, 4) AS f FROM ({anova_sql(a, b, f'(SELECT *, {DISCOUNT_HOLES} AS holey FROM lineitem)')})"
     for a, b in _ANOVA_PAIRS]))
 def anova_eta2(spark, sf):
-    out = stats.anova(table(spark, sf, "lineitem"), _ANOVA_PAIRS)
+    out = stats.anova(_lineitem(spark, sf), _ANOVA_PAIRS)
     return out.select("a", "b", "n", "groups", r6("effect").alias("effect"), F.round("f", 4).alias("f"))
 
 
+@query("test_p_values", f"""
+SELECT 'anova' AS test, round(pow(1 + 2 * f / (n - groups), -(n - groups) / 2.0), 6) AS p_value FROM ({anova_sql('l_quantity', 'l_returnflag', 'lineitem')})
+UNION ALL SELECT 'cramers_v', round(exp(-chi2 / 2), 6) FROM ({cramers_sql('l_returnflag', 'l_linestatus', 'lineitem')})
+""")
+def test_p_values(spark, sf):
+    """Tests with two degrees of freedom, whose tails SQL can express: three classes against numbers and against two."""
+    li = table(spark, sf, "lineitem")
+    f = stats.anova(li, [("l_quantity", "l_returnflag")]).select(F.lit("anova").alias("test"), p_value_udf(F.lit("f"), "f", "df1", "df2").alias("p_value"))
+    none = F.lit(None).cast("double")
+    chi2 = stats.cramers_v(li, [("l_returnflag", "l_linestatus")]).select(
+        F.lit("cramers_v").alias("test"), p_value_udf(F.lit("chi2"), "chi2", "dof", none).alias("p_value"))
+    return f.unionByName(chi2).select("test", r6("p_value").alias("p_value"))
+
+
 @query("group_mean_direction", """
 SELECT round(max(m), 6) AS top_mean, round(min(m), 6) AS bottom_mean, CASE WHEN max(m) > min(m) THEN 'positive' ELSE 'negative' END AS direction
 FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)
@@ -346,10 +363,13 @@ def relation_summary_lines(spark, sf):
 @query("prettify", r"""
 SELECT p_name, regexp_replace(trim(replace(k, '_', ' ')), '^$', '') AS raw, pretty FROM (
   SELECT DISTINCT p_name, replace(p_name, ' ', '_') || '_(10)' AS k,
-    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' (10)' AS pretty FROM part)
+    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' (10)' AS pretty FROM part
+  UNION ALL SELECT 'café élève', 'café_élève_(10)', 'Café Élève (10)' FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region))
 """)
 def prettify(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
+    """Names of parts, and one with letters beyond ASCII."""
+    accented = table(spark, sf, "region").groupBy().agg(F.min("r_regionkey")).select(F.lit("café élève").alias("p_name"))
+    names = table(spark, sf, "part").select("p_name").distinct().unionByName(accented)
     key = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_(10)"))
     return names.select("p_name", F.replace(key, F.lit("_"), F.lit(" ")).alias("raw"), tx.prettify(key).alias("pretty"))
 
@@ -367,21 +387,27 @@ def scatter_fit(spark, sf):
 
 
 @query("scatter_points", """
-SELECT o_custkey AS x, o_totalprice AS y FROM orders ORDER BY md5('1:' || o_orderkey), o_orderkey LIMIT 1000
+WITH e AS (SELECT min(o_custkey)::DOUBLE AS x0, max(o_custkey)::DOUBLE AS x1, min(o_totalprice) AS y0, max(o_totalprice) AS y1 FROM orders)
+SELECT least(floor((o_custkey - x0) / (x1 - x0) * 100), 99)::INTEGER AS x_bin, least(floor((o_totalprice - y0) / (y1 - y0) * 100), 99)::INTEGER AS y_bin,
+       count(*) AS n, round(avg(o_custkey), 2) AS x, round(avg(o_totalprice), 1) AS y
+FROM orders, e GROUP BY 1, 2
 """)
 def scatter_points(spark, sf):
-    return ch.scatter_points(table(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], 1000)
+    out = ch.scatter_points(table(spark, sf, "orders"), "o_custkey", "o_totalprice")
+    return out.select("x_bin", "y_bin", "n", F.round("x", 2).alias("x"), F.round("y", 1).alias("y"))
 
 
 @query("box_stats", """
-WITH t AS (SELECT coalesce(CASE WHEN user_id < 10 THEN NULL ELSE event_type END, '__MISSING__') AS cat, value AS v FROM events WHERE value IS NOT NULL),
+WITH t AS (SELECT coalesce(CASE WHEN user_id < 10 THEN NULL ELSE event_type END, '__MISSING__') AS cat, value AS v FROM events WHERE value IS NOT NULL AND event_id % 50 <> 1),
 q AS (SELECT cat, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY cat)
 SELECT substr(cat, 1, 30) AS label, n, round(least(min(v), q1), 6) AS low_whisker, round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) AS q3,
        round(greatest(max(v), q3), 6) AS high_whisker
 FROM t JOIN q USING (cat) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY cat, n, q1, q2, q3
 """)
 def box_stats(spark, sf):
-    e = table(spark, sf, "events").withColumn("event_type", F.when(F.col("user_id") >= 10, F.col("event_type")))
+    e = table(spark, sf, "events").withColumns({
+        "event_type": F.when(F.col("user_id") >= 10, F.col("event_type")),
+        "value": F.when(F.col("event_id") % 50 == 1, F.lit(float("nan"))).otherwise(F.col("value"))})
     out = ch.box_stats(e, "value", "event_type")
     return out.select("label", "n", *[r6(c).alias(c) for c in ("low_whisker", "q1", "median", "q3", "high_whisker")])
 
@@ -395,12 +421,13 @@ def crosstab_heatmap(spark, sf):
 
 
 @query("daily_mean", """
-WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE event_type = 'purchase' GROUP BY 1),
+WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE day(ts) <> 13 GROUP BY 1),
 s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
 SELECT strftime(s.day, '%Y-%m-%d') AS day, round(mean, 6) AS mean FROM s LEFT JOIN d ON s.day = d.day
 """)
 def daily_mean(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase'")
+    """Values of one day of each month are missing, which leaves gaps."""
+    e = table(spark, sf, "events").withColumn("value", F.when(F.dayofmonth("ts") != 13, F.col("value")))
     return ch.daily_mean(e, "ts", "value").select(F.date_format("day", "yyyy-MM-dd").alias("day"), r6("mean").alias("mean"))
 
 

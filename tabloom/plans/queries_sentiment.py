@@ -13,7 +13,7 @@ from tabloom.operators.charts import shares
 from tabloom.operators.features import average_sentiment
 from tabloom.plans.queries_cleaning import LABEL_SQL, labelled_events
 from tabloom.plans.registry import (
-    TEST_NEGATIVE, TEST_POSITIVE, clean_sql, hits_sql, query, r6, spread, table, union_sql, words_sql,
+    TEST_NEGATIVE, TEST_POSITIVE, clean_sql, hits_sql, query, r6, table, union_sql, words_sql,
 )
 
 SCORER = st.LexiconScorer(TEST_POSITIVE, TEST_NEGATIVE)
@@ -64,7 +64,7 @@ def sentiment_num_existing(spark, sf):
 
 @query("clean_text", f"SELECT doc_id, md5({clean_sql('text')}) AS h, length({clean_sql('text')}) AS len FROM documents")
 def clean_text(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     cleaned = docs.withColumn("clean", tx.clean_text(F.col("text")))
     return cleaned.select("doc_id", F.md5("clean").alias("h"), F.length("clean").cast("long").alias("len"))
 
@@ -161,7 +161,7 @@ SELECT md5(c) AS h, raw_label, round(score, 6) AS score, count(*) AS n FROM ({sc
 GROUP BY ALL
 """)
 def sentiment_score_dedup(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = st.score_distinct(docs, ["text"], SCORER)
     return scored.select(F.md5("clean").alias("h"), F.col("_raw_label").alias("raw_label"), r6("_raw_score").alias("score"), "n")
 

@@ -30,13 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartitions by key only where the scan has fewer splits than there are
-    cores, as with one small file of long texts.  Large inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def r6(c) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 6)
 

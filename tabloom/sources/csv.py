@@ -12,16 +12,16 @@ from tabloom.operators.ranking import quoted_col
 _CORRUPT = "_tabloom_record"
 
 
-def _encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Encoding -> files.  Lines are read as bytes and tested for valid UTF-8 in
-    a splittable scan; a file with an invalid line is Latin-1."""
+def _kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(file, valid, wrapped, header): whether all lines are UTF-8, whether a quoted value may hold a line break, and the
+    first line.  Lines are read in a splittable scan and combined per file."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    rows = lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault("UTF-8" if r["ok"] else "ISO-8859-1", []).append(r["file"])
-    return out
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("wrapped"),
+        F.min_by("value", F.when(F.col("block") == 0, F.col("at"))).alias("header"))
 
 
 def _header(spark: SparkSession, file: str, encoding: str, sep: str) -> list[str]:
@@ -32,36 +32,46 @@ def _header(spark: SparkSession, file: str, encoding: str, sep: str) -> list[str
     )
     names, seen = [], {}
     for i, raw in enumerate(first):
-        name = (raw or "").lstrip("﻿") or f"Unnamed: {i}"
+        name = (raw or "").lstrip("\ufeff") or f"Unnamed: {i}"
         count = seen.get(name, 0)
         seen[name] = count + 1
         names.append(name if count == 0 else f"{name}.{count}")
     return names
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
     """All cells as strings: long rows dropped, short rows padded, NA words null.
 
     A row with more fields than the header is skipped even when the extra field
-    is empty.  ``multi_line=False`` keeps files splittable where no quoted value
-    holds a line break.
+    is empty.  Files are read by encoding and header, and columns are aligned by
+    name, so files may have them in any order.  Files stay splittable unless a
+    quoted value holds a line break, which the first scan finds out
+    (``multi_line`` decides it instead).
     """
-    groups = _encodings(spark, path)
-    if not groups:
+    found = _kinds(spark, path)
+    # one row per kind of file, and the names of files only where kinds differ
+    kinds = found.groupBy("valid", "header").agg(F.bool_or("wrapped").alias("wrapped"), F.min("file").alias("file")).collect()
+    if not kinds:
         raise ValueError(f"no CSV files under {path}")
     parts = []
-    for encoding, files in sorted(groups.items()):
-        names = _header(spark, files[0], encoding, sep)
+    for kind in sorted(kinds, key=lambda k: (not k["valid"], k["file"])):
+        encoding = "UTF-8" if kind["valid"] else "ISO-8859-1"
+        files = [path] if len(kinds) == 1 else [
+            r["file"] for r in found.where(F.col("valid") == kind["valid"]).where(F.col("header").eqNullSafe(kind["header"])).select("file").collect()]
+        wrapped = kind["wrapped"] if multi_line is None else multi_line
+        names = _header(spark, kind["file"], encoding, sep)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
         raw = (
             spark.read.schema(schema)
-            .options(header=True, enforceSchema=True, sep=sep, quote='"', escape='"', multiLine=multi_line,
+            .options(header=True, enforceSchema=True, sep=sep, quote='"', escape='"', multiLine=wrapped,
                      encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, columnPruning=False)
             .csv(files)
         )
-        unquoted = F.regexp_replace(F.col(_CORRUPT), r'(?s)"([^"]|"")*"', "")
+        # pairs of quotes hold what no separator in it counts for; a doubled quote is two such pairs side by side
+        unquoted = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
         separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))
-        too_long = F.coalesce(separators >= len(names), F.lit(False))
+        # the first column is named too: the record alone cannot be asked for, as a count would
+        too_long = F.coalesce((separators >= len(names)) & (F.length(F.coalesce(quoted_col(names[0]), F.lit(""))) >= 0), F.lit(False))
         cells = [
             F.when(~F.coalesce(quoted_col(n), F.lit("")).isin(*tx.NA_TOKENS), quoted_col(n)).alias(n) for n in names
         ]

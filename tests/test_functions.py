@@ -94,3 +94,19 @@ def test_p_values_of_degenerate_tests():
     assert sp.p_value("f", math.inf, 2, 5) == 0.0
     assert sp.p_value("f", 1.0, 2, 0) is None
     assert sp.p_value("chi2", 0.0, 0, None) == 1.0
+
+
+def test_tails_far_out():
+    for a in (1e5, 1e7, 5e9, 5e11, 1e12):
+        assert abs(sp.gamma_upper(a, a) - 0.5) < 0.5 / math.sqrt(a)
+    assert sp.gamma_upper(99_999.0, 100_300.0) == pytest.approx(sp.gamma_upper(100_001.0, 100_302.0), rel=1e-4)
+    for df in (1e5, 1e7, 1.001e7, 1e9):
+        assert sp.t_two_sided(30.0, df) == pytest.approx(sp.f_upper(900.0, 1.0, df), rel=1e-6)
+    assert sp.t_two_sided(30.0, 1e7) == pytest.approx(sp.t_two_sided(30.0, 1.001e7), rel=1e-4)
+    assert sp.f_upper(3.0, 2.0, 57.0) == pytest.approx((1 + 6 / 57) ** -28.5, rel=1e-12)
+    assert sp.f_upper(1.0, 1e6, 1e6) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_capitals_beyond_ascii(spark):
+    df = spark.createDataFrame([("café_élève",), ("übung 2x_straße",)], "s string")
+    assert [r[0] for r in df.select(tx.prettify(F.col("s"))).collect()] == ["Café Élève", "Übung 2X Straße"]

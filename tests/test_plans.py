@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from tabloom.operators import charts
 from tabloom.operators import features as ft
 from tabloom.operators import sentiment as st
 from tabloom.operators import stats
@@ -47,7 +48,7 @@ def test_text_features_read_only_the_text(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    p = plan(QUERIES["daily_mean"](spark, SF))
+    p = plan(charts.daily_mean(read(spark, "events").where("event_type = 'purchase'"), "ts", "value"))
     assert "EqualTo(event_type,purchase)" in p and "user_id" not in p
 
 

@@ -86,3 +86,39 @@ def test_sample_with_repeated_keys_keeps_its_size(spark):
     assert seeded_sample(df, 50, ["k"], 1).count() == 50
     long = df.select(F.lit("c").alias("column"), "k", F.col("i").cast("string").alias("value"))
     assert sample_per_column(long, 50, ["k"], 1).count() == 50
+
+
+def records_read(spark, df):
+    """Rows that each task of the last join reads."""
+    return [len(rows) for rows in df.rdd.glom().collect()]
+
+
+def test_lookup_spreads_hot_and_null_keys(spark, monkeypatch):
+    """A third of the rows under one key and a third without a key: no task of the join gets much more than its share."""
+    monkeypatch.setattr(rk, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(rk, "HOT_SHARE", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(i, ["hot", None, f"k{i}"][i % 3]) for i in range(12000)]
+        df = spark.createDataFrame(rows, "i int, k string")
+        table = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+        out = rk.lookup(df, table, ["k"], ["top"], 12000, None)
+        sizes = records_read(spark, out)
+        assert sum(sizes) == 12000 and max(sizes) <= 2 * 12000 / len(sizes)
+        got = {r["i"]: r["top"] for r in out.collect()}
+        assert all(got[i] == {"hot": 11997, None: None}.get(k, i) for i, k in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ranges_of_a_nearly_constant_column(spark, monkeypatch):
+    """999 of 1000 rows are equal; the others still fall into many ranges of about one size."""
+    monkeypatch.setattr(rk, "BROADCAST_ROWS", 100)
+    df = spark.range(400_000).select(F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).otherwise(-1.0).alias("x"))
+    bounds = rk.column_bounds(df, ["x"])["x"]
+    sizes = [r["count"] for r in rk.with_bucket(df.where("x >= 0"), "x", bounds.cuts).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) <= 3 * 400 / 8
+    ranked = rk.with_rank(df, "x", bounds, "rank").where("x >= 0").orderBy("x")
+    assert [r["rank"] for r in ranked.collect()] == [399_600 + i for i in range(1, 401)]

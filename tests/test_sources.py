@@ -61,3 +61,20 @@ def test_domain_keeps_rule_order(spark):
     titles = [r["title"] for r in pf.with_title(pf.with_domain(df, "t").select(F.col("domain"))).collect()]
     # "Mental Health" meets the earlier rule for "health"
     assert titles[3].startswith("Hospital Patient Record")
+
+
+def test_csv_can_be_counted_and_takes_long_fields(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text('a,b\n1,2\n3,"' + "x," * 25_000 + '",5\n6,"' + 'y""' * 25_000 + '"\n')
+    df = csv.read_csv(spark, str(path))
+    assert df.count() == 2
+    assert sorted((r["a"], len(r["b"])) for r in df.collect()) == [("1", 1), ("6", 50_000)]
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "f" / "2.csv").write_text("b,a\n4,3\n")
+    (tmp_path / "f" / "3.csv").write_text("c,a\n6,5\n")
+    rows = {tuple(r) for r in csv.read_csv(spark, str(tmp_path / "f")).select("a", "b", "c").collect()}
+    assert rows == {("1", "2", None), ("3", "4", None), ("5", None, "6")}
