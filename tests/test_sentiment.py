@@ -94,5 +94,5 @@ def test_model_scorer(spark):
     scorer = cf.ModelScorer(model, "t", {0: "negative", 1: "positive"})
     out = st.annotate(df.withColumnRenamed("t", "review"), ["review"], scorer)
     assert out.where("(y = 1) <> (review_sentiment = 'positive')").count() == 0
-    best = cf.compare([cf.train_and_score(df, "t", "y", ["k"], "naive_bayes")] * 2)
+    best = cf.compare([cf.train_and_score(cf.written_split(df, "y", ["k"]), "t", "y", "naive_bayes")] * 2)
     assert [r["model"] for r in best.collect()] == ["naive_bayes"]
