@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabloom.functions import text as tx
 from tabloom.operators.cleaning import drop_constant
 from tabloom.operators.facts import column_facts, physical_class, physical_classes
-from tabloom.operators.ranking import column_bounds, lookup, median, number, quoted_col
+from tabloom.operators.ranking import lookup, number, quantiles, quoted_col
 from tabloom.settings import DEFAULTS, Settings
 
 TEXT_PARTS = ("word_count", "unique_ratio", "has_url", "has_emoji", "upper_ratio")
@@ -58,18 +58,19 @@ def to_number(df: DataFrame, c: str) -> Column:
 def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and NaN become the exact median.
 
-    Columns without nulls cost nothing beyond the one counting action; for the
-    others the median comes from counts per value, not from one big sort.
+    Columns without nulls cost nothing beyond the one counting action; the medians
+    of all others come from one table of counts per column and value.
     """
     if not columns:
         return df
     coerced = df.withColumns({c: to_number(df, c) for c in columns})
-    bounds = column_bounds(coerced, columns)
-    fixes = {}
-    for c in columns:
-        if 0 < bounds[c].non_null and not bounds[c].complete:
-            fixes[c] = F.coalesce(quoted_col(c), median(coerced, c, bounds[c]))
-    return coerced.withColumns(fixes) if fixes else coerced
+    row = coerced.agg(F.count(F.lit(1)).alias("rows"), *[F.count(quoted_col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    holey = [c for i, c in enumerate(columns) if 0 < row[f"n{i}"] < row["rows"]]
+    if not holey:
+        return coerced
+    cells = coerced.select(F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), quoted_col(c).alias("v")) for i, c in enumerate(holey)])))
+    found = {r["slot"]: r["q0"] for r in quantiles(cells.where("v is not null"), "v", [0.5], ["slot"]).collect()}
+    return coerced.withColumns({c: F.coalesce(quoted_col(c), F.lit(found[i])) for i, c in enumerate(holey)})
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:

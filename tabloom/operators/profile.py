@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tabloom.functions.domains import DOMAIN_KEYWORDS, DEFAULT_DOMAIN, TITLE_RULES, DEFAULT_TITLE
 from tabloom.operators.facts import column_facts, physical_classes, unique_fraction, unpivoted
 from tabloom.operators.ranking import quoted_col
+from tabloom.session import written
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -29,13 +30,34 @@ def semantic_type() -> Column:
     )
 
 
+HEAD_ROWS = 256
+
+
 def first_values(df: DataFrame, keys: list[str], columns: list[str] | None = None, n: int = 5) -> DataFrame:
     """(column, sample_values): first n non-null values of each column in key order.
 
-    The rank filter is pushed below the shuffle, so a task sends at most n
-    cells per column.
+    The first ``HEAD_ROWS`` rows, found by a bounded heap in each task, hold them for most columns.  Only columns with
+    too few values there are searched in the whole table.
     """
     columns = columns or df.columns
+    needed = list(dict.fromkeys([*columns, *keys]))
+    key = F.struct(*[quoted_col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    head = written(df.select(*[quoted_col(c) for c in needed]).orderBy(*[quoted_col(k) for k in keys]).limit(HEAD_ROWS), "head")
+    facts = head.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("last")).first()
+    if facts["n"] < HEAD_ROWS:
+        return _first_values(head, keys, columns, n)
+    # rows that share the last key may be cut off, so only those before it count
+    last = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, facts["last"]))])
+    early = head.where(key < last)
+    counts = early.agg(*[F.count(quoted_col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    there = [c for i, c in enumerate(columns) if counts[f"n{i}"] >= n]
+    rest = [c for c in columns if c not in there]
+    parts = [_first_values(early, keys, there, n)] if there else []
+    parts += [_first_values(df, keys, rest, n)] if rest else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _first_values(df: DataFrame, keys: list[str], columns: list[str], n: int) -> DataFrame:
     safe_keys = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[quoted_col(k).alias(s) for k, s in zip(keys, safe_keys)])
     order = Window.partitionBy("column").orderBy(*safe_keys, "value")

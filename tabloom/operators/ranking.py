@@ -226,11 +226,6 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
     return placed.groupBy(*groups).agg(*out).withColumnsRenamed(dict(zip(groups, by)))
 
 
-def median(df: DataFrame, value: str, bounds: ColumnBounds | None = None) -> Column:
-    """Exact median as a scalar subquery."""
-    return quantiles(df, value, [0.5], bounds=bounds).select("q0").scalar()
-
-
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
            total_rows: int, distinct: int | None, weight: str = "n") -> DataFrame:
     """Left join of a key table, safe against hot keys.

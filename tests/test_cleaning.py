@@ -95,3 +95,25 @@ def test_flags_are_numbers(spark):
     assert {r["column"]: r["dtype"] for r in pf.profile(df).collect()} == {"b": "numeric", "s": "categorical"}
     assert ft.classify(df) == {"b": "numeric", "s": "categorical"}
     assert sorted(r[0] for r in ft.median_fill(df, ["b"]).select("b").collect()) == [0.0, 0.5, 1.0]
+
+
+def test_first_values_beyond_the_head(spark, monkeypatch):
+    """Columns that are null at the beginning, and keys that repeat at the border of the first rows."""
+    from tabloom.operators import profile as pf
+
+    rows = [(i // 3, None if i < 90 else f"v{i:03d}", f"w{(97 * i) % 100:02d}") for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, late string, w string").repartition(4)
+    want = {r["column"]: r["sample_values"] for r in pf.first_values(df, ["k"]).collect()}
+    monkeypatch.setattr(pf, "HEAD_ROWS", 7)
+    assert {r["column"]: r["sample_values"] for r in pf.first_values(df, ["k"]).collect()} == want
+    assert want["late"] == ["v090", "v091", "v092", "v093", "v094"]
+
+
+def test_codes_with_a_string_row_key(spark):
+    df = spark.createDataFrame([(f"r{i:03d}", f"t{(i * 7) % 40}" if i % 5 else None) for i in range(300)], "key string, y string").repartition(5)
+    got = {r["key"]: r["y"] for r in cl.encode_first_seen(df, "y", ["key"]).collect()}
+    codes = {}
+    for i in range(300):
+        if i % 5:
+            codes.setdefault(f"t{(i * 7) % 40}", len(codes))
+    assert got == {f"r{i:03d}": codes[f"t{(i * 7) % 40}"] if i % 5 else None for i in range(300)}
