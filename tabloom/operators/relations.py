@@ -12,10 +12,15 @@ from tabloom.functions import text as tx
 from tabloom.functions.special import p_value_udf
 from tabloom.operators import stats
 from tabloom.operators.facts import column_facts, constant_columns, physical_classes
-from tabloom.operators.ranking import quoted_col
+from tabloom.operators.ranking import number, quoted_col
 from tabloom.settings import DEFAULTS, Settings
 
 NUMERIC_SUFFIXES = ("_num", "_z", "_confidence", "_freq", "_encoded")
+# Why a test has no result.
+FAILURES = {
+    "spearman": "constant_or_error", "spearman_time_hour": "constant_or_error", "anova_eta2": "anova_failed_or_insufficient",
+    "cramers_v": "chi2_failed_or_insufficient",
+}
 HOUR_FIRST = ("_hour", "_day", "_month", "_year")
 
 # -------------------------------------------------------------------- planning
@@ -113,7 +118,7 @@ def plan_pairs(df: DataFrame, reps: dict[str, str], facts: list[dict], primary:
                     add(target, p)
     numeric = [p for p in reps if p in profiled_numeric and kinds.get(reps[p]) == "numeric"]
     if numeric:
-        row = df.agg(*[F.stddev_samp(quoted_col(reps[p]).cast("double")).alias(f"s{i}") for i, p in enumerate(numeric)]).first()
+        row = df.agg(*[F.stddev_samp(number(quoted_col(reps[p]))).alias(f"s{i}") for i, p in enumerate(numeric)]).first()
         spread = {p: row[f"s{i}"] for i, p in enumerate(numeric)}
         ranked = sorted((p for p in numeric if spread[p] is not None), key=lambda p: (-round(spread[p], 9), p))
         top = ranked[: cfg.top_numeric]
@@ -138,7 +143,7 @@ def _family(kind_a: str, kind_b: str) -> str:
 def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per pair: method, effect, p, n, direction, notes.
 
-    One job per kind of test, not per pair.
+    One job per kind of test, not per pair; hours are ranked together with numbers.
     """
     families: dict[str, list[tuple[int, str, str]]] = {}
     for i, (_, _, ra, rb) in enumerate(pairs):
@@ -155,16 +160,20 @@ def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULT
     none = F.lit(None).cast("double")
     sign = F.when(F.col("r") > 0, "positive").otherwise("negative")
     parts = []
+    hours = {b: f"_hour{i}" for i, b in enumerate(dict.fromkeys(b for _, _, b in families.get("spearman_time_hour", [])))}
+    ranked = families.pop("spearman", []), families.pop("spearman_time_hour", [])
+    items = [*ranked[0], *ranked[1]]
+    if items:
+        with_hours = df.withColumns({h: F.hour(quoted_col(b)) for b, h in hours.items()})
+        found = stats.spearman(with_hours, [*[(a, b) for _, a, b in ranked[0]], *[(a, hours[b]) for _, a, b in ranked[1]]])
+        method = F.when(F.col("pair") < len(ranked[0]), "spearman").otherwise("spearman_time_hour")
+        parts.append(found.select(
+            seq(items), method.alias("method"), F.col("r").alias("effect_size"), F.lit("r").alias("test"), F.col("r").alias("statistic"),
+            (F.col("n") - 2).cast("double").alias("df1"), none.alias("df2"), sign.alias("direction"),
+        ))
     for family, items in families.items():
         todo = [(a, b) for _, a, b in items]
-        if family in ("spearman", "spearman_time_hour"):
-            found = (stats.spearman if family == "spearman" else stats.spearman_time_hour)(df, todo)
-            parts.append(found.select(
-                seq(items), F.lit(family).alias("method"), F.col("r").alias("effect_size"),
-                F.lit("r").alias("test"), F.col("r").alias("statistic"),
-                (F.col("n") - 2).cast("double").alias("df1"), none.alias("df2"), sign.alias("direction"),
-            ))
-        elif family == "anova_eta2":
+        if family == "anova_eta2":
             found = stats.anova(df, todo)
             up = F.when(F.col("top_mean") > F.col("bottom_mean"), "positive").otherwise("negative")
             parts.append(found.select(
@@ -187,7 +196,8 @@ def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULT
     # both sides hold one row per column pair
     joined = names.join(F.broadcast(complete), "seq").join(F.broadcast(tested), "seq", "left")
     enough = F.col("n") >= 10
-    failed = F.when(~enough, "too_few_samples").when(F.col("effect_size").isNull(), "constant_or_insufficient")
+    cause = F.create_map(*[F.lit(x) for pair in FAILURES.items() for x in pair])
+    failed = F.when(~enough, "too_few_samples").when(F.col("effect_size").isNull(), F.coalesce(cause[F.col("method")], F.lit("fallback_failed")))
     keep = lambda c: F.when(enough & F.col("effect_size").isNotNull(), F.col(c)).alias(c)
     return joined.withColumn("p_value", p_value_udf("test", "statistic", "df1", "df2")).select(
         "seq", "parent_a", "parent_b", "feature_a", "feature_b", keep("method"), keep("effect_size"), keep("p_value"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
+from tabloom.functions.special import p_value_udf
 from tabloom.operators.ranking import column_bounds, lookup, number, present, quoted_col, with_rank
 from tabloom.settings import DEFAULTS, Settings
 
@@ -44,14 +45,15 @@ def pair_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
 
 
 def pearson(df: DataFrame, pairs: list[Pair]) -> DataFrame:
-    """(pair, a, b, n, r); r is null where either side is constant."""
+    """(pair, a, b, n, r, p_value); r and p are null where either side is constant."""
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = number(quoted_col(a)), number(quoted_col(b))
         ok = x.isNotNull() & y.isNotNull()
         x, y = F.when(ok, x), F.when(ok, y)
         aggs += [F.count(x).alias(f"n{i}"), _correlation(x, y).alias(f"r{i}")]
-    return _rows(df.agg(*aggs), pairs, {"n": "long", "r": "double"})
+    rows = _rows(df.agg(*aggs), pairs, {"n": "long", "r": "double"})
+    return rows.withColumn("p_value", p_value_udf(F.lit("r"), "r", (F.col("n") - 2).cast("double"), F.lit(None).cast("double")))
 
 
 def spearman(df: DataFrame, pairs: list[Pair]) -> DataFrame:
