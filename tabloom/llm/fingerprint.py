@@ -12,6 +12,8 @@ by itself, and the last document of a range gets the first one of the following
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,14 +86,16 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
-def with_next(rows: DataFrame, id: str, tie: str, take: list[str]) -> DataFrame:
-    """Adds ``next_<column>``: what the following row in the order of ``id`` (a number; nulls first) and ``tie`` holds.
+def with_next(rows: DataFrame, id: str, tie: str, add: Callable[[DataFrame], DataFrame], take: list[str]) -> DataFrame:
+    """``add(rows)`` and ``next_<column>``: what the following row in the order of ``id`` (a number; nulls first) and ``tie`` holds.
 
-    The last row is followed by the first.
+    The last row is followed by the first.  ``add`` makes columns of single rows; it is given the rows that begin a range
+    once more, and no others.
     """
     buckets = RANGES_PER_PARTITION * max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.col(id).cast("double")
-    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or [0.0]  # any border serves where there are no numbers
+    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
+    cuts = cuts or [0.0]  # any border serves where there are no numbers
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = rows.withColumn("_x", F.coalesce(key, F.lit(float("-inf"))))
     ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_range", handleInvalid="keep").transform(ranged).drop("_x")
@@ -100,12 +104,13 @@ def with_next(rows: DataFrame, id: str, tie: str, take: list[str]) -> DataFrame:
         "_before", F.coalesce(
             F.lag("_range").over(Window.orderBy("_range")),
             F.max("_range").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    first = ranged.join(F.broadcast(follows), "_range").where(F.col("_first") == F.struct(id, tie)).select(
-        F.col("_before").alias("_of"), *[F.col(c).alias(f"_first_{c}") for c in take]).dropDuplicates(["_of"])
+    first = ranged.join(F.broadcast(follows), "_range").where(F.col("_first") == F.struct(id, tie)).drop("_first", "_range").dropDuplicates(["_before"])
+    first = add(first).select(F.col("_before").alias("_of"), *[F.col(c).alias(f"_first_{c}") for c in take])
+    added = add(ranged)
     order = Window.partitionBy("_range").orderBy(F.col(id).asc_nulls_first(), tie)
-    led = ranged.withColumns({f"next_{c}": F.lead(c).over(order) for c in take})
+    led = added.withColumns({f"next_{c}": F.lead(c).over(order) for c in take})
     joined = led.join(first, led["_range"] == first["_of"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(f"next_{c}", f"_first_{c}").alias(f"next_{c}") for c in take])
+    return joined.select(*[c for c in added.columns if c != "_range"], *[F.coalesce(f"next_{c}", f"_first_{c}").alias(f"next_{c}") for c in take])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,8 +124,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     likeness 1.  A single row is its own next document.  An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(docs[quoted(doc_id)].alias("id"), text_column(docs, text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    signed = with_signature(rows, "text", "signature")
-    paired = with_next(signed, "id", "tie", ["text", "signature"])
+    paired = with_next(rows, "id", "tie", lambda df: with_signature(df, "text", "signature"), ["text", "signature"])
     n = F.char_length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring("next_text", F.lit(1), tail))
