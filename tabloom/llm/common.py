@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.session import scratch_path
 
 CHUNK_BYTES = 1 << 20  # texts are worked on in pieces of about this size, so memory does not grow with a batch
 SHINGLE_WORDS = 5
+BATCH_ROWS = 2000
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +24,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows for this session: the rows are whole texts, of which a worker and its JVM hold copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def text_column(df: DataFrame, text: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(df[quoted(text)].cast("string"), F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import (
     bpe, embedding_dedup, fingerprint, minhash_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter,
 )
+from tabloom.llm.common import small_batches
 from tabloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

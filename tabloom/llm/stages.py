@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import minhash_dedup, packing, quality, suffix_dedup, toxicity
+from tabloom.llm.common import small_batches
 from tabloom.llm.queries import table, tokenizer_path
 
 NEAR_PERCENT = 80
@@ -26,6 +27,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Of repeated rows one stays.  Rows without an id have no document to stand for them and all stay.
     """
+    small_batches(spark)
     kept = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(
         docs.where("doc_id IS NULL"))
@@ -33,6 +35,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that occur more than once; a character of which bytes went goes as a whole."""
+    small_batches(spark)
     rest = {c: f"_rest{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
     kept = suffix_dedup.remove_repeats(docs.withColumnsRenamed(rest), carry=list(rest.values()), as_text=True)
     kept = kept.select("doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"), *rest.values())
@@ -41,4 +44,5 @@ def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
