@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import cleaning, features, profile, relations, responses, sentiment
 from tabloom.operators.cleaning import validate_targets
+from tabloom.operators.facts import physical_classes
 from tabloom.session import scratch_path
 from tabloom.settings import DEFAULTS, Settings
 from tabloom.sources import csv
@@ -23,7 +24,7 @@ ROW = "_tabloom_row"  # key given to a table that has none
 
 
 def analyze_csv(spark: SparkSession, path: str, primary: str, secondary=(), task: str = "classification",
-                name: str = "table", out: str | None = None, multi_line: bool = True, **options) -> dict[str, DataFrame]:
+                name: str = "table", out: str | None = None, multi_line: bool | None = None, **options) -> dict[str, DataFrame]:
     """:func:`analyze` of a CSV file or folder.
 
     Rows are numbered in file order, and the numbered table is written once so
@@ -41,9 +42,11 @@ def analyze_csv(spark: SparkSession, path: str, primary: str, secondary=(), task
 
 def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: str = "classification",
             name: str = "table", out: str | None = None, scorer=None, epoch_units: dict[str, str] | None = None,
-            response: str | None = None, cfg: Settings = DEFAULTS) -> dict[str, DataFrame]:
+            response: str | None = None, export: str | None = None, cfg: Settings = DEFAULTS) -> dict[str, DataFrame]:
     """Runs every stage on one table; finished stages are read back, not redone.
 
+    With ``export``, the cleaned, enriched and feature tables are also written there as CSV, a folder each.
+
     ``keys`` identify a row and give its order.  Wide stage tables are written
     once and re-read, so each decision scans files rather than the chain before.
     """
@@ -54,6 +57,7 @@ def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: st
     shown = [c for c in df.columns if c != ROW]
 
     profiled = store.table("profile", lambda: profile.profile(df, keys, shown))
+    profiled_first = profiled
     tags = {r["column"]: r["dtype"] for r in profiled.select("column", "dtype").collect()}
     title = store.table("title", lambda: profile.title_corpus({name: df.drop(ROW)}))
 
@@ -66,6 +70,13 @@ def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: st
         return cleaned
 
     cleaned = store.table("cleaned", build_clean)
+    # cleaning may have found that a column is a date, or is none
+    kinds = physical_classes(cleaned)
+    repaired = {c: k for c, k in kinds.items() if k == "datetime" or (k == "numeric" and tags.get(c) == "datetime")}
+    if repaired:
+        tags.update(repaired)
+        fixed = F.create_map(*[F.lit(x) for pair in repaired.items() for x in pair])
+        profiled = store.table("profile_repaired", lambda: profiled_first.withColumn("dtype", F.coalesce(fixed[F.col("column")], F.col("dtype"))))
     record = store.read_record("targets")
     dropped = store.read_record("dropped")
 
@@ -129,6 +140,9 @@ def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: st
     }
     if counts is not None:
         result["sentiment"] = counts
+    if export:
+        for stage in ("cleaned", "enriched", "features"):
+            csv.write_csv(result[stage], f"{export.rstrip('/')}/{stage}")
     if response is not None:
         text = spark.createDataFrame([(response,)], "response string")
         split = responses.split_responses(text, "response")

@@ -1,6 +1,7 @@
 import random
 
 from tabloom.plans.analysis import ROW, analyze, analyze_csv
+from tabloom.sources import csv
 
 
 def test_reviews_end_to_end(spark, tmp_path):
@@ -53,11 +54,13 @@ def test_csv_with_awkward_names(spark, tmp_path):
     lines.insert(5, "1,Economy,yes,pos,1,2,surplus")
     path = tmp_path / "air.csv"
     path.write_text("\n".join(lines), encoding="latin-1")
-    got = analyze_csv(spark, str(path), "Recommended ?", ["seat.type"], name="air", out=str(tmp_path / "o"))
+    got = analyze_csv(spark, str(path), "Recommended ?", ["seat.type"], name="air", out=str(tmp_path / "o"), export=str(tmp_path / "csv"))
     profile = {r["column"]: r for r in got["profile"].collect()}
     assert ROW not in profile and profile["Ratings(10)"]["non_null"] == 95 and profile["Ratings(10)"]["n_rows"] == 100
     assert profile["Ratings(10)"]["sample_values"][0] == "9.0"
     assert "mood_num" in got["enriched"].columns and ROW not in got["features"].columns
+    back = csv.read_csv(spark, str(tmp_path / "csv" / "enriched"))
+    assert back.count() == 100 and back.columns == got["enriched"].columns
     best = got["selected"].orderBy("seq").collect()
     pairs = {frozenset((r["parent_a"], r["parent_b"])) for r in best}
     assert frozenset(("Recommended ?", "Ratings(10)")) in pairs
