@@ -141,10 +141,16 @@ def test_vectors(spark, monkeypatch):
 
 
 def test_vector_recall(spark):
-    vectors = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet")
-    rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in vectors.collect()]
-    want = plain_vectors(rows)
-    got = {r[0]: r[1] for r in embedding_dedup.near_vectors(vectors).collect()}
-    assert sum(r[1] for r in want) > 0
-    assert sum(min(got[r[0]], r[1]) for r in want) >= 0.99 * sum(r[1] for r in want)
+    """Random vectors of 64 components with near copies, in groups of two and of sixty."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 64))
+    near = lambda v: v + rng.normal(size=64) * 0.015 * np.linalg.norm(v)
+    vectors = [*base, *[near(base[i]) for i in range(200)], *[near(base[300]) for _ in range(60)]]
+    rows = [(i, v.astype("f4").tolist(), i % 3 if 300 < i < 1500 else 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    want = plain_vectors([(i, [float(np.float32(x)) for x in v], k) for i, v, k in rows])
+    got = {r[0]: r[1] for r in embedding_dedup.near_vectors(df).collect()}
+    total = sum(r[1] for r in want)
+    assert total > 1000
+    assert sum(min(got[r[0]], r[1]) for r in want) >= 0.97 * total
     assert all(got[r[0]] <= r[1] for r in want)
