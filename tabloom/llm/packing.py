@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.bpe import WORDS, Codec, text_pieces
+from tabloom.llm.bpe import WORDS, Codec, Encoder, text_pieces
 from tabloom.llm.common import cut, quoted, streamed_groups, text_column
 
 CAPACITY, END_ID, FAN_IN = 2048, 0, 8
@@ -62,6 +62,15 @@ def encoder(codec: Codec) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=codec.special)
 
 
+def ids_of(coder: tiktoken.Encoding, codec: Codec, text: str) -> np.ndarray:
+    """Ids of a text.  The library refuses texts with 999,999 or more white-space characters in a row; the pair index takes these."""
+    try:
+        ids = coder.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        ids, _ = Encoder(codec).encode([text])
+    return np.asarray(ids, "<u4")
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Bin and place in it of each item, and the fill of each bin; larger items first."""
     bins, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
@@ -97,7 +106,7 @@ def _packed(codec: Codec, capacity: int):
             ids.append(batch.column("id"))
             for first, texts in text_pieces(batch.column("text"), PIECE_BYTES):
                 for k, text in enumerate(texts):
-                    tokens = np.append(np.asarray(coder.encode_to_numpy(text, allowed_special="all"), "<u4"), np.array([END_ID], "<u4"))
+                    tokens = np.append(ids_of(coder, codec, text), np.array([END_ID], "<u4"))
                     begin, end = 0, len(tokens) % capacity or capacity
                     while begin < len(tokens):
                         document.append(n + first + k)

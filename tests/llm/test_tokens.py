@@ -100,6 +100,13 @@ def test_packing(spark, library):
     assert n <= least * 1.03 + 1
 
 
+def test_packing_of_long_white_space(spark, library):
+    """Runs that tiktoken refuses do not end the job, and their ids are the library's."""
+    texts = ["a" + " " * 2_000_000 + "b <|endoftext|> c", "x", "a" + "\u3000\n" * 600_000 + "b", " " * 999_999]
+    n, least = packed_well(packing.pack(frame(spark, texts), tokenizer_path()).collect(), texts, library, packing.CAPACITY)
+    assert n <= least + 3
+
+
 def test_packing_over_many_partitions(spark, library):
     """One bin in each of 30 partitions: the tree brings them together."""
     texts = ["word " * 50 for _ in range(30)]
