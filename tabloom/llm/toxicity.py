@@ -6,14 +6,15 @@ where a batch makes this difference negative, which no true risk is, the step un
 
 Texts are seen as the set of their words and of the beginnings of these, hashed; words are runs of letters and digits after A-Z
 are lower-cased, and beginnings let inflected and compound forms of a word count together.  The model is linear in those that are
-more frequent among positives than chance explains, is fitted in numpy on bounded samples (``MOST_TOXIC`` and ``MOST_UNLABELLED`` documents with the smallest hashes of their
+more frequent among positives than chance explains.  A whole word among them decides alone where most of the unlabelled documents that hold
+it are toxic by the same prior: ``prior`` times its share of positives, over its share of unlabelled documents.  The model is fitted in numpy on bounded samples (``MOST_TOXIC`` and ``MOST_UNLABELLED`` documents with the smallest hashes of their
 ids) and scores every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from pyspark.sql import types as T
 from tabloom.llm.common import ODD, SEPARATOR, lowered_hash, pieces, quoted, text_column, utf8, word_ranges
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 8_000
-BITS = 18
+BITS = 22
+WHOLE = 1 << (BITS - 1)  # set in features that are whole words
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
+DECISIVE, SUREST = 0.5, 0.99  # share of toxic documents among those with a word that decides alone, and the most that is taken for it
 LEAST_DOCUMENTS, LEAST_LIFT, LEAST_Z = 5, 4.0, 6.0  # of features: toxic documents, ratio of shares, standard deviations
 STEPS, BATCH, RATE, DECAY = 1500, 1024, 0.05, 1e-5
 SETTINGS_SEED = 11
@@ -38,14 +41,32 @@ _WORD_BORDER[[b for b in range(0x21, 0x80) if not chr(b).isalnum()]] = True
 class Model:
     weight: np.ndarray
     bias: float
+    decisive: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # whole words, ascending
+    sure: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log odds of a text with each
+
+    def __reduce__(self):
+        own = np.flatnonzero(self.weight)
+        return _unpacked, (len(self.weight), own, self.weight[own], self.bias, self.decisive, self.sure)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        for first, last, document, word in word_sets(column, self.weight != 0):
+        known = self.weight != 0
+        known[self.decisive] = True
+        for first, last, document, word in word_sets(column, known):
             out[first:last] += np.bincount(document, self.weight[word], last - first)
+            if len(self.decisive):
+                place = np.minimum(np.searchsorted(self.decisive, word), len(self.decisive) - 1)
+                hit = self.decisive[place] == word
+                np.maximum.at(out, first + document[hit], self.sure[place[hit]])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _unpacked(n_words: int, own: np.ndarray, weight: np.ndarray, bias: float, decisive: np.ndarray, sure: np.ndarray) -> Model:
+    whole = np.zeros(n_words)
+    whole[own] = weight
+    return Model(whole, bias, decisive, sure)
+
+
 def word_sets(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Distinct (document, word) pairs, piece by piece: (first text, last text, document in the piece, word)."""
     data, at = utf8(column)
@@ -60,7 +81,8 @@ def word_sets(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tup
             longer = end - begin > size
             words.append(hashes.of(begin[longer], begin[longer] + size) ^ ODD[size])
             documents.append(of_word[longer])
-        word = (np.concatenate(words) >> np.uint64(64 - BITS)).astype(np.int64)
+        word = (np.concatenate(words) >> np.uint64(65 - BITS)).astype(np.int64)
+        word[:len(begin)] |= WHOLE
         document = np.concatenate(documents)
         if known is not None:
             hit = known[word]
@@ -142,7 +164,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         bias -= move[-1]
     whole = np.zeros(n_words)
     whole[names] = weight
-    return Model(whole, float(bias))
+    return Model(whole, float(bias), *_decisive(positive, unlabelled, names, prior))
+
+
+def _decisive(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whole words of which most unlabelled documents must be toxic, and the log odds that each gives."""
+    names = names[(names & WHOLE) != 0]
+    p, u = (np.isin(np.concatenate(rows), names) for rows in (positive, unlabelled))
+    p, u = (np.bincount(np.searchsorted(names, np.concatenate(rows)[own]), minlength=len(names)) for rows, own in ((positive, p), (unlabelled, u)))
+    share = np.minimum(prior * (p / len(positive)) / ((u + 0.5) / (len(unlabelled) + 1)), SUREST)
+    own = share >= DECISIVE
+    return names[own], np.log(share[own] / (1 - share[own]))
 
 
 def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int) -> np.ndarray:

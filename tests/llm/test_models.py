@@ -180,6 +180,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.65 * len(toxic)
 
 
+def test_toxicity_recall_and_false_positives(spark):
+    """One strong word decides: few toxic documents are let through, in no language at the price of many clean ones."""
+    sf = SF.replace("0.001", "0.1")
+    scores = q.QUERIES["op9_toxicity"](spark, sf).where("held_out")
+    rows = scores.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    found, of = Counter(), Counter()
+    for r in rows:
+        for lang in (r["lang"], "all"):
+            found[lang, r["toxic"]] += r["predicted"]
+            of[lang, r["toxic"]] += 1
+    print(sorted((*k, found[k], n) for k, n in of.items() if k[0]))
+    assert found["all", 1] >= 0.9 * of["all", 1] and found["all", 0] <= 0.025 * of["all", 0]
+    for lang, toxic in of:
+        assert toxic or found[lang, 0] <= 0.05 * of[lang, 0]
+        assert not toxic or of[lang, 1] < 15 or found[lang, 1] >= 0.85 * of[lang, 1]
+
+
 def test_toxicity_cases(spark):
     rows = [(i, "a nice day " + ("idiot" if i % 4 == 0 else "flower") + f" w{i}", 0) for i in range(200)] + [(None, "idiot", 0), (300, None, 0), (301, "", 0), (1, "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _score int")
