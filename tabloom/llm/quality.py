@@ -9,8 +9,8 @@ position can ask for.  A shard has ``SHARD_ENTRIES`` entries at most unless a si
 to the tasks, and documents pass by it without a shuffle, adding up their log probabilities: a table too large for one shard costs
 more passes, not more memory.
 
-Documents whose perplexity lies outside of what their language's trusted documents show are rejected: above a quantile of those held out
-from counting, or below them all.
+Documents whose perplexity lies outside of what their language's trusted documents show are rejected: above a high quantile of those held
+out from counting, or below a low quantile of all, since the counted ones and texts like them cost less.  Every distinct trusted text counts once, however many documents hold it.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from tabloom.llm.common import ODD, cut, mixed, pieces, quoted, text_column, utf
 
 ORDER = 5
 SHARD_ENTRIES = 1 << 21
-HELD_OUT = 5                    # one trusted document of so many is not counted and gives the thresholds
-HIGH = 0.998                    # quantile of held-out trusted documents; the low end is the least of all trusted ones
+HELD_OUT = 5                    # one trusted text of so many is not counted and gives the thresholds
+LOW, HIGH = 0.002, 0.998        # quantiles of trusted texts: of all, and of those held out
 MARGIN = 0.05                   # of the logarithm of perplexity, beyond these two
 PRIOR_BYTES = 100               # a text counts as if so many bytes at its language's mean stood before it
 LEAST_TRUSTED = 30              # a language with fewer held-out trusted documents takes the thresholds of all
@@ -244,15 +244,35 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
 
 
-def _held_out(id: Column) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(HELD_OUT)) == 0
+def _key(text: Column) -> Column:
+    """Names a text."""
+    return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def _held_out(key: str) -> Column:
+    return F.pmod(F.xxhash64(f"{key}.h1"), F.lit(HELD_OUT)) == 0
+
+
+def distinct_trusted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text): each distinct text of the trusted documents that are counted, once."""
+    named = docs.select(docs[quoted(doc_id)].alias("_id"), text_column(docs, text).alias("text")).withColumn("_key", _key(F.col("text")))
+    trusted = trusted_ids(labels)
+    # keys find one document of each text first, so that texts move once, and are not sorted for it
+    held = named.select("_id", "_key").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi").where(~_held_out("_key"))
+    of_id = held.groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("times"))
+    one = cut(of_id.groupBy("_key").agg(F.min(F.struct("_id", "times")).alias("one")).select("_key", "one.*"), "trusted-texts")
+    once = named.join(one.where("times = 1").hint("shuffle_hash"), ["_id", "_key"], "left_semi").select("text")
+    repeated = one.where("times > 1")
+    if repeated.isEmpty():
+        return once
+    return once.union(named.join(repeated.hint("shuffle_hash"), ["_id", "_key"], "left_semi").dropDuplicates(["_key"]).select("text"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, low, high, good), one row per row of ``docs``.
 
-    ``labels`` (doc_id, quality) name the trusted documents, those of quality 1; four of five are counted and the others give the
-    upper threshold.  ``perplexity`` is per byte, of the text and ``PRIOR_BYTES`` bytes at the mean of its language's trusted text, so
+    ``labels`` (doc_id, quality) name the trusted documents, those of quality 1; four of five of their distinct texts are counted and
+    the others give the mean and the upper threshold; all give the lower one, each once a language.  ``perplexity`` is per byte, of the text and ``PRIOR_BYTES`` bytes at the mean of its language's trusted text, so
     that a few words alone decide nothing.  ``good`` says that it lies between the thresholds of the language: too high means
     text that is unlike trusted text, too low means repetition.
 
@@ -274,16 +294,17 @@ def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, with_text: bool = False) -> DataFrame:
     trusted = trusted_ids(labels)
-    named = docs.select(docs[quoted(doc_id)].alias("_id"), text_column(docs, text).alias("text"))
-    # one plan at every size: texts move once, and are not sorted for it
-    counted_ids = trusted.where(~_held_out(F.col("_trusted"))).hint("shuffle_hash")
-    learnt = named.join(counted_ids, F.col("_id") == F.col("_trusted"), "left_semi").select("text")
-    scores = perplexities(docs, shards(model(counted(learnt))), text)
+    learnt = distinct_trusted(docs, labels, doc_id, text)
+    keyed = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    place = docs.columns.index(text)
+    keyed = keyed.withColumn("_key", _key(text_column(keyed, f"_c{place}")))
+    scores = perplexities(keyed, shards(model(counted(learnt))), f"_c{place}").withColumnRenamed(f"_c{len(docs.columns)}", "_key")
     scores = cut(scores if with_text else scores.drop(f"_c{docs.columns.index(text)}"), "perplexities")
     language = F.coalesce(F.col(f"_c{docs.columns.index(lang)}").cast("string"), F.lit(""))
-    known = scores.select(F.col(f"_c{docs.columns.index(doc_id)}").alias("_id"), language.alias("_lang"), "_p", "_n")
+    known = scores.select(F.col(f"_c{docs.columns.index(doc_id)}").alias("_id"), language.alias("_lang"), "_p", "_n", "_key")
     base = cut(
-        known.where("_n > 0").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi").withColumn("_held", _held_out(F.col("_id"))),
+        known.where("_n > 0").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi")
+        .dropDuplicates(["_lang", "_key"]).select("_lang", "_p", "_n", _held_out("_key").alias("_held")),
         "trusted-perplexities")
     by_lang, overall = thresholds(base)
 
@@ -303,7 +324,7 @@ def _cost(mean: Column) -> Column:
 
 
 def thresholds(base: DataFrame) -> tuple[dict[str, tuple[float, float, float]], tuple[float, float, float]]:
-    """(mean, low, high) of the log perplexity of trusted documents: by language, and of all.
+    """(mean, low, high) of the log perplexity of trusted texts: by language, and of all.
 
     Quantiles are exact on a grid of 1 / ``_GRID``: values are counted, and at most a few thousand counts per language are read.
     """
@@ -321,9 +342,11 @@ def thresholds(base: DataFrame) -> tuple[dict[str, tuple[float, float, float]],
     cells = base.groupBy("_lang", "_held", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
 
     def span(rows: list, mean: float) -> tuple[float, float, float]:
-        counts = sorted((r["cell"], r["n"]) for r in rows if r["_held"])
-        n = np.cumsum([c[1] for c in counts])
-        high = counts[int(np.searchsorted(n, HIGH * n[-1]))][0]
-        return mean, min(r["cell"] for r in rows) / _GRID - MARGIN, high / _GRID + MARGIN
+        def at(q: float, rows: list) -> int:
+            counts = sorted((r["cell"], r["n"]) for r in rows)
+            n = np.cumsum([c[1] for c in counts])
+            return counts[int(np.searchsorted(n, q * n[-1]))][0]
+
+        return mean, at(LOW, rows) / _GRID - MARGIN, at(HIGH, [r for r in rows if r["_held"]]) / _GRID + MARGIN
 
     return {name: span([r for r in cells if r["_lang"] == name], m) for name, m in large.items()}, span(cells, overall)

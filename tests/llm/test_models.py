@@ -12,6 +12,7 @@ from brute import near_duplicates as plain_near
 from brute import repeats as plain_repeats
 from brute import shingles
 from conftest import SF
+from pyspark.sql import functions as fn
 from tabloom.llm import fingerprint, quality, stages, toxicity, url_filter
 from tabloom.llm import queries as q
 from test_tokens import packed_well
@@ -138,6 +139,28 @@ def test_quality_keeps_clean_documents(spark):
     assert good.get(0, 0) <= 0.3 * shares[0]
 
 
+def test_copies_of_a_trusted_text_do_not_open_the_low_end(spark):
+    """A third of the trusted rows are one text; model and thresholds are as without the copies."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(80), "en") for i in range(400)]
+    copies = [(1000 + i, rows[7][1], "en") for i in range(200)] + [(7, rows[7][1], "en")] * 2
+    labels = spark.createDataFrame([(i, 1) for i in [*range(400), *range(1000, 1200)]], "doc_id long, quality int")
+    judged = lambda r: {x["doc_id"]: x for x in quality.judged(spark.createDataFrame(r, "doc_id long, text string, lang string"), labels).collect()}
+    alone, hot = judged(rows), judged(rows + copies)
+    for i in (1, 7):
+        assert hot[i]["low"] == pytest.approx(alone[i]["low"]) and hot[i]["perplexity"] == pytest.approx(alone[i]["perplexity"])
+    assert sum(hot[i]["good"] for i in range(400)) >= 0.98 * 400
+
+
+def test_low_end_is_a_quantile(spark):
+    """One odd document among thousands does not turn the check for repetition off."""
+    base = spark.createDataFrame([("en", -2000.0 - i % 100, 1000) for i in range(3000)] + [("en", -100.0, 1000)], "_lang string, _p double, _n long").withColumn("_held", fn.lit(True))
+    by_lang, overall = quality.thresholds(base)
+    assert by_lang["en"][1] > 1.8 and overall[1] > 1.8
+
+
 def test_fingerprints(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(4))
