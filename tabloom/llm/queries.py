@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    bpe, embedding_dedup, fingerprint, minhash_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter,
+    alignment, bpe, chunk_table, embedding_dedup, fingerprint, merkle, minhash_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter,
 )
 from tabloom.llm.common import small_batches
 from tabloom.session import scratch_path
@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 # The rules that op1 is asked to apply, from the task: action, host, path.
@@ -130,3 +130,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of each vector."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in each document, and the corpus-wide counts of its links."""
+    scores, _ = alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return scores
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the pieces of each document and of the text that they decode to."""
+    return chunk_table.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and whether its tampered form would pass."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), tamper=merkle.lowered_third)
