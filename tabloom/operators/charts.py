@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import labels as lb
-from tabloom.operators.ranking import column_bounds, lookup, number, quantiles, quoted_col, value_counts
+from tabloom.operators.ranking import lookup, number, quoted_col
+from tabloom.operators.selection import quantiles
 from tabloom.operators.sentiment import distribution
+from tabloom.session import written
 from tabloom.settings import DEFAULTS, Settings
 
 
@@ -43,25 +45,20 @@ def scatter_points(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
 def box_stats(df: DataFrame, value: str, category: str, cfg: Settings = DEFAULTS) -> DataFrame:
     """(label, n, low_whisker, q1, median, q3, high_whisker) per category.
 
-    Quartiles come from counts per value in value ranges, so a category holding
-    a third of the rows is still spread over many tasks.
+    Quartiles of all categories come from one radix descent and whiskers from one more scan; counts are combined before
+    every shuffle, so a category holding a third of the rows is spread over many tasks.
     """
     rows = df.select(
         F.coalesce(quoted_col(category).cast("string"), F.lit(cfg.missing_class)).alias("cat"),
         number(quoted_col(value)).alias("v"),
     ).where("v is not null")
-    bounds = column_bounds(rows, ["v"])["v"]
-    quarts = quantiles(rows, "v", [0.25, 0.5, 0.75], ["cat"], bounds)
-    size = rows.agg(F.approx_count_distinct("cat")).first()[0]
-    per_value = value_counts(rows, "v", ["cat"])
-    weights = per_value.groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
-    fences = quarts.join(weights, "cat")
-    placed = lookup(per_value.withColumnRenamed("n", "rows"), fences, ["cat"], ["q0", "q1", "q2"], bounds.non_null, size)
+    quarts = written(quantiles(rows, "v", [0.25, 0.5, 0.75], ["cat"]), "quartiles")
+    sizes = quarts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cats")).first()
+    placed = lookup(rows, quarts, ["cat"], ["q0", "q1", "q2"], sizes["rows"] or 0, sizes["cats"])
     reach = 1.5 * (F.col("q2") - F.col("q0"))
-    inside = (F.col("v") >= F.col("q0") - reach) & (F.col("v") <= F.col("q2") + reach)
-    whisker = F.when(inside, F.col("v"))
+    whisker = F.when((F.col("v") >= F.col("q0") - reach) & (F.col("v") <= F.col("q2") + reach), F.col("v"))
     return placed.groupBy("cat").agg(
-        F.sum("rows").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         # a whisker never ends inside the box
         F.least(F.min(whisker), F.min("q0")).alias("low_whisker"),
         F.min("q0").alias("q1"), F.min("q1").alias("median"), F.min("q2").alias("q3"),

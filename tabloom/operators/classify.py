@@ -11,10 +11,12 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabloom.functions import text as tx
 from tabloom.functions.sampling import order_hash
-from tabloom.operators.ranking import lookup, ordered_counts, quoted_col
+from tabloom.operators.ranking import lookup, quoted_col
+from tabloom.operators.selection import ends, selected
 from tabloom.session import scratch_path, written
 from tabloom.settings import DEFAULTS, Settings
 
@@ -30,21 +32,26 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
                      cfg: Settings = DEFAULTS) -> DataFrame:
     """Adds ``part``: exactly round(share * class size) rows per class are 'test'.
 
-    Only labels and keys are ordered, in hash ranges, to find each class's hash
-    threshold; the rows themselves are then marked by comparison, so texts are
-    never sorted and a class holding most rows is not one task.
+    A radix descent over the leading 60 bits of the hashes finds each class's threshold: counts of digits, no ordering of
+    rows, however large a class is.  The rows are then marked by comparison, so texts never move.  Keys that share those bits are
+    told apart by the whole hash; rows with equal keys fall on one side together.
     """
     h = order_hash(cfg.split_seed, *[quoted_col(k) for k in keys])
-    narrow = df.select(quoted_col(label).alias("_label"), h.alias("_h")).where("_label is not null")
-    counted = narrow.withColumns({
-        "n": F.lit(1), "_bucket": F.conv(F.substring("_h", 1, 3), 16, 10).cast("double"),
-    })
-    placed = ordered_counts(counted, "_h", ["_label"])
-    last = F.round(F.col("total") * F.lit(test_share)) - 1
-    edges = placed.where(F.col("before") == last).select("_label", F.col("_h").alias("_edge"), F.col("total").alias("n"))
-    sizes = narrow.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("_label").alias("classes")).first()
+    narrow = df.select(quoted_col(label).alias("_label"), h.alias("_h")).where("_label is not null").withColumn(
+        "_image", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    whole = ends(narrow, ["_label"], "_image", "_h")
+    last = (F.round(F.col("n") * F.lit(test_share)) - 1).cast("long")
+    edges = selected(narrow, ["_label"], "_image", "_h", whole.withColumn("rank", last).where("rank >= 0"))
+    sizes = whole.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    # the keys at each threshold: one for each class, but for hashes that begin alike
+    near = lookup(narrow, edges.select("_label", F.col("image").alias("_edge_image"), "left", "n"), ["_label"], ["_edge_image", "left"],
+                  sizes["rows"] or 0, sizes["classes"])
+    tied = near.where(F.col("_image") == F.col("_edge_image")).groupBy("_label", "_h", "left").agg(F.count(F.lit(1)).alias("_rows"))
+    up_to = F.sum("_rows").over(Window.partitionBy("_label").orderBy("_h"))
+    found = tied.withColumn("_upto", up_to).where(F.col("_upto") > F.col("left")).groupBy("_label").agg(F.min("_h").alias("_edge"))
+    edges = found.join(whole.select("_label", "n"), "_label")
     marked = lookup(df.withColumns({"_label": quoted_col(label), "_h": h}), edges, ["_label"], ["_edge"],
-                    sizes["rows"], sizes["classes"])
+                    sizes["rows"] or 0, sizes["classes"])
     part = F.when(quoted_col("_label").isNull(), None).when(F.col("_h") <= F.col("_edge"), "test").otherwise("train")
     return marked.withColumn("part", part).drop("_label", "_h", "_edge")
 

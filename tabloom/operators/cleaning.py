@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import text as tx
 from tabloom.functions.sampling import sample_per_column
 from tabloom.operators.facts import column_facts, constant_columns, physical_classes, unpivoted
+from tabloom.operators.layouts import to_timestamps
 from tabloom.operators.ranking import lookup, ordered_counts, quoted_col
 from tabloom.session import written
 from tabloom.settings import DEFAULTS, ID_NAME, IDENTITY_NAME, PROSE_WORDS, TIME_NAME, Settings
@@ -157,16 +158,14 @@ def drop_identity_names(df: DataFrame) -> DataFrame:
 
 
 def normalize_datetimes(df: DataFrame) -> DataFrame:
-    """C6 on its own: time-named columns are parsed, or dropped when they hold a
-    single day."""
+    """Time-named columns are parsed in the layout of most of their cells, or dropped when they hold a single day."""
     named = [c for c, k in physical_classes(df).items() if k != "numeric" and re.search(TIME_NAME, c.lower())]
     if not named:
         return df
     facts = [{**r.asDict(), "is_id": False} for r in column_facts(df, named).collect()]
     dropped = {c: why for c, why in decide_drops(facts, set()).items() if why in ("single day",)}
     out = df.drop(*dropped)
-    fixes = {c: tx.as_timestamp(c) for c in datetime_columns(facts, dropped)}
-    return out.withColumns(fixes) if fixes else out
+    return to_timestamps(out, datetime_columns(facts, dropped), 0.0)
 
 
 # -------------------------------------------------------------------- targets
@@ -256,8 +255,8 @@ def clean(df: DataFrame, keys: list[str], file: str, primary: str, secondary, ta
     facts = [r.asDict() for r in id_scores(df, keys, cfg=cfg).collect()]
     dropped = decide_drops(facts, {primary, *secondary}, cfg)
     dates = datetime_columns(facts, dropped)
-    if dates:
-        df = df.withColumns({c: tx.as_timestamp(c) for c in dates})
+    # which layout a column has is decided over all of its cells
+    df = to_timestamps(df, dates, 0.0)
     row_keys = [k for k in keys if k in dropped]
     out = df.drop(*[c for c in dropped if c not in row_keys])
     by_name = {f["column"]: f for f in facts}

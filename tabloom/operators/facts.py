@@ -59,23 +59,28 @@ def column_facts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     kinds = physical_classes(df)
     number = {c: i for i, c in enumerate(columns)}
     numbers = lambda wanted: ", ".join(str(number[c]) for c in columns if kinds[c] in wanted) or "-1"
-    text = f"slot IN ({numbers(('string',))}) AND value IS NOT NULL"
-    stamp = tx.timestamp_sql("value")
-    # SQL text: one call per expression keeps plan building cheap
-    cells = _slotted(df, columns).selectExpr(
-        "slot",
-        "CASE WHEN length(value) > 64 THEN concat('#', sha2(value, 256)) ELSE value END AS key",
-        "length(value) AS len",
-        rf"CASE WHEN {text} THEN size(array_remove(split(value, r'\s+'), '')) END AS words",
-        f"CASE WHEN slot IN ({numbers(('string', 'datetime'))}) THEN to_date({stamp}) END AS day",
-        f"CASE WHEN {text} THEN CAST({stamp} IS NOT NULL AS INT) END AS ts",
-        f"CASE WHEN {text} THEN CAST(value RLIKE r'{tx.NUMBER}' AS INT) END AS number",
-        f"CAST(value RLIKE r'{tx.PLAIN_DECIMAL}' AS INT) AS digits",
-        f"CASE WHEN {text} THEN CAST(value RLIKE '^[A-Za-z0-9_-]+$' AS INT) END AS alnum",
-        rf"CASE WHEN {text} THEN CAST(value RLIKE r'\s' AS INT) END AS space",
-    )
-    measures = ["day", "len", "words", "ts", "number", "digits", "alnum", "space"]
-    per_value = cells.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), *[F.max(m).alias(m) for m in measures])
+
+    def measures(x: str) -> dict[str, str]:
+        """SQL text: one call per expression keeps plan building cheap."""
+        text = f"slot IN ({numbers(('string',))}) AND {x} IS NOT NULL"
+        stamp = tx.timestamp_sql(x)
+        return {
+            "len": f"length({x})",
+            "words": rf"CASE WHEN {text} THEN size(array_remove(split({x}, r'\s+'), '')) END",
+            "day": f"CASE WHEN slot IN ({numbers(('string', 'datetime'))}) THEN to_date({stamp}) END",
+            "ts": f"CASE WHEN {text} THEN CAST({stamp} IS NOT NULL AS INT) END",
+            "number": f"CASE WHEN {text} THEN CAST({x} RLIKE r'{tx.NUMBER}' AS INT) END",
+            "digits": f"CAST({x} RLIKE r'{tx.PLAIN_DECIMAL}' AS INT)",
+            "alnum": f"CASE WHEN {text} THEN CAST({x} RLIKE '^[A-Za-z0-9_-]+$' AS INT) END",
+            "space": rf"CASE WHEN {text} THEN CAST({x} RLIKE r'\s' AS INT) END",
+        }
+
+    # a short value is its own key and is measured once, after equal ones have met; a long one before it becomes a digest
+    cells = _slotted(df, columns).selectExpr("slot", "value", "length(value) > 64 AS long").selectExpr(
+        "slot", "long", "CASE WHEN long THEN sha2(value, 256) ELSE value END AS key",
+        *[f"CASE WHEN long THEN {e} END AS {m}" for m, e in measures("value").items()])
+    met = cells.groupBy("slot", "long", "key").agg(F.count(F.lit(1)).alias("n"), *[F.max(m).alias(m) for m in measures("value")])
+    per_value = met.selectExpr("slot", "n", "key", *[f"CASE WHEN long THEN {m} ELSE {e} END AS {m}" for m, e in measures("key").items()])
 
     def weighted(m):
         """Mean over the rows where the measure is known."""

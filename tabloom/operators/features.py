@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 from tabloom.functions import text as tx
 from tabloom.operators.cleaning import drop_constant
 from tabloom.operators.facts import column_facts, physical_class, physical_classes
-from tabloom.operators.ranking import lookup, number, quantiles, quoted_col
+from tabloom.operators.ranking import lookup, number, quoted_col
+from tabloom.operators.selection import quantiles
+from tabloom.session import written
 from tabloom.settings import DEFAULTS, Settings
 
 TEXT_PARTS = ("word_count", "unique_ratio", "has_url", "has_emoji", "upper_ratio")
 DATE_PARTS = ("year", "month", "day", "hour", "weekday", "is_weekend")
+SKETCH_SLACK = 0.3  # six standard errors of a sketch
 SENTIMENT_NUMERIC = ("_sentiment_num", "_sentiment_confidence")
 
 # ------------------------------------------------------------------- routing
@@ -59,7 +62,7 @@ def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and NaN become the exact median.
 
     Columns without nulls cost nothing beyond the one counting action; the medians
-    of all others come from one table of counts per column and value.
+    of all others are found together, by a radix descent.
     """
     if not columns:
         return df
@@ -69,7 +72,7 @@ def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     if not holey:
         return coerced
     cells = coerced.select(F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), quoted_col(c).alias("v")) for i, c in enumerate(holey)])))
-    found = {r["slot"]: r["q0"] for r in quantiles(cells.where("v is not null"), "v", [0.5], ["slot"]).collect()}
+    found = {r["slot"]: r["q0"] for r in quantiles(cells, "v", [0.5], ["slot"]).collect()}
     return coerced.withColumns({c: F.coalesce(quoted_col(c), F.lit(found[i])) for i, c in enumerate(holey)})
 
 
@@ -149,30 +152,36 @@ def label_encode(df: DataFrame, mapping: dict[str, list[str]], cfg: Settings = D
     return df.withColumns(out) if out else df
 
 
-def frequencies(df: DataFrame, column: str, cfg: Settings = DEFAULTS) -> DataFrame:
-    """(v, n, freq): share of rows per value, null counted as its own value."""
-    counts = df.groupBy(as_category(column, cfg).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return counts.withColumn("freq", F.col("n") / total)
+def frequencies(df: DataFrame, columns: list[str], cfg: Settings = DEFAULTS) -> DataFrame:
+    """(slot, v, n, freq), written: share of rows per value of each column, null counted as a value of its own; one scan."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("slot"), as_category(c, cfg).alias("v")) for i, c in enumerate(columns)])))
+    counts = written(cells.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    rows = counts.where("slot = 0").agg(F.sum("n")).first()[0]
+    return counts.withColumn("freq", F.col("n") / F.lit(rows))
 
 
-def frequency_encode(df: DataFrame, columns: list[str], cfg: Settings = DEFAULTS) -> DataFrame:
-    """``<c>_freq``: share of the row's value, looked up by value."""
+def frequency_encode(df: DataFrame, columns: list[str], cfg: Settings = DEFAULTS, table: DataFrame | None = None) -> DataFrame:
+    """``<c>_freq``: share of the row's value, looked up by value.  ``table`` as from ``frequencies`` of these columns."""
     if not columns:
         return df
-    sizes = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(quoted_col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
+    table = frequencies(df, columns, cfg) if table is None else table
+    sizes = mapping_sizes(table, columns)
+    rows = table.where("slot = 0").agg(F.sum("n")).first()[0] or 0
     out = df
     for i, c in enumerate(columns):
-        table = frequencies(df, c, cfg).select(F.col("v").alias("_key"), F.col("freq").alias("_freq"), "n")
+        own = table.where(F.col("slot") == i).select(F.col("v").alias("_key"), F.col("freq").alias("_freq"), "n")
         keyed = out.withColumn("_key", as_category(c, cfg))
-        found = lookup(keyed, table, ["_key"], ["_freq"], sizes["rows"], sizes[f"d{i}"])
+        found = lookup(keyed, own, ["_key"], ["_freq"], rows, sizes[c])
         out = found.withColumnRenamed("_freq", f"{c}_freq").drop("_key")
     return out
 
 
+def mapping_sizes(table: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many values each column of a table of frequencies has."""
+    found = {r["slot"]: r["count"] for r in table.groupBy("slot").count().collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
 # ------------------------------------------------- text, sentiment, datetime
 
 
@@ -274,6 +283,34 @@ def duplicate_columns(df: DataFrame, protected: set[str] = frozenset()) -> list[
     return [p for i, p in enumerate(pairs) if row[f"d{i}"] == 0 and p[0] not in protected]
 
 
+def recoded_columns(df: DataFrame, columns: list[str] | None = None, limit: int = 1 << 20) -> list[tuple[str, str]]:
+    """(later, earlier) pairs of columns that say the same in other values: each value of one stands for one of the other.
+
+    That is so if and only if both have as many distinct values as distinct pairs of values; null counts as a value.  Sketches of
+    each column rule out pairs whose numbers differ by more than their error, and a sketch of each remaining pair those that
+    have more pairs than values; only what is left is counted exactly, all in one shuffle.  Constant columns, and those of more
+    than ``limit`` values (row keys are a recoding of each other in any table), are not compared.
+    """
+    columns = columns or df.columns
+    value = lambda c: F.coalesce(F.concat(F.lit("="), tx.value_key(quoted_col(c).cast("string"))), F.lit(""))
+    sizes = df.agg(*[F.approx_count_distinct(value(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    size = {c: sizes[f"d{i}"] for i, c in enumerate(columns)}
+    near = lambda a, b: abs(a - b) <= 1 + SKETCH_SLACK * max(a, b)
+    pairs = [(b, a) for i, a in enumerate(columns) for b in columns[i + 1:] if 1 < min(size[a], size[b]) and max(size[a], size[b]) <= limit and near(size[a], size[b])]
+    if not pairs:
+        return []
+    both = df.agg(*[F.approx_count_distinct(F.struct(value(a), value(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    pairs = [p for i, p in enumerate(pairs) if near(both[f"p{i}"], max(size[p[0]], size[p[1]]))]
+    if not pairs:
+        return []
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), value(a).alias("x"), value(b).alias("y")) for i, (a, b) in enumerate(pairs)])))
+    seen = written(cells.distinct(), "recoding")
+    # a value that meets two others shows twice here
+    sides = seen.select("pair", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))))
+    twice = {r["pair"] for r in sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair").distinct().collect()}
+    return [p for i, p in enumerate(pairs) if i not in twice]
+
+
 def drop_duplicate_columns(df: DataFrame, protected: set[str] = frozenset()) -> DataFrame:
     return df.drop(*[later for later, _ in duplicate_columns(df, protected)])
 
@@ -335,7 +372,10 @@ def engineer(df: DataFrame, tags: dict[str, str], targets: list[str], cfg: Setti
     out = zscores(out, numeric, stats)
     mapping = label_mapping(out, categorical, cfg)
     out = label_encode(out, {c: m for c, m in mapping.items() if m is not None}, cfg)
-    out = frequency_encode(out, [c for c, m in mapping.items() if m is None], cfg)
+    many = [c for c, m in mapping.items() if m is None]
+    shares = frequencies(out, many, cfg) if many else None
+    sizes = mapping_sizes(shares, many) if many else {}
+    out = frequency_encode(out, many, cfg, shares)
     out = text_features(out, of("text"))
     out = average_sentiment(out)
     out = datetime_parts(out, of("datetime"))
@@ -343,9 +383,13 @@ def engineer(df: DataFrame, tags: dict[str, str], targets: list[str], cfg: Setti
     return out, {
         "numeric": {c: {"mean": s["mean"], "std": s["std"], "filled": True} for c, s in stats.items()},
         "categorical": {
-            c: {"type": "label", "mapping": {v: i for i, v in enumerate(m)}} if m is not None else {"type": "freq"}
+            c: {"type": "label", "mapping": {v: i for i, v in enumerate(m)}} if m is not None
+            else {"type": "freq", "mapping_size": sizes[c]}
             for c, m in mapping.items()
         },
+        "text_columns": of("text"),
+        "datetime_columns": of("datetime"),
+        "targets": targets,
         "kinds": kinds,
         "original_columns": original,
         "sentiment_columns": [c for c in out.columns if c.endswith("_sentiment_num")],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.functions.domains import DOMAIN_KEYWORDS, DEFAULT_DOMAIN, TITLE_RULES, DEFAULT_TITLE
+from tabloom.functions.keywords import first_match
 from tabloom.operators.facts import column_facts, physical_classes, unique_fraction, unpivoted
 from tabloom.operators.ranking import quoted_col
 from tabloom.session import written
@@ -124,18 +125,8 @@ def schema_sentences(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _with_first(df: DataFrame, column: str, out: str, rules, default: str) -> DataFrame:
-    """First rule, in order, whose keyword occurs.
-
-    A CASE chain short-circuits inside the projection: no join, no shuffle.  The
-    lowered text is a column of its own because the chain refers to it often.
-    """
-    text = F.col("_lowered")
-    chain = F.when(F.lit(False), F.lit(default))
-    for keyword, answer in rules:
-        chain = chain.when(text.contains(keyword), F.lit(answer))
-    chain = chain.otherwise(F.lit(default))
-    lowered = df.withColumn("_lowered", F.lower(F.coalesce(quoted_col(column), F.lit(""))))
-    return lowered.withColumn(out, chain).drop("_lowered")
+    """First rule, in order, whose keyword occurs in the lower-cased text: a projection that reads a text once."""
+    return df.withColumn(out, first_match(F.lower(quoted_col(column)), rules, default))
 
 
 def with_domain(df: DataFrame, column: str, out: str = "domain", rules=tuple(DOMAIN_KEYWORDS),

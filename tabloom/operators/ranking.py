@@ -1,17 +1,13 @@
-"""Order statistics and lookups that stay spread over the cluster.
+"""Running totals and lookups that stay spread over the cluster.
 
-``Window.orderBy(x)`` without a partition sorts a whole table in one task, and
-``percentile`` keeps every distinct value of a group in one hash map.  Both are
-replaced here by counts per distinct value, cut into value ranges ("buckets"):
-each bucket is ordered on its own and bucket totals supply the offsets.
+``Window.orderBy(x)`` without a partition sorts a whole table in one task.  It is replaced here by counts per distinct
+value, cut into value ranges ("buckets"): each bucket is ordered on its own and bucket totals supply the offsets.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,68 +19,6 @@ BROADCAST_ROWS = 200_000  # (value, number) rows small enough to send everywhere
 HOT_SHARE = 1000          # a key with over 1/1000 of all rows is hot: at most 1000 keys
 
 
-@dataclass(frozen=True)
-class ColumnBounds:
-    rows: int
-    non_null: int
-    approx_distinct: int
-    cuts: tuple[float, ...]
-    mean: float | None = None
-
-    @property
-    def complete(self) -> bool:
-        return self.rows == self.non_null
-
-    @property
-    def few(self) -> bool:
-        """Few enough distinct values for a broadcast or for one small window."""
-        return self.approx_distinct <= BROADCAST_ROWS
-
-
-def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, ColumnBounds]:
-    """Decision action: row counts, cardinality and range cuts of numeric columns.
-
-    One aggregation for all columns; the result is one row.
-    """
-    buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / buckets for i in range(1, buckets)]
-    wanted = list(dict.fromkeys(columns))
-    # a dotted struct access would misread names that hold dots, hence positions
-    aggs = []
-    for i, name in enumerate(wanted):
-        c = df[_quoted(name)]
-        aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.approx_count_distinct(c).alias(f"d{i}"),
-            F.percentile_approx(c.cast("double"), probs, 20 * buckets).alias(f"q{i}"),
-            F.avg(c.cast("double")).alias(f"m{i}"),
-        ]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-    found = {i: [q for q in row[f"q{i}"] or [] if q == q] for i in range(len(wanted))}
-    cuts = {i: set(q) for i, q in found.items()}
-    # A value that fills several quantiles is a range of its own; the other rows are cut again without it, until
-    # no value does.  Every pass takes such values out, so ranges stay even however skewed the column is.
-    hot: dict[int, set] = {}
-    while True:
-        again = {i: {q for q, nxt in zip(f, f[1:]) if q == nxt} for i, f in found.items()}
-        again = {i: h for i, h in again.items() if h and row[f"d{i}"] > BROADCAST_ROWS}
-        if not again:
-            break
-        aggs = []
-        for i, values in again.items():
-            hot[i] = hot.get(i, set()) | values
-            x = df[_quoted(wanted[i])].cast("double")
-            aggs.append(F.percentile_approx(F.when(~x.isin(*hot[i]), x), probs, 20 * buckets).alias(f"q{i}"))
-        rest = df.agg(*aggs).first()
-        found = {i: [q for q in rest[f"q{i}"] or [] if q == q] for i in again}
-        for i, values in found.items():
-            cuts[i] |= set(values)
-    return {
-        name: ColumnBounds(row["rows"], row[f"n{i}"], row[f"d{i}"], tuple(sorted(cuts[i])), row[f"m{i}"])
-        for i, name in enumerate(wanted)
-    }
-
-
 def number(c: Column) -> Column:
     """As double; NaN counts as missing."""
     x = c.cast("double")
@@ -106,15 +40,6 @@ def quoted_col(name: str) -> Column:
     return F.col(_quoted(name))
 
 
-def with_bucket(df: DataFrame, value: str, cuts: tuple[float, ...]) -> DataFrame:
-    """Adds ``_bucket``: which of the value ranges the value falls in."""
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0.0))
-    inf = float("inf")
-    cutter = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_x", outputCol="_bucket", handleInvalid="keep")
-    return cutter.transform(df.withColumn("_x", quoted_col(value).cast("double"))).drop("_x")
-
-
 def ordered_counts(counted: DataFrame, value: str, by: list[str] | None = None, n: str = "n") -> DataFrame:
     """Adds ``before``, how many rows of the group have a smaller value, and
     ``total``, the size of the group.
@@ -142,90 +67,6 @@ def ordered_counts(counted: DataFrame, value: str, by: list[str] | None = None,
     )
 
 
-def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return (
-        df.where(quoted_col(value).isNotNull())
-        .groupBy(*[quoted_col(b).alias(b) for b in by], quoted_col(value).alias(value))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def placed_counts(df: DataFrame, value: str, bounds: ColumnBounds, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, n, before, total).  Few values are ordered by one small window per
-    group, many by value ranges."""
-    counted = value_counts(df, value, by)
-    if bounds.few and not by:
-        below = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        everything = Window.partitionBy(F.lit(0))
-        return counted.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn(
-            "total", F.sum("n").over(everything))
-    return ordered_counts(with_bucket(counted, value, bounds.cuts), value, by)
-
-
-def with_rank(rows: DataFrame, value: str, bounds: ColumnBounds, out: str, source: DataFrame | None = None) -> DataFrame:
-    """Adds the average rank of a numeric column that holds no nulls.
-
-    ``source`` is the table the counts come from (default ``rows``): when several
-    columns are ranked in turn, counts should not repeat the earlier steps.
-
-    Few distinct values: a rank table is broadcast and the rows are not
-    shuffled.  Many: rows are cut into value ranges and ranked inside each by one
-    shuffle and one sort.  Every cut is a range of its own, so a value that fills
-    whole quantiles is never sorted: its rank follows from counts, and its rows
-    are only spread by a salt.
-    """
-    source = (rows if source is None else source).select(value)
-    if bounds.few:
-        ranks = placed_counts(source, value, bounds).select(
-            value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
-        return rows.join(F.broadcast(ranks), value, "left")
-    cut = F.try_element_at(F.array(*[F.lit(c) for c in bounds.cuts]), F.greatest(F.col("_bucket").cast("int"), F.lit(1)))
-    at_cut = F.coalesce((F.col("_bucket") > 0) & (F.col(value).cast("double") == cut), F.lit(False))
-    in_range = lambda df: with_bucket(df, value, bounds.cuts).withColumn("_point", at_cut.cast("int"))
-    ranged = in_range(rows)
-    sizes = in_range(source).groupBy("_bucket", "_point").agg(F.count(F.lit(1)).alias("_size"))
-    # at most two rows per cut; a cut comes before the rest of its range
-    earlier = (
-        Window.partitionBy(F.lit(0)).orderBy("_bucket", F.desc("_point")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    spread = F.pmod(F.xxhash64(*[quoted_col(c) for c in rows.columns]), F.lit(4096))
-    ranged = ranged.withColumn("_salt", F.when(F.col("_point") == 1, spread).otherwise(F.lit(0)))
-    inside = Window.partitionBy("_bucket", "_point", "_salt").orderBy(value)
-    up_to = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranged.withColumns({"_low": F.rank().over(inside), "_high": F.count(F.lit(1)).over(up_to)})
-    placed = ranked.join(F.broadcast(offsets), ["_bucket", "_point"])
-    local = F.when(F.col("_point") == 1, (F.col("_size") + 1) / 2.0).otherwise((F.col("_low") + F.col("_high")) / 2.0)
-    return placed.withColumn(out, F.col("_offset") + local).select(*[quoted_col(c) for c in rows.columns], out)
-
-
-def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-              bounds: ColumnBounds | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column ``q0, q1, ...`` each.
-
-    One output row per group (a single row without groups).
-    """
-    by = by or []
-    groups = [f"_g{i}" for i in range(len(by))]
-    narrow = df.select(quoted_col(value).alias("_v"), *[quoted_col(b).alias(g) for b, g in zip(by, groups)])
-    bounds = bounds or column_bounds(narrow, ["_v"])["_v"]
-    placed = placed_counts(narrow, "_v", bounds, groups)
-    out = []
-    x = F.col("_v").cast("double")
-    for i, p in enumerate(probs):
-        h = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.floor(h), F.ceil(h)
-        covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-        at_low = F.max(F.when(covers(low), x))
-        at_high = F.max(F.when(covers(high), x))
-        weight = F.max(h - low)
-        out.append((at_low + (at_high - at_low) * weight).alias(f"q{i}"))
-    if not by:
-        return placed.agg(*out)
-    return placed.groupBy(*groups).agg(*out).withColumnsRenamed(dict(zip(groups, by)))
-
-
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], take: list[str],
            total_rows: int, distinct: int | None, weight: str = "n") -> DataFrame:
     """Left join of a key table, safe against hot keys.

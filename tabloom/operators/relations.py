@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from tabloom.functions import text as tx
 from tabloom.functions.special import p_value_udf
 from tabloom.operators import stats
-from tabloom.operators.facts import column_facts, constant_columns, physical_classes
-from tabloom.operators.ranking import number, quoted_col
+from tabloom.operators.facts import physical_classes
+from tabloom.operators.ranking import number, present, quoted_col
 from tabloom.settings import DEFAULTS, Settings
 
 NUMERIC_SUFFIXES = ("_num", "_z", "_confidence", "_freq", "_encoded")
@@ -21,40 +21,53 @@ FAILURES = {
     "spearman": "constant_or_error", "spearman_time_hour": "constant_or_error", "anova_eta2": "anova_failed_or_insufficient",
     "cramers_v": "chi2_failed_or_insufficient",
 }
+CATEGORY_LEVELS = 50
 HOUR_FIRST = ("_hour", "_day", "_month", "_year")
 
 # -------------------------------------------------------------------- planning
 
 
-def effective_type_rule() -> Column:
-    """numeric | datetime | categorical | text, over a facts row."""
-    short = (F.coalesce("avg_words", F.lit(0.0)) < 3) & (F.col("n_unique") <= 50)
-    return (
-        F.when(F.col("physical").isin("numeric", "boolean"), "numeric")
-        .when(F.col("physical") == "datetime", "datetime")
-        .when(F.col("non_null") == 0, "categorical")
-        .when(short, "categorical")
-        .otherwise("text")
-    )
-
-
 def type_facts(df: DataFrame, columns: list[str] | None = None) -> list[dict]:
-    """Decision action: column, kind and constancy of each column.
+    """Decision action: column, kind, constancy, sample deviation and completeness of each column.
 
-    Only string columns need counts per value; the rest follows from the schema.
+    One scan.  A string column's exact number of values matters only near the limit of a category: a sketch decides the
+    others, and only where it is near the limit, or a column may be constant, a second scan counts exactly.
     """
     columns = columns or df.columns
     kinds = physical_classes(df)
-    typed = [c for c in columns if kinds[c] != "string"]
-    textual = [c for c in columns if kinds[c] == "string"]
-    found = {c: "datetime" if kinds[c] == "datetime" else "numeric" for c in typed}
-    constant = set(constant_columns(df, typed, nulls_count=True)) if typed else set()
-    if textual:
-        levels = F.col("n_unique") + (F.col("non_null") < F.col("n_rows")).cast("int")
-        rows = column_facts(df, textual).select("column", effective_type_rule().alias("kind"), levels.alias("levels")).collect()
-        found.update({r["column"]: r["kind"] for r in rows})
-        constant |= {r["column"] for r in rows if r["levels"] <= 1}
-    return [{"column": c, "kind": found[c], "constant": c in constant} for c in columns]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        x = quoted_col(c)
+        if kinds[c] == "string":
+            x = x.cast("string")
+            shown = F.when(x.isNotNull(), F.xxhash64(x))
+            aggs += [F.approx_count_distinct(x).alias(f"d{i}"), F.avg(tx.word_count(x)).alias(f"w{i}")]
+        else:
+            shown = x
+        if kinds[c] == "numeric":
+            aggs.append(F.stddev_samp(number(x)).alias(f"s{i}"))
+        aggs += [F.count(x).alias(f"n{i}"), F.count(F.when(present(df, c), 1)).alias(f"p{i}"), F.min(shown).alias(f"lo{i}"), F.max(shown).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    short = {c: (row[f"w{i}"] or 0.0) < 3 for i, c in enumerate(columns) if kinds[c] == "string"}
+    single = {c for i, c in enumerate(columns) if row[f"lo{i}"] == row[f"hi{i}"]}
+    levels = {c: row[f"d{i}"] for i, c in enumerate(columns) if kinds[c] == "string"}
+    close = [c for c in levels if c in single or (short[c] and CATEGORY_LEVELS / 2 < levels[c] < 2 * CATEGORY_LEVELS)]
+    if close:
+        exact = df.agg(*[F.count_distinct(quoted_col(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()
+        levels |= {c: exact[f"d{i}"] for i, c in enumerate(close)}
+    out = []
+    for i, c in enumerate(columns):
+        non_null, holes = row[f"n{i}"], row[f"n{i}"] < row["rows"]
+        if kinds[c] != "string":
+            kind = "datetime" if kinds[c] == "datetime" else "numeric"
+        else:
+            kind = "categorical" if non_null == 0 or (short[c] and levels[c] <= CATEGORY_LEVELS) else "text"
+        one = c in single and (kinds[c] != "string" or levels[c] <= 1)
+        out.append({
+            "column": c, "kind": kind, "constant": non_null == 0 or (one and not holes),
+            "std": row[f"s{i}"] if kinds[c] == "numeric" else None, "complete": row[f"p{i}"] == row["rows"],
+        })
+    return out
 
 
 def parent_map(links: list[tuple[str, str, int]], existing: list[dict] = ()) -> dict[str, str]:
@@ -100,13 +113,14 @@ def plan_pairs(df: DataFrame, reps: dict[str, str], facts: list[dict], primary:
     """(parent_a, parent_b, feature_a, feature_b) to test, each parent pair once."""
     constant = {f["column"] for f in facts if f["constant"]}
     kinds = {f["column"]: f["kind"] for f in facts}
-    present = set(df.columns)
+    stds = {f["column"]: f["std"] for f in facts}
+    there = set(df.columns)
     out, seen = [], set()
 
     def add(a, b):
         key = frozenset((a, b))
         ra, rb = reps[a], reps[b]
-        if a == b or key in seen or ra == rb or not {ra, rb} <= present or {ra, rb} & constant:
+        if a == b or key in seen or ra == rb or not {ra, rb} <= there or {ra, rb} & constant:
             return
         seen.add(key)
         out.append((a, b, ra, rb))
@@ -116,15 +130,12 @@ def plan_pairs(df: DataFrame, reps: dict[str, str], facts: list[dict], primary:
             for p in reps:
                 if p != target and not (target != primary and p == primary):
                     add(target, p)
-    numeric = [p for p in reps if p in profiled_numeric and kinds.get(reps[p]) == "numeric"]
-    if numeric:
-        row = df.agg(*[F.stddev_samp(number(quoted_col(reps[p]))).alias(f"s{i}") for i, p in enumerate(numeric)]).first()
-        spread = {p: row[f"s{i}"] for i, p in enumerate(numeric)}
-        ranked = sorted((p for p in numeric if spread[p] is not None), key=lambda p: (-round(spread[p], 9), p))
-        top = ranked[: cfg.top_numeric]
-        for i, a in enumerate(top):
-            for b in top[i + 1:]:
-                add(a, b)
+    spread = {p: stds.get(reps[p]) for p in reps if p in profiled_numeric and kinds.get(reps[p]) == "numeric"}
+    ranked = sorted((p for p, v in spread.items() if v is not None), key=lambda p: (-round(spread[p], 9), p))
+    top = ranked[: cfg.top_numeric]
+    for i, a in enumerate(top):
+        for b in top[i + 1:]:
+            add(a, b)
     return out
 
 
@@ -140,10 +151,11 @@ def _family(kind_a: str, kind_b: str) -> str:
     return "cramers_v"
 
 
-def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULTS) -> DataFrame:
+def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULTS, facts: list[dict] | None = None) -> DataFrame:
     """One row per pair: method, effect, p, n, direction, notes.
 
-    One job per kind of test, not per pair; hours are ranked together with numbers.
+    All families share one pass over the table (``stats.measure``), hours are ranked together with numbers, and one more
+    pass brings the ranks to the rows.  ``facts`` as from ``type_facts`` save the scan for missing values.
     """
     families: dict[str, list[tuple[int, str, str]]] = {}
     for i, (_, _, ra, rb) in enumerate(pairs):
@@ -152,49 +164,50 @@ def compute(df: DataFrame, pairs, kinds: dict[str, str], cfg: Settings = DEFAULT
         if family in ("anova_eta2", "spearman_time_hour") and kinds[ra] != "numeric":
             first, second = rb, ra
         families.setdefault(family, []).append((i, first, second))
+    numbers, clocks = families.get("spearman", []), families.get("spearman_time_hour", [])
+    groups, tables = families.get("anova_eta2", []), families.get("cramers_v", [])
+    hours = {b: f"_hour{i}" for i, b in enumerate(dict.fromkeys(b for _, _, b in clocks))}
+    table = df.withColumns({h: F.hour(quoted_col(b)) for b, h in hours.items()})
+    complete = None
+    if facts is not None:
+        complete = {f["column"] for f in facts if f["complete"]}
+        complete |= {h for b, h in hours.items() if b in complete}
+    rank_pairs = [*[(a, b) for _, a, b in numbers], *[(a, hours[b]) for _, a, b in clocks]]
+    two = lambda items: [(a, b) for _, a, b in items]
+    found = stats.measure(table, rank_pairs, two(groups), two(tables), complete, cfg.missing_class)
 
     def seq(items):
         m = F.create_map(*[F.lit(x) for j, (i, _, _) in enumerate(items) for x in (j, i)])
         return m[F.col("pair")].alias("seq")
 
     none = F.lit(None).cast("double")
-    sign = F.when(F.col("r") > 0, "positive").otherwise("negative")
     parts = []
-    hours = {b: f"_hour{i}" for i, b in enumerate(dict.fromkeys(b for _, _, b in families.get("spearman_time_hour", [])))}
-    ranked = families.pop("spearman", []), families.pop("spearman_time_hour", [])
-    items = [*ranked[0], *ranked[1]]
-    if items:
-        with_hours = df.withColumns({h: F.hour(quoted_col(b)) for b, h in hours.items()})
-        found = stats.spearman(with_hours, [*[(a, b) for _, a, b in ranked[0]], *[(a, hours[b]) for _, a, b in ranked[1]]])
-        method = F.when(F.col("pair") < len(ranked[0]), "spearman").otherwise("spearman_time_hour")
-        parts.append(found.select(
-            seq(items), method.alias("method"), F.col("r").alias("effect_size"), F.lit("r").alias("test"), F.col("r").alias("statistic"),
+    if rank_pairs:
+        sign = F.when(F.col("r") > 0, "positive").otherwise("negative")
+        method = F.when(F.col("pair") < len(numbers), "spearman").otherwise("spearman_time_hour")
+        parts.append(stats.spearman_of(found, rank_pairs).select(
+            seq([*numbers, *clocks]), "n", method.alias("method"), F.col("r").alias("effect_size"), F.lit("r").alias("test"), F.col("r").alias("statistic"),
             (F.col("n") - 2).cast("double").alias("df1"), none.alias("df2"), sign.alias("direction"),
         ))
-    for family, items in families.items():
-        todo = [(a, b) for _, a, b in items]
-        if family == "anova_eta2":
-            found = stats.anova(df, todo)
-            up = F.when(F.col("top_mean") > F.col("bottom_mean"), "positive").otherwise("negative")
-            parts.append(found.select(
-                seq(items), F.lit(family).alias("method"), F.col("effect").alias("effect_size"),
-                F.lit("f").alias("test"), F.col("f").alias("statistic"), "df1", "df2",
-                F.when(F.col("groups") >= 2, up).alias("direction"),
-            ))
-        else:
-            found = stats.cramers_v(df, todo, cfg)
-            parts.append(found.select(
-                seq(items), F.lit(family).alias("method"), F.col("effect").alias("effect_size"),
-                F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), F.col("dof").alias("df1"),
-                none.alias("df2"), F.lit(None).cast("string").alias("direction"),
-            ))
+    if groups:
+        up = F.when(F.col("top_mean") > F.col("bottom_mean"), "positive").otherwise("negative")
+        parts.append(stats.anova_of(found, two(groups)).select(
+            seq(groups), "n", F.lit("anova_eta2").alias("method"), F.col("effect").alias("effect_size"),
+            F.lit("f").alias("test"), F.col("f").alias("statistic"), "df1", "df2",
+            F.when(F.col("groups") >= 2, up).alias("direction"),
+        ))
+    if tables:
+        parts.append(stats.cramers_of(found, two(tables)).select(
+            seq(tables), F.col("complete").alias("n"), F.lit("cramers_v").alias("method"), F.col("effect").alias("effect_size"),
+            F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), F.col("dof").alias("df1"),
+            none.alias("df2"), F.lit(None).cast("string").alias("direction"),
+        ))
     tested = reduce(DataFrame.unionByName, parts)
     names = df.sparkSession.createDataFrame(
         [(i, *p) for i, p in enumerate(pairs)], "seq int, parent_a string, parent_b string, feature_a string, feature_b string"
     )
-    complete = stats.pair_counts(df, [(ra, rb) for _, _, ra, rb in pairs]).select(F.col("pair").alias("seq"), "n")
-    # both sides hold one row per column pair
-    joined = names.join(F.broadcast(complete), "seq").join(F.broadcast(tested), "seq", "left")
+    # one row per column pair; a pair without any complete row has none
+    joined = names.join(F.broadcast(tested), "seq", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     enough = F.col("n") >= 10
     cause = F.create_map(*[F.lit(x) for pair in FAILURES.items() for x in pair])
     failed = F.when(~enough, "too_few_samples").when(F.col("effect_size").isNull(), F.coalesce(cause[F.col("method")], F.lit("fallback_failed")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators import cleaning as cl
+from tabloom.operators import layouts as ly
+from tabloom.operators.facts import column_facts
 from tabloom.operators.sentiment import append_secondary, existing_label_facts
 from tabloom.plans.queries_profile import TABLES, TEXTUAL
 from tabloom.plans.registry import query, r6, table, union_sql
@@ -120,13 +122,47 @@ def id_column_score(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("drop_identity_cols", """
-SELECT "column" FROM (SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column"),
-  (SELECT count(*) AS n FROM customer) WHERE n > 0
+_IDENTITY = {"c_custkey": "c_custkey", "c_username": "c_name", "c_nationkey": "c_nationkey", "Player_Level": "c_acctbal", "c_mktsegment": "c_mktsegment"}
+
+
+@query("drop_identity_cols", f"""
+SELECT name AS "column", n, n_unique FROM ({union_sql([f"SELECT '{c}' AS name, count({e}) AS n, count(DISTINCT {e}) AS n_unique FROM customer" for c, e in _IDENTITY.items()])})
+WHERE NOT regexp_matches(lower(name), '(username|user_name|author|profile|player)')
 """)
 def drop_identity_cols(spark, sf):
-    c = table(spark, sf, "customer").withColumnRenamed("c_name", "c_username")
-    return column_rows(cl.drop_identity_names(c), c)
+    """What is left, with the counts of its values."""
+    c = table(spark, sf, "customer").select(*[F.col(e).alias(n) for n, e in _IDENTITY.items()])
+    return column_facts(cl.drop_identity_names(c)).select("column", F.col("non_null").alias("n"), "n_unique")
+
+
+_LAID = {"day_first": "%d/%m/%Y", "month_first": "%m/%d/%Y", "in_words": "%-d %B %Y", "timed": "%d.%m.%Y %H:%M:%S"}
+
+
+def _election_sql(c: str, form: str) -> str:
+    """The layout that more cells fit, of the two that a column could have."""
+    other, names = {
+        "day_first": ("%m/%d/%Y", ("day/month/year", "month/day/year")), "month_first": ("%d/%m/%Y", ("month/day/year", "day/month/year")),
+        "in_words": ("%Y-%m-%d", ("day month year", "iso")), "timed": ("%Y-%m-%d", ("day.month.year", "iso"))}[c]
+    fits = lambda f: f"count(try_strptime(x, '{f}'))"
+    return f"""SELECT '{c}' AS "column", CASE WHEN {fits(form)} > {fits(other)} THEN '{names[0]}' ELSE '{names[1]}' END AS layout,
+      greatest({fits(form)}, {fits(other)}) AS fitting, count(x) AS non_null,
+      CAST(sum(day(try_strptime(x, '{form}'))) AS BIGINT) AS days, CAST(sum(month(try_strptime(x, '{form}'))) AS BIGINT) AS months, CAST(sum(hour(try_strptime(x, '{form}'))) AS BIGINT) AS hours
+    FROM (SELECT CASE WHEN o_custkey % 9 = 0 THEN NULL WHEN o_custkey % 10 = 0 THEN 'n/a' ELSE strftime(o_orderdate + INTERVAL 1 HOUR * CAST(o_orderkey % 24 AS INTEGER), '{form}') END AS x FROM orders)"""
+
+
+@query("datetime_layouts", union_sql([_election_sql(c, f) for c, f in _LAID.items()]))
+def datetime_layouts(spark, sf):
+    """Dates as text in four layouts, days before and after months, with missing and odd cells: each column's layout, and its parsed parts."""
+    stamp = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    forms = {"day_first": "dd/MM/yyyy", "month_first": "MM/dd/yyyy", "in_words": "d MMMM yyyy", "timed": "dd.MM.yyyy HH:mm:ss"}
+    cell = lambda f: F.when(F.col("o_custkey") % 9 == 0, None).when(F.col("o_custkey") % 10 == 0, "n/a").otherwise(F.date_format(stamp, f))
+    texts = table(spark, sf, "orders").select(*[cell(f).alias(c) for c, f in forms.items()])
+    found = ly.elect(texts, list(forms))
+    parsed = texts.select(*[ly.parsed(F.col(c), e.layout).alias(c) for c, e in found.items()])
+    sums = parsed.agg(*[F.sum(part(c)).cast("long").alias(f"{name}_{c}") for c in forms for name, part in (("days", F.dayofmonth), ("months", F.month), ("hours", F.hour))])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(e.layout).alias("layout"), F.lit(e.fitting).cast("long").alias("fitting"), F.lit(e.non_null).cast("long").alias("non_null"),
+                 *[F.col(f"{n}_{c}").alias(n) for n in ("days", "months", "hours")]) for c, e in found.items()])))
 
 
 @query("normalize_datetime", """

@@ -151,6 +151,42 @@ def duplicate_columns(spark, sf):
     return spark.createDataFrame(ft.duplicate_columns(li), "later string, earlier string")
 
 
+_CODED = {
+    "flag_code": "ascii(l_returnflag)", "status_name": "CASE l_linestatus WHEN 'O' THEN 'open' ELSE 'filled' END",
+    "line_band": "l_linenumber % 3", "flag_or_null": "CASE WHEN l_returnflag <> 'R' THEN l_returnflag END",
+}
+_CODED_FROM = ["l_linenumber", "l_returnflag", "l_linestatus"]
+
+
+@query("recoded_columns", "SELECT later, earlier FROM (" + union_sql([
+    f"SELECT '{b}' AS later, '{a}' AS earlier, count(DISTINCT x) AS dx, count(DISTINCT y) AS dy, count(DISTINCT (x, y)) AS dxy FROM "
+    f"(SELECT coalesce(CAST({_CODED.get(a, a)} AS VARCHAR), '?') AS x, coalesce(CAST({_CODED.get(b, b)} AS VARCHAR), '?') AS y FROM lineitem)"
+    for i, a in enumerate([*_CODED_FROM, *_CODED]) for b in [*_CODED_FROM, *_CODED][i + 1:]
+]) + ") WHERE dx = dxy AND dy = dxy AND dxy > 1")
+def recoded_columns(spark, sf):
+    """Codes and names of flags; a coarser band is no recoding, a flag with one value missing is."""
+    li = table(spark, sf, "lineitem").select(*_CODED_FROM).withColumns({
+        "flag_code": F.ascii("l_returnflag"), "status_name": F.when(F.col("l_linestatus") == "O", "open").otherwise("filled"),
+        "line_band": F.col("l_linenumber") % 3, "flag_or_null": F.when(F.col("l_returnflag") != "R", F.col("l_returnflag"))})
+    return spark.createDataFrame(ft.recoded_columns(li), "later string, earlier string")
+
+
+@query("encoders_record", """
+SELECT 'o_orderpriority' AS "column", CASE WHEN count(DISTINCT o_orderpriority) <= 30 THEN 'label' ELSE 'freq' END AS type, count(DISTINCT o_orderpriority) AS size FROM orders
+UNION ALL SELECT 'clerk', CASE WHEN count(DISTINCT o_custkey) <= 30 THEN 'label' ELSE 'freq' END, count(DISTINCT o_custkey) FROM orders
+UNION ALL SELECT 'day', CASE WHEN count(DISTINCT strftime(o_orderdate, '%m-%d')) + max(CASE WHEN day(o_orderdate) = 1 THEN 0 ELSE 0 END) <= 30 THEN 'label' ELSE 'freq' END,
+  count(DISTINCT CASE WHEN day(o_orderdate) = 1 THEN 'nan' ELSE strftime(o_orderdate, '%m-%d') END) FROM orders
+""")
+def encoders_record(spark, sf):
+    """Kind of encoder and number of its classes, missing ones included."""
+    o = table(spark, sf, "orders").select(
+        "o_orderpriority", F.col("o_custkey").cast("string").alias("clerk"),
+        F.when(F.dayofmonth("o_orderdate") != 1, F.date_format("o_orderdate", "MM-dd")).alias("day"))
+    _, meta = ft.engineer(o, {c: "categorical" for c in o.columns}, [])
+    rows = [(c, m["type"], m["mapping_size"] if m["type"] == "freq" else len(m["mapping"])) for c, m in meta["categorical"].items()]
+    return spark.createDataFrame(rows, "column string, type string, size long")
+
+
 _LINEAGE_TAGS = {
     "o_custkey": "numeric", "o_orderstatus": "categorical", "o_totalprice": "numeric", "o_orderdate": "datetime",
     "o_orderpriority": "categorical", "clerk": "categorical",

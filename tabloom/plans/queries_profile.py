@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.domains import DEFAULT_DOMAIN, DEFAULT_TITLE, DOMAIN_KEYWORDS, TITLE_RULES
+from tabloom.operators import cleaning as cl
 from tabloom.operators import profile as pf
+from tabloom.operators import sketches as sk
 from tabloom.operators.facts import column_facts, unique_fraction
 from tabloom.plans.registry import iso_sql, query, r6, table, union_sql
-from tabloom.session import scratch_path
+from tabloom.session import scratch_path, written
 from tabloom.sources import csv, store
 
 TABLES = {
@@ -79,14 +84,18 @@ def csv_tolerant_read(spark, sf):
     return csv.read_csv(spark, path)
 
 
-@query("infer_types", union_sql([
-    f"""SELECT '{c}' AS "column", CASE
+def _type_sql(c: str) -> str:
+    """Type of a string column in SQL, as an aggregate."""
+    return f"""CASE
       WHEN count({c}) = 0 THEN 'double'
       WHEN count(CASE WHEN regexp_matches({c}, '^\\s*[+-]?[0-9]+\\s*$') THEN 1 END) = count(*) THEN 'long'
       WHEN count(CASE WHEN regexp_matches({c}, '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$') THEN 1 END) = count({c}) THEN 'double'
       WHEN count(CASE WHEN {c} IN ('true', 'false') THEN 1 END) = count(*) THEN 'boolean'
-      ELSE 'string' END AS type
-    FROM (SELECT {expr} AS {c} FROM events)"""
+      ELSE 'string' END"""
+
+
+@query("infer_types", union_sql([
+    f"""SELECT '{c}' AS "column", {_type_sql(c)} AS type FROM (SELECT {expr} AS {c} FROM events)"""
     for c, expr in [
         ("event_id", "CAST(event_id AS VARCHAR)"), ("ts", "CAST(ts AS VARCHAR)"), ("user_id", "CAST(user_id AS VARCHAR)"),
         ("event_type", "event_type"), ("value", "CAST(value AS VARCHAR)"), ("props", "props"),
@@ -104,6 +113,36 @@ def infer_types(spark, sf):
     return csv.column_types(strings)
 
 
+_FILED = {
+    "event_id": "CAST(event_id AS VARCHAR)",
+    "user_id": "CASE WHEN event_type = 'view' THEN 'u' || user_id ELSE CAST(user_id AS VARCHAR) END",
+    "value": "CASE WHEN event_type = 'click' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END",
+    "seen": "CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN '1' ELSE 'true' END",
+    "kind": "event_type",
+}
+
+
+@query("infer_types_by_file", union_sql([
+    f"""SELECT '{c}' AS "column", (SELECT {_type_sql(c)} FROM (SELECT {e} AS {c} FROM events)) AS type, count(*) AS n_files,
+      count(CASE WHEN t <> (SELECT {_type_sql(c)} FROM (SELECT {e} AS {c} FROM events)) THEN 1 END) AS n_other
+    FROM (SELECT event_type, {_type_sql(c)} AS t FROM (SELECT event_type, {e} AS {c} FROM events) GROUP BY event_type)""" for c, e in _FILED.items()]))
+def infer_types_by_file(spark, sf):
+    """Events written as one CSV file per kind of event, whose types conflict: states per file are stored and added up."""
+    kind = F.col("event_type")
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").cast("string"), F.when(kind == "view", F.concat(F.lit("u"), "user_id")).otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(kind == "click", F.round("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(kind == "click", "1").when(kind != "error", "true").alias("seen"), kind.alias("kind"), kind.alias("file"))
+    path = scratch_path(spark, "files")
+    rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    strings = csv.read_csv(spark, path, file_column="_file")
+    states = written(csv.type_states(strings, "_file"), "type-states")
+    types = csv.merged_states(states).select("column", csv.type_rule().alias("type"))
+    own = states.select("column", csv.type_rule().alias("own"))
+    return own.join(F.broadcast(types), "column").groupBy("column", "type").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("own") != F.col("type")).alias("n_other"))
+
+
 @query("profile_shape", "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem")
 def profile_shape(spark, sf):
     return pf.shape(table(spark, sf, "lineitem"))
@@ -117,6 +156,48 @@ def profile_counts(spark, sf):
     return column_facts(table(spark, sf, "orders")).select("column", "non_null", "n_unique")
 
 
+@query("sketch_counts", union_sql([
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS n_unique, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_days, true AS close FROM orders"
+    for c in TABLES["orders"]
+]))
+def sketch_counts(spark, sf):
+    """Sketches of each day's orders, stored; a second half of the days is appended, and the union stands for the table.
+
+    ``close``: the estimate is within the stated error of the exact number.
+    """
+    orders = table(spark, sf, "orders")
+    day = F.to_date("o_orderdate")
+    halves = [written(sk.column_sketches(orders.where(F.dayofmonth(day) % 2 == k), part=day), "sketches") for k in (0, 1)]
+    stored = halves[0].unionByName(halves[1])
+    found = sk.estimated(sk.merged(stored)).withColumnRenamed("n_unique", "estimate").drop("n_rows")
+    days = stored.agg(F.count_distinct("part").alias("n_days"))
+    exact = column_facts(orders).select("column", "n_unique")
+    close = F.abs(F.col("estimate") - F.col("n_unique")) <= F.greatest(F.lit(1.0), sk.ERROR * F.col("n_unique"))
+    return found.join(F.broadcast(exact), "column").join(F.broadcast(days)).select("column", "non_null", "n_unique", "n_days", close.alias("close"))
+
+
+@query("resume_changed_target", """
+SELECT run, built, class, n FROM (
+  SELECT p_brand AS class, count(*) AS n FROM part GROUP BY 1) t, (SELECT 1 AS run, 'classes,cleaned,profile' AS built UNION ALL SELECT 2, '') r
+UNION ALL
+SELECT 3, 'classes,cleaned', CASE WHEN rn <= 10 OR m <= 50 THEN class ELSE '__OTHER__' END, CAST(sum(n) AS BIGINT) FROM (
+  SELECT *, row_number() OVER (ORDER BY n DESC, class) AS rn, count(*) OVER () AS m FROM (SELECT p_type AS class, count(*) AS n FROM part GROUP BY 1)) GROUP BY ALL
+UNION ALL
+SELECT 4, 'classes,cleaned,profile', p_brand, count(*) FROM part WHERE p_size > 10 GROUP BY p_brand
+""")
+def resume_changed_target(spark, sf):
+    """Stages of one result folder: a first run, the same again, another target, and another input."""
+    part = table(spark, sf, "part")
+    folder, results = store.ResultStore(spark, scratch_path(spark, "results")), []
+    for run, (rows, target) in enumerate([(part, "p_brand"), (part, "p_brand"), (part, "p_type"), (part.where("p_size > 10"), "p_brand")], 1):
+        profiled = folder.stage("profile", lambda: pf.profile(rows), [store.table_digest(rows)])
+        cleaned = folder.stage("cleaned", lambda: cl.collapse_rare_classes(rows, target), [profiled], target)
+        classes = folder.stage("classes", lambda: cleaned.table.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n")), [cleaned], target)
+        built = ",".join(sorted(s.name for s in (profiled, cleaned, classes) if not s.reused))
+        results.append(classes.table.select(F.lit(run).alias("run"), F.lit(built).alias("built"), "class", "n"))
+    return reduce(DataFrame.unionByName, results)
+
+
 @query("profile_datetime_frac", union_sql([
     f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {iso_sql('v')} THEN 1.0 ELSE 0.0 END), 6) AS ts_frac "
     f"FROM (SELECT {expr} AS v FROM orders) WHERE v IS NOT NULL"

@@ -151,19 +151,40 @@ def spearman_time_hour(spark, sf):
 _RELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+def _upper_beta_sql(a: str, b: str, y: str) -> str:
+    """1 - I_y(a, b), the tail of t and F: the series of the regularised beta function, whose terms are all positive.
+
+    600 terms do where (a + b) y stays below 100; beyond, the tail is less than 1e-30.
+    """
+    term = f"exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({y}))"
+    front = f"exp({a} * ln({y}) + {b} * ln(1 - {y}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
+    return (f"CASE WHEN {y} <= 0 THEN 1.0 WHEN ({a} + {b}) * {y} > 100 THEN 0.0 "
+            f"ELSE greatest(0.0, 1 - {front} * list_sum(list_transform(range(0, 600), lambda k: {term}))) END")
+
+
+def _upper_gamma_sql(a: str, x: str) -> str:
+    """1 - P(a, x), the tail of chi2, by its series."""
+    term = f"exp(lgamma({a} + 1) - lgamma({a} + 1 + k) + k * ln({x}))"
+    return (f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 100 + 3 * {a} THEN 0.0 "
+            f"ELSE greatest(0.0, 1 - exp({a} * ln({x}) - {x} - lgamma({a} + 1)) * list_sum(list_transform(range(0, 600), lambda k: {term}))) END")
+
+
 def _relation_sql(a: str, b: str) -> str:
     kinds = {"l_returnflag": "c", "l_linestatus": "c", "l_shipdate": "t"}
     ka, kb = kinds.get(a, "n"), kinds.get(b, "n")
     head = f"SELECT '{a}' AS parent_a, '{b}' AS parent_b, "
+    by_rank = ("CASE WHEN isnan(rho) THEN NULL ELSE rho END AS effect_size, n, CASE WHEN rho > 0 THEN 'positive' ELSE 'negative' END AS direction, "
+               f"CASE WHEN isnan(rho) THEN NULL ELSE {_upper_beta_sql('0.5', '((n - 2) / 2.0)', '(rho * rho)')} END AS p_value")
     if ka == kb == "n":
-        return head + f"'spearman' AS method, round(rho, 6) AS effect_size, n, CASE WHEN rho > 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({spearman_sql(a, b, 'lineitem')})"
+        return head + f"'spearman' AS method, {by_rank} FROM ({spearman_sql(a, b, 'lineitem')})"
     if {ka, kb} == {"n", "t"}:
         y = a if ka == "n" else b
-        return head + f"'spearman_time_hour', round(rho, 6), n, CASE WHEN rho > 0 THEN 'positive' ELSE 'negative' END FROM ({spearman_sql(y, 'h', '(SELECT *, hour(l_shipdate) AS h FROM lineitem)')})"
+        return head + f"'spearman_time_hour', {by_rank} FROM ({spearman_sql(y, 'h', '(SELECT *, hour(l_shipdate) AS h FROM lineitem)')})"
     if "n" in (ka, kb):
         y, g = (a, b) if ka == "n" else (b, a)
-        return head + f"'anova_eta2', round(eta2, 6), n, CASE WHEN top > bottom THEN 'positive' ELSE 'negative' END FROM ({anova_sql(y, g, 'lineitem')})"
-    return head + f"'cramers_v', round(v, 6), n, CAST(NULL AS VARCHAR) FROM ({cramers_sql(a, b, 'lineitem')})"
+        p = _upper_beta_sql("((groups - 1) / 2.0)", "((n - groups) / 2.0)", "((groups - 1) * f / ((groups - 1) * f + n - groups))")
+        return head + f"'anova_eta2', eta2, n, CASE WHEN top > bottom THEN 'positive' ELSE 'negative' END, {p} FROM ({anova_sql(y, g, 'lineitem')})"
+    return head + f"'cramers_v', v, n, CAST(NULL AS VARCHAR), {_upper_gamma_sql('((rl - 1) * (cl - 1) / 2.0)', '(chi2 / 2)')} FROM ({cramers_sql(a, b, 'lineitem')})"
 
 
 def _planned_relations(spark, sf):
@@ -173,7 +194,7 @@ def _planned_relations(spark, sf):
     reps = rl.representatives(li.columns, kinds, [])
     numeric = {c for c, k in kinds.items() if k == "numeric"}
     pairs = rl.plan_pairs(li, reps, facts, "l_quantity", ["l_returnflag"], numeric)
-    return li, kinds, pairs
+    return li, kinds, pairs, facts
 
 
 _PAIR_PLAN = (
@@ -184,34 +205,58 @@ _TOP_PAIR = ("l_extendedprice", "l_discount")
 _HOURS = "(SELECT count(DISTINCT hour(l_shipdate)) AS hours FROM lineitem)"
 
 
-@query("compute_relations", "SELECT parent_a, parent_b, CASE WHEN effect_size IS NULL THEN NULL ELSE method END AS method, effect_size, n, "
-       "CASE WHEN effect_size IS NULL THEN NULL ELSE direction END AS direction FROM (" + union_sql([
-           _relation_sql(a, b).replace("round(rho, 6)", "CASE WHEN isnan(rho) THEN NULL ELSE round(rho, 6) END") for a, b in _PAIR_PLAN + [_TOP_PAIR]]) + ")")
+_ALL_RELATIONS = union_sql([_relation_sql(a, b) for a, b in _PAIR_PLAN + [_TOP_PAIR]])
+
+
+@query("compute_relations", f"""
+WITH r AS ({_ALL_RELATIONS}),
+t AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS rk FROM r WHERE p_value IS NOT NULL),
+q AS (SELECT *, least(min(p_value * m / rk) OVER (ORDER BY p_value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS adj FROM t)
+SELECT r.parent_a, r.parent_b, CASE WHEN r.effect_size IS NULL THEN NULL ELSE r.method END AS method, round(r.effect_size, 6) AS effect_size, r.n,
+  CASE WHEN r.effect_size IS NULL THEN NULL ELSE r.direction END AS direction, round(r.p_value, 6) AS p_value, round(q.adj, 6) AS adjusted_p_value
+FROM r LEFT JOIN q ON r.parent_a = q.parent_a AND r.parent_b = q.parent_b
+""")
 def compute_relations(spark, sf):
-    """Every test family at once: pairs planned from the data, one job per family."""
-    li, kinds, pairs = _planned_relations(spark, sf)
-    out = rl.compute(li, pairs, kinds)
-    return out.select("parent_a", "parent_b", "method", r6("effect_size").alias("effect_size"), "n", "direction")
+    """Every test family at once: pairs planned from the data, one pass for all families, and one that brings ranks to rows."""
+    li, kinds, pairs, facts = _planned_relations(spark, sf)
+    out = stats.benjamini_hochberg(rl.compute(li, pairs, kinds, facts=facts))
+    return out.select("parent_a", "parent_b", "method", "n", "direction", *[r6(c).alias(c) for c in ("effect_size", "p_value", "adjusted_p_value")])
 
 
-@query("relation_pairs", "SELECT parent_a, parent_b FROM (VALUES "
-       + ", ".join(f"('{a}', '{b}')" for a, b in _PAIR_PLAN + [_TOP_PAIR])
-       + ") v(parent_a, parent_b), (SELECT count(*) AS c FROM lineitem) WHERE c > 0")
+_FACTS_SQL = union_sql([
+    f"SELECT '{c}' AS c, count(DISTINCT {c}) + (CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END) AS levels, "
+    + (f"stddev_samp({c})" if c in ("l_quantity", "l_extendedprice", "l_discount") else "CAST(NULL AS DOUBLE)") + " AS sd FROM lineitem" for c in _RELATED])
+
+
+@query("relation_pairs", f"""
+WITH f AS (SELECT * FROM ({_FACTS_SQL}) WHERE levels > 1),
+top AS (SELECT c, row_number() OVER (ORDER BY round(sd, 9) DESC, c) AS k FROM f WHERE sd IS NOT NULL QUALIFY k <= 6),
+planned AS (
+  SELECT t.c AS parent_a, f.c AS parent_b, 1 AS step FROM f t, f WHERE t.c = 'l_quantity' AND f.c <> t.c
+  UNION ALL SELECT t.c, f.c, 2 FROM f t, f WHERE t.c = 'l_returnflag' AND f.c NOT IN (t.c, 'l_quantity')
+  UNION ALL SELECT a.c, b.c, 3 FROM top a, top b WHERE a.k < b.k)
+SELECT arg_min(parent_a, step) AS parent_a, arg_min(parent_b, step) AS parent_b FROM planned GROUP BY least(parent_a, parent_b), greatest(parent_a, parent_b)
+""")
 def relation_pairs(spark, sf):
-    _, _, pairs = _planned_relations(spark, sf)
+    _, _, pairs, _ = _planned_relations(spark, sf)
     rows = [(a, b) for a, b, _, _ in pairs]
     return spark.createDataFrame(rows, "parent_a string, parent_b string")
 
 
-@query("representatives", """
-SELECT parent, representative FROM (
-  SELECT 'o_custkey' AS parent, 'o_custkey_z' AS representative FROM orders
-  UNION ALL SELECT 'o_totalprice', 'o_totalprice_z' FROM orders
-  UNION ALL SELECT 'o_orderstatus', 'o_orderstatus_encoded' FROM orders
-  UNION ALL SELECT 'o_orderdate', 'o_orderdate_year' FROM orders
-  UNION ALL SELECT 'o_orderpriority', 'o_orderpriority' FROM orders
-  UNION ALL SELECT 'clerk', CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) > 30 THEN 'clerk_freq' ELSE 'clerk_encoded' END FROM orders
-) GROUP BY ALL
+_VARIES = lambda e: f"(SELECT count(DISTINCT {e}) FROM orders) > 1"
+
+
+@query("representatives", f"""
+WITH made(parent, feature, preference, there) AS (
+  SELECT 'o_custkey', 'o_custkey_z', 1, {_VARIES('o_custkey')} UNION ALL SELECT 'o_totalprice', 'o_totalprice_z', 1, {_VARIES('o_totalprice')}
+  UNION ALL SELECT 'o_orderstatus', 'o_orderstatus_encoded', 1, (SELECT count(DISTINCT o_orderstatus) FROM orders) BETWEEN 2 AND 30
+  UNION ALL SELECT 'o_orderstatus', 'o_orderstatus_freq', 2, (SELECT count(DISTINCT n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus HAVING (SELECT count(DISTINCT o_orderstatus) FROM orders) > 30)) > 1
+  UNION ALL SELECT 'clerk', 'clerk_encoded', 1, (SELECT count(DISTINCT o_custkey) FROM orders) BETWEEN 2 AND 30
+  UNION ALL SELECT 'clerk', 'clerk_freq', 2, (SELECT count(DISTINCT o_custkey) FROM orders) > 30 AND (SELECT count(DISTINCT n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) > 1
+  UNION ALL SELECT 'o_orderdate', 'o_orderdate_year', 1, {_VARIES('year(o_orderdate)')} UNION ALL SELECT 'o_orderdate', 'o_orderdate_month', 2, {_VARIES('month(o_orderdate)')}
+  UNION ALL SELECT 'o_orderdate', 'o_orderdate_day', 3, {_VARIES('day(o_orderdate)')} UNION ALL SELECT 'o_orderdate', 'o_orderdate_weekday', 4, {_VARIES('isodow(o_orderdate)')}
+  UNION ALL SELECT c, c, 9, true FROM (SELECT unnest(['o_custkey', 'o_totalprice', 'o_orderstatus', 'clerk', 'o_orderdate', 'o_orderpriority']) AS c))
+SELECT parent, arg_min(feature, preference) AS representative FROM made WHERE there AND (SELECT count(*) FROM orders) > 0 GROUP BY parent
 """)
 def representatives(spark, sf):
     written, meta = engineered_orders(spark, sf)
@@ -389,12 +434,14 @@ def scatter_fit(spark, sf):
 @query("scatter_points", """
 WITH e AS (SELECT min(o_custkey)::DOUBLE AS x0, max(o_custkey)::DOUBLE AS x1, min(o_totalprice) AS y0, max(o_totalprice) AS y1 FROM orders)
 SELECT least(floor((o_custkey - x0) / (x1 - x0) * 100), 99)::INTEGER AS x_bin, least(floor((o_totalprice - y0) / (y1 - y0) * 100), 99)::INTEGER AS y_bin,
-       count(*) AS n, round(avg(o_custkey), 2) AS x, round(avg(o_totalprice), 1) AS y
+       count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS x_sum, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS y_cents
 FROM orders, e GROUP BY 1, 2
 """)
 def scatter_points(spark, sf):
     out = ch.scatter_points(table(spark, sf, "orders"), "o_custkey", "o_totalprice")
-    return out.select("x_bin", "y_bin", "n", F.round("x", 2).alias("x"), F.round("y", 1).alias("y"))
+    # sums of keys and cents are whole, so the means are compared without a tie
+    whole = lambda c, unit: F.round(F.col(c) * F.col("n") * unit).cast("long")
+    return out.select("x_bin", "y_bin", "n", whole("x", 1).alias("x_sum"), whole("y", 100).alias("y_cents"))
 
 
 @query("box_stats", """
@@ -491,7 +538,10 @@ def sanitize_summary(spark, sf):
     return c.select("conv_id", "turn", F.md5(rs.sanitize_summary(marked)).alias("h"))
 
 
-@query("report_facts", """
+_REPORTED = 3
+
+
+@query("report_facts", f"""
 WITH c AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1)
 SELECT 'overview' AS section, 1 AS ord, 'Rows: ' || count(*) AS text FROM events
 UNION ALL SELECT 'overview', 2, 'Columns: ' || (4 + 0 * count(*)) FROM events
@@ -500,10 +550,14 @@ UNION ALL SELECT 'columns', 2, 'user_id (numeric): ' || arg_min(user_id, event_i
 UNION ALL SELECT 'columns', 3, 'event_type (categorical): ' || arg_min(event_type, event_id) FROM events
 UNION ALL SELECT 'columns', 4, 'value (numeric): ' || arg_min(value, event_id) FROM events
 UNION ALL SELECT 'sentiment', CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER), label || ': ' || n FROM c
+UNION ALL SELECT 'relations', CAST(rn AS INTEGER), long FROM (
+  SELECT row_number() OVER (ORDER BY rank_score DESC, k.seq) AS rn, w.long FROM ({_RANKED}) k JOIN ({_worded_sql()}) w ON w.seq = k.seq) WHERE rn <= {_REPORTED}
 """)
 def report_facts(spark, sf):
+    """Facts of events, and the best ranked relations between measures of lineitem in words."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    return rs.report_facts(pf.profile(e, ["event_id"]), st.distribution(e, "event_type"))
+    best = rl.rank(_derived_relations(spark, sf), "l_quantity", ["l_tax"]).orderBy(F.desc("rank_score"), "seq").limit(_REPORTED)
+    return rs.report_facts(pf.profile(e, ["event_id"]), st.distribution(e, "event_type"), rl.sentences(best))
 
 
 @query("column_samples", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,14 +39,14 @@ def _header(spark: SparkSession, file: str, encoding: str, sep: str) -> list[str
     return names
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None, file_column: str | None = None) -> DataFrame:
     """All cells as strings: long rows dropped, short rows padded, NA words null.
 
     A row with more fields than the header is skipped even when the extra field
     is empty.  Files are read by encoding and header, and columns are aligned by
     name, so files may have them in any order.  Files stay splittable unless a
     quoted value holds a line break, which the first scan finds out
-    (``multi_line`` decides it instead).
+    (``multi_line`` decides it instead).  ``file_column`` adds the name of each row's file.
     """
     found = _kinds(spark, path)
     # one row per kind of file, and the names of files only where kinds differ
@@ -75,6 +75,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
         cells = [
             F.when(~F.coalesce(quoted_col(n), F.lit("")).isin(*tx.NA_TOKENS), quoted_col(n)).alias(n) for n in names
         ]
+        if file_column:
+            cells.append(F.col("_metadata.file_path").alias(file_column))
         parts.append(raw.where(~too_long).select(*cells))
     out = parts[0]
     for part in parts[1:]:
@@ -82,14 +84,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
     return out
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    """(column, type): long, double, boolean or string for each string column.
+def type_states(df: DataFrame, part: str | None = None) -> DataFrame:
+    """(part, column, rows, cells, numbers, whole, flags): what decides the type of each string column, per part.
 
-    Whole numbers with a missing value are double, an all-null column is double,
-    a true/false column with nulls stays a string.  One aggregation.
+    A part is a file, a batch, or the whole table.  The states of parts add up to the state of all of them, so they can be stored,
+    and a folder that grows is typed by scanning new files only.  One aggregation of one row per part.
     """
+    columns = [c for c in df.columns if c != part]
     aggs = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         v = quoted_col(c)
         aggs += [
             F.count(v).alias(f"n{i}"),
@@ -97,19 +100,39 @@ def column_types(df: DataFrame) -> DataFrame:
             F.count(F.when(v.rlike(tx.INTEGER), F.trim(v).try_cast("bigint"))).alias(f"l{i}"),
             F.count(F.when(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), 1)).alias(f"b{i}"),
         ]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    items = []
-    for i, c in enumerate(df.columns):
-        n, d, l, b = (F.col(f"{k}{i}") for k in "ndlb")
-        kind = (
-            F.when(n == 0, "double")
-            .when((l == n) & (n == F.col("rows")), "long")
-            .when(d == n, "double")
-            .when((b == n) & (n == F.col("rows")), "boolean")
-            .otherwise("string")
-        )
-        items.append(F.struct(F.lit(c).alias("column"), kind.alias("type")))
-    return row.select(F.inline(F.array(*items)))
+    rows = df.groupBy((F.lit("") if part is None else quoted_col(part)).alias("part")).agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    items = [
+        F.struct(F.lit(c).alias("column"), F.col("rows"), *[F.col(f"{k}{i}").alias(a) for k, a in zip("ndlb", ("cells", "numbers", "whole", "flags"))])
+        for i, c in enumerate(columns)
+    ]
+    return rows.select("part", F.inline(F.array(*items)))
+
+
+def type_rule() -> Column:
+    """Type that follows from a state: the least one in the order long, double, boolean, string that takes every cell.
+
+    Whole numbers with a missing value are double, an all-null column is double, a true/false column with nulls stays a string.
+    """
+    n, rows = F.col("cells"), F.col("rows")
+    return (
+        F.when(n == 0, "double")
+        .when((F.col("whole") == n) & (n == rows), "long")
+        .when(F.col("numbers") == n, "double")
+        .when((F.col("flags") == n) & (n == rows), "boolean")
+        .otherwise("string")
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """States of all parts together.  A part without a column has only missing cells in it."""
+    total = states.groupBy("part").agg(F.max("rows").alias("rows")).agg(F.sum("rows").alias("rows"))
+    sums = states.groupBy("column").agg(*[F.sum(c).alias(c) for c in ("cells", "numbers", "whole", "flags")])
+    return sums.join(F.broadcast(total))  # one row
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """(column, type): long, double, boolean or string for each string column; one aggregation."""
+    return type_states(df).select("column", type_rule().alias("type"))
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -28,9 +28,25 @@ def test_reviews_end_to_end(spark, tmp_path):
     assert got["summary"].count() == len(top) <= 2
     sections = {x["section"] for x in got["report"].collect()}
     assert sections == {"overview", "columns", "sentiment", "relations"}
-    # a second run reads the finished stages back
-    again = analyze(df.limit(0), **args)
+    # a second run reads the finished stages back, whatever the order of rows; another input does not
+    before = sorted(str(p) for p in (tmp_path / "r").rglob("_SUCCESS"))
+    again = analyze(df.repartition(3), **args)
+    assert sorted(str(p) for p in (tmp_path / "r").rglob("_SUCCESS")) == before
     assert again["relations"].count() == got["relations"].count()
+    assert analyze(df.limit(120), **args)["cleaned"].count() == 120
+
+
+def test_a_changed_target_changes_what_follows(spark, tmp_path):
+    rows = [(i, ["low", "mid", "high"][i % 3], float(i % 3) + (i % 5) / 100, i % 7 + 0.5) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, grade string, points double, other double")
+    out = str(tmp_path / "g")
+    first = analyze(df, ["k"], "points", ["grade"], "regression", "grades", out)
+    stages = lambda name: len(list((tmp_path / "g" / name).iterdir()))
+    assert stages("profile") == stages("cleaned") == stages("relations") == 1
+    second = analyze(df, ["k"], "other", ["points"], "regression", "grades", out)
+    assert stages("profile") == 1 and stages("cleaned") == stages("relations") == 2
+    touched = lambda got: {c for r in got["relations"].where("priority_weight >= 3").collect() for c in (r["parent_a"], r["parent_b"])}
+    assert "points" in touched(first) and "other" in touched(second)
 
 
 def test_regression_on_text_target(spark, tmp_path):

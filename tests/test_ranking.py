@@ -1,6 +1,3 @@
-import random
-import statistics
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,59 +5,6 @@ from tabloom.functions.sampling import sample_per_column, seeded_sample
 from tabloom.operators import ranking as rk
 
 
-def skewed(n=3000, seed=3):
-    """A third of the values is one number; the rest is continuous or tied."""
-    r = random.Random(seed)
-    return [5.0 if r.random() < 0.34 else (round(r.gauss(5, 3), 1) if r.random() < 0.5 else r.gauss(5, 30)) for _ in range(n)]
-
-
-def average_ranks(xs):
-    order = sorted(xs)
-    first, last = {}, {}
-    for i, v in enumerate(order, 1):
-        first.setdefault(v, i)
-        last[v] = i
-    return [(first[v] + last[v]) / 2 for v in xs]
-
-
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_average_ranks_small_and_by_ranges(spark, monkeypatch, limit):
-    monkeypatch.setattr(rk, "BROADCAST_ROWS", limit)
-    xs = skewed()
-    df = spark.createDataFrame(list(enumerate(xs)), "i int, x double").repartition(5)
-    bounds = rk.column_bounds(df, ["x"])["x"]
-    got = {r["i"]: r["rank"] for r in rk.with_rank(df, "x", bounds, "rank").collect()}
-    assert got == dict(enumerate(average_ranks(xs)))
-
-
-def test_hot_value_rows_are_spread(spark, monkeypatch):
-    """Rows of a value that fills whole quantiles do not end in one task."""
-    monkeypatch.setattr(rk, "BROADCAST_ROWS", 0)
-    df = spark.createDataFrame([(i, 7.0 if i % 3 else float(i)) for i in range(6000)], "i int, x double")
-    ranked = rk.with_rank(df, "x", rk.column_bounds(df, ["x"])["x"], "rank")
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
-    same = ranked.where("x = 7.0").select("rank").distinct().count()
-    assert same == 1
-
-
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_quantiles(spark, monkeypatch, limit):
-    monkeypatch.setattr(rk, "BROADCAST_ROWS", limit)
-    xs = skewed(999)
-    df = spark.createDataFrame([(x,) for x in xs] + [(None,)] * 5, "n double")
-    row = rk.quantiles(df, "n", [0.25, 0.5, 0.75]).first()
-    q = statistics.quantiles(xs, n=4, method="inclusive")
-    assert [row["q0"], row["q1"], row["q2"]] == pytest.approx(q)
-
-
-def test_quantiles_per_group(spark):
-    rows = [("a.b", float(i)) for i in range(11)] + [("z", 1.0), ("z", 2.0)]
-    df = spark.createDataFrame(rows, "`g.x` string, v double")
-    got = {r[0]: r["q0"] for r in rk.quantiles(df, "v", [0.5], ["g.x"]).collect()}
-    assert got == {"a.b": 5.0, "z": 1.5}
-
-
 @pytest.mark.parametrize("distinct", [10, None])
 def test_lookup_with_hot_key(spark, distinct):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 700}") for i in range(5000)] + [(9999, None), (10000, "absent")]
@@ -111,14 +55,3 @@ def test_lookup_spreads_hot_and_null_keys(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
-def test_ranges_of_a_nearly_constant_column(spark, monkeypatch):
-    """999 of 1000 rows are equal; the others still fall into many ranges of about one size."""
-    monkeypatch.setattr(rk, "BROADCAST_ROWS", 100)
-    df = spark.range(400_000).select(F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).otherwise(-1.0).alias("x"))
-    bounds = rk.column_bounds(df, ["x"])["x"]
-    sizes = [r["count"] for r in rk.with_bucket(df.where("x >= 0"), "x", bounds.cuts).groupBy("_bucket").count().collect()]
-    assert len(sizes) >= 7 and max(sizes) <= 3 * 400 / 8
-    ranked = rk.with_rank(df, "x", bounds, "rank").where("x >= 0").orderBy("x")
-    assert [r["rank"] for r in ranked.collect()] == [399_600 + i for i in range(1, 401)]

@@ -26,18 +26,67 @@ def test_type_inference(spark):
     assert [t for _, t in typed.dtypes] == ["bigint", "double", "double", "boolean", "string", "string"]
 
 
-def test_store_builds_once(spark, tmp_path):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(3)
-
-    s = store.ResultStore(spark, str(tmp_path / "r"))
-    assert s.table("t", build).count() == 3 and s.table("t", build).count() == 3
-    assert len(calls) == 1
-    assert s.read_record("none") == {}
-    assert s.record("m", lambda: {"a": [1]}) == {"a": [1]} == s.record("m", lambda: {"a": []})
+def test_stages_follow_what_they_are_made_from(spark, tmp_path):
+    """A stage is reused if its name, settings and all stages before it are the same, and only then."""
+    folder, made = store.ResultStore(spark, str(tmp_path / "r")), []
+
+    def run(source, size, rule):
+        def first():
+            made.append("first")
+            return spark.range(size), {"n": size}
+
+        def second():
+            made.append("second")
+            return a.table.where(rule)
+
+        a = folder.stage("first", first, [source], size)
+        b = folder.stage("second", second, [a], rule)
+        c = folder.stage("third", lambda: (None, {"rule": rule}), [b])
+        got, made[:] = list(made), []
+        return got, b.table.count(), a.records, c.records, (a.reused, b.reused, c.reused)
+
+    assert run("x", 3, "id > 0") == (["first", "second"], 2, {"n": 3}, {"rule": "id > 0"}, (False, False, False))
+    assert run("x", 3, "id > 0") == ([], 2, {"n": 3}, {"rule": "id > 0"}, (True, True, True))
+    assert run("x", 3, "id > 1") == (["second"], 1, {"n": 3}, {"rule": "id > 1"}, (True, False, False))
+    assert run("y", 3, "id > 0")[0] == ["first", "second"]
+    assert run("x", 3, "id > 0")[0] == []
+
+
+def test_a_stage_without_manifest_is_made_again(spark, tmp_path):
+    folder = store.ResultStore(spark, str(tmp_path / "r"))
+    with pytest.raises(ZeroDivisionError):
+        folder.stage("s", lambda: spark.range(1 // 0))
+    assert not folder.stage("s", lambda: spark.range(2)).reused
+    assert folder.stage("s", lambda: spark.range(9)).table.count() == 2
+
+
+def test_digests_of_inputs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "a int, `b.c` string")
+    same = store.table_digest(df.repartition(3)) == store.table_digest(df.orderBy("a"))
+    others = [df.limit(2), df.withColumnRenamed("a", "z"), df.union(df), df.where("a = 1"), df.limit(0)]
+    assert same and store.table_digest(df) not in {store.table_digest(x) for x in others}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_text("a\n1\n")
+    first = store.files_digest(spark, str(tmp_path / "in"))
+    assert store.files_digest(spark, str(tmp_path / "in")) == first
+    (tmp_path / "in" / "2.csv").write_text("a\n1\n")
+    assert store.files_digest(spark, str(tmp_path / "in")) != first
+
+
+def test_type_states_add_up(spark):
+    """Types of parts and of all of them; a part that lacks a column counts as missing cells."""
+    parts = [
+        spark.createDataFrame([("1", "1", "true", "1")], "a string, b string, c string, d string"),
+        spark.createDataFrame([("2", "1.5", "false"), ("3", "x", "true")], "a string, b string, c string"),
+    ]
+    states = parts[0].withColumn("p", F.lit("x")), parts[1].withColumn("p", F.lit("y"))
+    states = csv.type_states(states[0], "p").unionByName(csv.type_states(states[1], "p"))
+    got = {(r["part"], r["column"]): r["type"] for r in states.select("part", "column", csv.type_rule().alias("type")).collect()}
+    assert got[("x", "b")] == "long" and got[("y", "b")] == "string" and got[("y", "c")] == "boolean"
+    whole = {r["column"]: r["type"] for r in csv.merged_states(states).select("column", csv.type_rule().alias("type")).collect()}
+    assert whole == {"a": "long", "b": "string", "c": "boolean", "d": "double"}
+    union = {r["column"]: r["type"] for r in csv.column_types(parts[0].unionByName(parts[1], allowMissingColumns=True)).collect()}
+    assert whole == union
 
 
 def test_corpus_round_trip(spark, tmp_path):

@@ -28,6 +28,49 @@ def test_spearman_is_rank_based(spark, frame):
     assert got[("holey", "up")]["r"] == pytest.approx(1.0) and got[("holey", "up")]["n"] < 400
 
 
+def average_ranks(xs):
+    order, first, last = sorted(xs), {}, {}
+    for i, v in enumerate(order, 1):
+        first.setdefault(v, i)
+        last[v] = i
+    return [(first[v] + last[v]) / 2 for v in xs]
+
+
+def plain_spearman(rows, a, b):
+    both = [(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None and r[a] == r[a] and r[b] == r[b]]
+    x, y = average_ranks([p[0] for p in both]), average_ranks([p[1] for p in both])
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    cov = sum((p - mx) * (q - my) for p, q in zip(x, y))
+    return len(both), cov / math.sqrt(sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y))
+
+
+@pytest.mark.parametrize("limit", [200_000, 100, 0])
+def test_ranks_of_all_columns_by_broadcast_and_by_cells(spark, monkeypatch, limit):
+    """Three patterns of missing values, a value that a third of the rows hold, ties, NaN, and infinite values."""
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", limit)
+    r = random.Random(9)
+    rows = []
+    for i in range(900):
+        x = 5.0 if i % 3 == 0 else r.gauss(0, 9)
+        rows.append({"a": x, "b": round(x + r.gauss(0, 5)), "c": None if i % 4 == 0 else x * r.random(), "d": float("nan") if i % 5 == 0 else r.random(),
+                     "e.f": math.inf if i % 50 == 0 else -x})
+    df = spark.createDataFrame([tuple(v.values()) for v in rows], "a double, b int, c double, d double, `e.f` double").repartition(4)
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "e.f")]
+    got = {(x["a"], x["b"]): (x["n"], x["r"]) for x in stats.spearman(df, pairs).collect()}
+    for p in pairs:
+        n, rho = plain_spearman(rows, *p)
+        assert got[p][0] == n and got[p][1] == pytest.approx(rho, abs=1e-12), p
+
+
+def test_all_families_share_one_pass(spark, frame):
+    """One exchange counts the cells of all families; ranks come back to the rows without another one."""
+    found = stats.measure(frame, [("x", "up"), ("holey", "x")], [("x", "g"), ("up", "h")], [("g", "h")])
+    assert len(found.slots) == 4
+    assert stats.spearman_of(found, [("x", "up"), ("holey", "x")])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
+    assert {r["pair"] for r in stats.anova_of(found, [("x", "g"), ("up", "h")]).collect()} == {0, 1}
+    assert stats.cramers_of(found, [("g", "h")]).first()["complete"] == 400
+
+
 def test_pearson_constant_is_null(spark, frame):
     rows = {(r["a"], r["b"]): r["r"] for r in stats.pearson(frame, [("x", "flat"), ("x", "up")]).collect()}
     assert rows[("x", "flat")] is None and 0 < rows[("x", "up")] < 1
