@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,7 +219,7 @@ def _scan(codec: Codec, model: Model):
                     yield from container.closed()
                 base = container.docs
                 container.add_docs(names.slice(begin, CONTAINER_DOCS))
-                for portion in portions(_without_mark(some), PORTION_CHARS):
+                for portion in portions(some, PORTION_CHARS, without=MARK):
                     row = np.array([r for r, _ in portion], np.int64) + base
                     container.add(row, *aligner.align([t for _, t in portion]))
                 if container.held > CONTAINER_KEYS:
@@ -230,10 +229,6 @@ def _scan(codec: Codec, model: Model):
     return run
 
 
-def _without_mark(texts: pa.Array) -> pa.Array:
-    return pc.if_else(pc.match_substring(texts, MARK), pa.scalar(None, texts.type), texts)
-
-
 class Container:
     """Documents of a task that are counted together."""
 

@@ -162,13 +162,13 @@ class ChunkTable:
         return self.ids[spread(self.at[flat], size)], border
 
 
-def portions(texts: pa.Array, limit: int = PORTION_CHARS) -> Iterator[list[tuple[int, str]]]:
+def portions(texts: pa.Array, limit: int = PORTION_CHARS, without: str | None = None) -> Iterator[list[tuple[int, str]]]:
     """(row, part of its text) in lists of about ``limit`` characters.  A text gets a blank in front; long ones are cut at blanks
-    between letters.  Null and empty texts have no part."""
+    between letters.  Null and empty texts have no part, nor have those that hold ``without``."""
     held, size = [], 0
     for row in range(len(texts)):
         text = texts[row].as_py()
-        if not text:
+        if not text or (without and without in text):
             continue
         text = " " + text
         at = 0

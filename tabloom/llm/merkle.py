@@ -31,9 +31,9 @@ from pyspark.sql.window import Window
 
 from tabloom.llm.common import cut, quoted
 
-FAN = 8
+FAN_BITS = 3
+FAN = 1 << FAN_BITS
 BLOCK_LEVELS = 3
-BLOCK = FAN ** BLOCK_LEVELS
 BROADCAST_ROWS = 200_000  # offsets of partitions up to this many are sent everywhere, more are joined by a shuffle
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -114,10 +114,10 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return joined.withColumn("i", F.col("_offset") + F.col("place")).drop("task", "place", "_offset")
 
 
-def levels(n: int) -> int:
-    """Levels above ``n`` leaves, of those in one block."""
+def levels(n: int, most: int) -> int:
+    """Levels above ``n`` leaves, of the ``most`` in one block."""
     k = 0
-    while k < BLOCK_LEVELS and FAN ** k < n:
+    while k < most and FAN ** k < n:
         k += 1
     return k
 
@@ -195,33 +195,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[
         yield tree, block, list(own)
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
+def climbed(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """Rounds of (tree, i, n, digest): the given one, then block roots, until every tree has one node."""
+    size = FAN ** depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, block, rows in _blocks(batches):
             n = rows[0][3]
-            root = swept_up([r[4].hex().encode() for r in rows], levels(n))[-1][0]
+            root = swept_up([r[4].hex().encode() for r in rows], levels(n, depth))[-1][0]
             yield pa.RecordBatch.from_arrays([
-                pa.array([tree], pa.string()), pa.array([block], pa.int64()), pa.array([-(-n // BLOCK)], pa.int64()),
+                pa.array([tree], pa.string()), pa.array([block], pa.int64()), pa.array([-(-n // size)], pa.int64()),
                 pa.array([bytes.fromhex(root.decode())], pa.binary())], ["tree", "i", "n", "digest"])
 
     rounds = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        below = rounds[-1].select("tree", _block().alias("block"), "i", "n", "digest")
+        below = rounds[-1].select("tree", _block(depth).alias("block"), "i", "n", "digest")
         rounds.append(cut(
             below.repartition("tree", "block").sortWithinPartitions("tree", "block", "i").mapInArrow(run, "tree string, i long, n long, digest binary"),
             "tree-round"))
-        most = -(-most // BLOCK)
+        most = -(-most // size)
     return rounds
 
 
-def _block() -> Column:
-    return F.floor(F.col("i") / BLOCK).cast("long")
+def _block(depth: int) -> Column:
+    return F.shiftright("i", depth * FAN_BITS)
 
 
-def descended(rounds: list[DataFrame], tops: DataFrame, carry: list[str], finish: Callable, schema: str) -> DataFrame:
+def descended(rounds: list[DataFrame], depth: int, tops: DataFrame, carry: list[str], finish: Callable, schema: str) -> DataFrame:
     """Paths of the leaves, from (tree, i, path, subroot, root) of each tree's last node.
 
     ``finish`` makes a result row of (a leaf's carried columns, its digest, subroot, root, proof, chain).
@@ -233,20 +234,20 @@ def descended(rounds: list[DataFrame], tops: DataFrame, carry: list[str], finish
         none = lambda c, kind: F.lit(None).cast(kind).alias(c)
         above = parents.select("tree", F.col("i").alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("n"),
                                none("digest", "binary"), "path", "subroot", "root", *[none(f"_{c}", kinds[c]) for c in own])
-        below = nodes.select("tree", _block().alias("block"), "i", "n", "digest", *[none(c, "binary") for c in ("path", "subroot", "root")],
+        below = nodes.select("tree", _block(depth).alias("block"), "i", "n", "digest", *[none(c, "binary") for c in ("path", "subroot", "root")],
                              *[F.col(c).alias(f"_{c}") for c in own])
         rows = above.union(below).repartition("tree", "block").sortWithinPartitions("tree", "block", "i")
         if k == 0:
-            return rows.mapInArrow(_down(finish), schema)
-        parents = cut(rows.mapInArrow(_down(None), "tree string, i long, path binary, subroot binary, root binary"), "tree-paths")
+            return rows.mapInArrow(_down(finish, depth), schema)
+        parents = cut(rows.mapInArrow(_down(None, depth), "tree string, i long, path binary, subroot binary, root binary"), "tree-paths")
 
 
-def _down(finish: Callable | None):
+def _down(finish: Callable | None, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("tree", pa.string()), ("i", pa.int64()), *[(c, pa.binary()) for c in ("path", "subroot", "root")]])
         for tree, _, (top, *rows) in _blocks(batches):
             path, subroot, root = top[5:8]
-            nodes = swept_up([r[4].hex().encode() for r in rows], levels(rows[0][3]))
+            nodes = swept_up([r[4].hex().encode() for r in rows], levels(rows[0][3], depth))
             found = swept_down(nodes, *unpacked(path))
             if finish is None:
                 out = [(tree, r[2], packed(chain), subroot, root) for r, (_, chain) in zip(rows, found, strict=True)]
@@ -258,12 +259,13 @@ def _down(finish: Callable | None):
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", tree: str = "lang", fields: tuple[str, ...] = FIELDS,
-             tamper: Callable | None = None, with_proofs: bool = False) -> DataFrame:
+             tamper: Callable | None = None, with_proofs: bool = False, depth: int = BLOCK_LEVELS) -> DataFrame:
     """(key, leaf, subroot, root, proof_sha256, folded_root, verified), one row per row of ``docs``.
 
     A leaf is the digest of the row's fields, each ``-`` if null, else its length in bytes, a colon and its value.  ``tamper`` takes the
     key and the values of the fields and gives those that a leaf is checked with: ``folded_root`` is what follows from it and
     the siblings, ``verified`` whether that is the root.  ``with_proofs`` adds ``proof``, the siblings' digests in a row.
+    ``depth``: levels of a tree in one block.
 
     Nulls: a null key comes first in its tree; rows without a tree's value are a tree of their own, before all others.  Rows with
     equal keys are ordered by their leaves, equal rows in any order.  Empty and very long texts are values like others.  An
@@ -271,12 +273,12 @@ def manifest(docs: DataFrame, key: str = "doc_id", tree: str = "lang", fields: t
     """
     found = leaves(docs, key, tree, fields, tamper).withColumn("digest", F.col("leaf"))
     rows = numbered(found, ["id", "leaf", "row"]).drop("leaf", "row")
-    rounds = climbed(rows)
+    rounds = climbed(rows, depth)
     subroots = rounds[-1].select("tree", "digest")
 
     # the subroots are leaves of one more tree
     upper = numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("id"), "digest"), ["id"])
-    upper_rounds = climbed(upper)
+    upper_rounds = climbed(upper, depth)
     top = upper_rounds[-1].select("tree", "i", F.lit(b"").alias("path"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
 
     def of_tree(found: list) -> pa.RecordBatch:
@@ -284,7 +286,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", tree: str = "lang", fields: t
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["tree", "i", "path", "subroot", "root"])
 
-    tops = cut(descended(upper_rounds, top, ["id"], of_tree, "tree string, i long, path binary, subroot binary, root binary"), "subroots")
+    tops = cut(descended(upper_rounds, depth, top, ["id"], of_tree, "tree string, i long, path binary, subroot binary, root binary"), "subroots")
     kind = rows.schema["id"].dataType
     arrow_kind = to_arrow_type(kind)
 
@@ -299,4 +301,4 @@ def manifest(docs: DataFrame, key: str = "doc_id", tree: str = "lang", fields: t
         return pa.RecordBatch.from_arrays(columns if with_proofs else columns[:-1], names if with_proofs else names[:-1])
 
     schema = f"id {kind.simpleString()}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return descended(rounds, tops, ["id", "altered"], of_row, schema + (", proof string" if with_proofs else "")).withColumnsRenamed({"id": key})
+    return descended(rounds, depth, tops, ["id", "altered"], of_row, schema + (", proof string" if with_proofs else "")).withColumnsRenamed({"id": key})
