@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    alignment, bpe, chunk_table, embedding_dedup, fingerprint, merkle, minhash_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter,
+    alignment, bpe, chunk_table, embedding_dedup, fingerprint, merkle, minhash_dedup, oracle_sql, packing, quality, sharding, suffix_dedup, toxicity, url_filter,
 )
 from tabloom.llm.common import small_batches
 from tabloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": oracle_sql.OP3, "op10_embedding_dedup": oracle_sql.OP10, "op13_merkle": oracle_sql.OP13}
 SHARDS = 40
 
 
