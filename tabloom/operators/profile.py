@@ -125,7 +125,7 @@ def schema_sentences(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _with_first(df: DataFrame, column: str, out: str, rules, default: str) -> DataFrame:
-    """First rule, in order, whose keyword occurs in the lower-cased text: a projection that reads a text once."""
+    """First rule, in order, whose keyword occurs in the lower-cased text, which is read once; no shuffle."""
     return df.withColumn(out, first_match(F.lower(quoted_col(column)), rules, default))
 
 

@@ -41,7 +41,7 @@ def type_facts(df: DataFrame, columns: list[str] | None = None) -> list[dict]:
         if kinds[c] == "string":
             x = x.cast("string")
             shown = F.when(x.isNotNull(), F.xxhash64(x))
-            aggs += [F.approx_count_distinct(x).alias(f"d{i}"), F.avg(tx.word_count(x)).alias(f"w{i}")]
+            aggs += [F.approx_count_distinct(x).alias(f"d{i}"), F.avg(F.when(x.rlike(r"\s"), tx.word_count(x)).otherwise((x != "").cast("int"))).alias(f"w{i}")]
         else:
             shown = x
         if kinds[c] == "numeric":

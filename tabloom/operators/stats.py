@@ -158,8 +158,9 @@ def rank_table(found: Measured) -> tuple[DataFrame, dict[int, int]]:
 def _with_ranks(found: Measured) -> DataFrame:
     """One row per row of the table with a column ``rank<slot>`` for every slot.
 
-    Slots of up to ``BROADCAST_ROWS`` values get their ranks by broadcasts.  The cells of all other slots go through one
-    lookup together and come back to their rows by one shuffle, with the ranks that the row already has.
+    Slots of up to ``BROADCAST_ROWS`` values get their ranks by broadcasts.  One other slot is looked up from the rows; the
+    cells of several go through one lookup together and come back to their rows by one shuffle, with the ranks that the row
+    already has.
     """
     ranks, sizes = rank_table(found)
     small = [i for i in range(len(found.slots)) if sizes.get(i, 0) <= BROADCAST_ROWS]
@@ -170,6 +171,11 @@ def _with_ranks(found: Measured) -> DataFrame:
         rows = rows.join(F.broadcast(table), F.col(f"v{i}") == F.col(f"_v{i}"), "left")
     if not large:
         return rows.select(*[f"rank{i}" for i in small])
+    if len(large) == 1:  # nothing to bring together
+        i = large[0]
+        own = ranks.where(F.col("set") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"rank{i}"), "n")
+        narrow = rows.select(*[f"rank{k}" for k in small], f"v{i}")
+        return lookup(narrow, own, [f"v{i}"], [f"rank{i}"], own.agg(F.sum("n")).first()[0], sizes[i]).drop(f"v{i}")
     none = F.lit(None).cast("double")
     known = F.array(*[F.col(f"rank{i}") for i in small]).cast("array<double>")
     cells = [F.struct(F.lit(-1).alias("set"), none.alias("v"), known.alias("known"))]

@@ -25,7 +25,7 @@ def doubles(n=400, seed=3):
 def test_images_keep_the_order(spark):
     xs = doubles()
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = {r["x"]: r["i"] for r in df.select("x", selection.image_of(F.col("x")).alias("i")).collect()}
+    got = {r["x"]: r["i"] for r in selection.with_image(df, "x", "i").collect()}
     order = sorted(set(xs))
     images = [got[x] for x in order]
     assert images == sorted(set(images)), "images must grow with the values"
@@ -38,10 +38,11 @@ def skewed(n=3000, seed=3):
     return [5.0 if r.random() < 0.34 else (round(r.gauss(5, 3), 1) if r.random() < 0.5 else r.gauss(5, 30)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("bits, limit", [(10, 200_000), (4, 0)])
+@pytest.mark.parametrize("bits, limit", [(10, 200_000), (4, 0), (10, 40)])
 def test_quantiles(spark, monkeypatch, bits, limit):
     """Also with digits of four bits, so that the descent is deep, and with intervals joined by a shuffle."""
     monkeypatch.setattr(selection, "DIGIT_BITS", bits)
+    monkeypatch.setattr(selection, "FEW_ROWS", limit // 2)
     monkeypatch.setattr(ranking, "BROADCAST_ROWS", limit)
     xs = skewed(999)
     df = spark.createDataFrame([(x,) for x in xs] + [(None,)] * 5 + [(float("nan"),)], "n double")
@@ -50,7 +51,8 @@ def test_quantiles(spark, monkeypatch, bits, limit):
     assert row["n"] == 999
 
 
-def test_quantiles_over_all_sizes_of_numbers(spark):
+def test_quantiles_over_all_sizes_of_numbers(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW_ROWS", 0)
     xs = [x for x in doubles(300) if math.isfinite(x)]
     df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(3)
     row = selection.quantiles(df, "x", [0.0, 0.5, 1.0]).first()
@@ -68,7 +70,8 @@ def test_quantiles_per_group(spark):
 def test_what_a_pass_shuffles_does_not_depend_on_the_values(spark):
     """Two tables of one size, one of few and one of all distinct values, in as many digits."""
     def digits(expr):
-        rows = spark.range(200_000).select(F.lit(0).alias("g"), F.expr(expr).cast("double").alias("v")).withColumn("i", selection.image_of(F.col("v")))
+        rows = spark.range(200_000).select(F.lit(0).alias("g"), F.expr(expr).cast("double").alias("v"))
+        rows = selection.with_image(rows, "v", "i")
         ends = selection.ends(rows, ["g"], "i", "v").withColumns({"rank": F.lit(77), "left": F.lit(77)})
         met = rows.join(F.broadcast(ends.select("g", "lo", "hi")), "g").select(selection._digit("i").alias("d"))
         return met.distinct().count()
@@ -94,6 +97,7 @@ def test_box_of_a_hot_category(spark, monkeypatch, limit):
 def test_split_deepens_where_a_class_is_large(spark, monkeypatch, bits):
     """Digits of six bits force ten passes; the parts are those of a full sort."""
     monkeypatch.setattr(selection, "DIGIT_BITS", bits)
+    monkeypatch.setattr(selection, "FEW_ROWS", 100 - 10 * bits)
     rows = [(i, "hot" if i % 10 else "rare") for i in range(1500)] + [(5000, "one"), (5001, None)]
     df = spark.createDataFrame(rows, "k int, y string").repartition(5)
     got = classify.stratified_split(df, "y", ["k"])

@@ -54,12 +54,15 @@ def test_ranks_of_all_columns_by_broadcast_and_by_cells(spark, monkeypatch, limi
         x = 5.0 if i % 3 == 0 else r.gauss(0, 9)
         rows.append({"a": x, "b": round(x + r.gauss(0, 5)), "c": None if i % 4 == 0 else x * r.random(), "d": float("nan") if i % 5 == 0 else r.random(),
                      "e.f": math.inf if i % 50 == 0 else -x})
+    one_large = [("b", "a")]
     df = spark.createDataFrame([tuple(v.values()) for v in rows], "a double, b int, c double, d double, `e.f` double").repartition(4)
     pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "e.f")]
     got = {(x["a"], x["b"]): (x["n"], x["r"]) for x in stats.spearman(df, pairs).collect()}
     for p in pairs:
         n, rho = plain_spearman(rows, *p)
         assert got[p][0] == n and got[p][1] == pytest.approx(rho, abs=1e-12), p
+    # of two columns, one may have too many values for a broadcast
+    assert stats.spearman(df, one_large).first()["r"] == pytest.approx(plain_spearman(rows, "b", "a")[1], abs=1e-12)
 
 
 def test_all_families_share_one_pass(spark, frame):
