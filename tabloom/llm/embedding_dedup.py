@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its nearest reference points ("pivots") in order of nearness.  Vectors are found through inverted
-lists, one for each label and pivot; inside a list the number of shared pivots is counted and pairs that share enough are
-verified by their cosine in double precision.
+lists, one for each label and pivot: pairs that share a pivot or more are verified by their cosine in double precision, and
+every verified pair is a link.
 
 * Equal vectors of one label are one class with a weight, so copies cost one row.
 * A list is cut into blocks of ``BLOCK`` vectors and all pairs of blocks are worked on in tasks of their own.  A block pair gives
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import cut, quoted, streamed_groups
 from tabloom.llm.components import components
 
-SAMPLE, PIVOTS, NEAREST, SHARED = 1024, 256, 8, 2
+SAMPLE, PIVOTS, NEAREST = 1024, 256, 8
 APART = 0.9  # pivots have a smaller cosine than this
 BLOCK = 512
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-                 at_least: float = 0.98, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+                 at_least: float = 0.98, pivots: int = PIVOTS, nearest: int = NEAREST) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Rows are compared when their labels are equal and not null and their vectors have one length, and are linked with a
@@ -55,7 +55,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         rows.where("node IS NOT NULL").groupBy("node").agg(
             F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("id")),
         "vectors")
-    found = cut(_links(classes, at_least, pivots, nearest, shared), "vector-links")
+    found = cut(_links(classes, at_least, pivots, nearest), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b IS NOT NULL"))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -71,7 +71,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _links(classes: DataFrame, at_least: float, pivots: int, nearest: int, shared: int) -> DataFrame:
+def _links(classes: DataFrame, at_least: float, pivots: int, nearest: int) -> DataFrame:
     """(a, null, n): n other rows linked with class a; (a, b, null): links that connect all linked classes."""
     sample = classes.orderBy("node.h1", "node.h2").limit(max(SAMPLE, pivots)).select("v").collect()
     node = "struct<h1: long, h2: long>"
@@ -94,7 +94,7 @@ def _links(classes: DataFrame, at_least: float, pivots: int, nearest: int, share
     )
     return (
         paired.repartition("task").sortWithinPartitions("task")
-        .mapInArrow(_verified(at_least, shared), f"a {node}, b {node}, n long")
+        .mapInArrow(_verified(at_least), f"a {node}, b {node}, n long")
     )
 
 
@@ -144,7 +144,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _verified(at_least: float, shared: int):
+def _verified(at_least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed_groups(batches, ["task"], 2 * BLOCK):
             table = table.combine_chunks()
@@ -168,9 +168,8 @@ def _verified(at_least: float, shared: int):
                 x, y = np.nonzero(np.triu(linked))
                 if len(x):
                     common = (p[x][:, :, None] == p[y][:, None, :]).any(axis=2)
-                    least = np.where(common, p[x], np.iinfo(np.int32).max).min(axis=1)
-                    good = (common.sum(axis=1) >= min(shared, k)) & (least == pivot[begin])
-                    x, y = x[good], y[good]
+                    first = np.where(common, p[x], np.iinfo(np.int32).max).min(axis=1) == pivot[begin]
+                    x, y = x[first], y[first]
                 if not len(x):
                     continue
                 w = weight[own]
