@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ODD, SEPARATOR, lowered_hash, pieces, quoted, text_column, utf8, word_ranges
+from tabloom.llm.common import ODD, SEPARATOR, cut, lowered_hash, pieces, quoted, text_column, utf8, word_ranges
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 8_000
 BITS = 22
@@ -93,12 +93,14 @@ def word_sets(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tup
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[list[np.ndarray], list[np.ndarray], float]:
     """Word sets of toxic and of unlabelled documents, and the share of toxic ones among the labelled."""
-    told = labels.select(F.col("doc_id").alias("_id"), F.col("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL")
-    counts = told.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("int"))).first()
     rows = docs.select(docs[quoted(doc_id)].alias("_doc"), text_column(docs, text).alias("_text")).where("_doc IS NOT NULL")
+    told = labels.select(F.col("doc_id").alias("_doc"), F.col("toxic")).where("_doc IS NOT NULL AND toxic IS NOT NULL")
+    # labels of other documents say nothing about these
+    told = cut(told.join(rows.select("_doc"), "_doc", "left_semi"), "labels-of-documents")
+    counts = told.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("int"))).first()
     order = F.xxhash64("_doc", F.lit(SETTINGS_SEED))
     # the ids are chosen first: at most so many, so that only these texts are fetched
-    toxic = told.where("toxic = 1").select(F.col("_id").alias("_doc")).distinct().orderBy(order).limit(MOST_TOXIC)
+    toxic = told.where("toxic = 1").select("_doc").distinct().orderBy(order).limit(MOST_TOXIC)
     unlabelled = rows.select("_doc").distinct().orderBy(order).limit(MOST_UNLABELLED)
     out = []
     for chosen in (toxic, unlabelled):
@@ -122,7 +124,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     if not positive or not unlabelled:
         return Model(np.zeros(n_words), -5.0)
     prior = min(max(prior, 1e-4), 0.5)
-    often = _telling(positive, unlabelled, n_words)
+    often = _telling(positive, unlabelled, n_words, prior)
     names = np.flatnonzero(often)
     number = np.cumsum(often) - 1
     sides = []
@@ -177,13 +179,14 @@ def _decisive(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: n
     return names[own], np.log(share[own] / (1 - share[own]))
 
 
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int) -> np.ndarray:
+def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int, prior: float) -> np.ndarray:
     """Features that more positives hold than their share of unlabelled documents explains."""
     n_p, n_u = len(positive), len(unlabelled)
     p = np.bincount(np.concatenate(positive), minlength=n_words)
     u = (np.bincount(np.concatenate(unlabelled), minlength=n_words) + 0.5) / (n_u + 1)
     expected = n_p * u
-    return (p >= LEAST_DOCUMENTS) & (p >= LEAST_LIFT * expected) & (p - expected >= LEAST_Z * np.sqrt(expected * (1 - u)))
+    lift = min(LEAST_LIFT, 0.7 / prior)  # a word of toxic documents alone is 1 / prior times as frequent in them
+    return (p >= LEAST_DOCUMENTS) & (p >= lift * expected) & (p - expected >= LEAST_Z * np.sqrt(expected * (1 - u)))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -234,6 +234,17 @@ def test_toxicity_cases(spark):
     assert toxicity.scored(docs.where("false"), model).collect() == []
 
 
+@pytest.mark.parametrize("every", [2, 4, 10, 50])
+def test_labels_of_other_documents_take_no_place(spark, monkeypatch, every):
+    """Of the toxic labels only those of the documents at hand are counted, before so many are taken; half to a fiftieth are toxic."""
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 200)
+    rows = [(i, "a nice day " + ("idiot" if i % every == 0 else "flower") + f" w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % every == 0)) for i in range(400)] + [(i, 1) for i in range(1000, 6000)], "doc_id long, toxic int")
+    left = {r["doc_id"] for r in toxicity.harmless(docs, toxicity.trained(docs, labels)).collect()}
+    assert left == {i for i in range(400) if i % every}
+
+
 def test_non_negative_risk_does_not_collapse():
     rng = np.random.default_rng(1)
     row = lambda toxic: np.unique(np.append(rng.integers(100, 5000, 30), rng.integers(0, 8, 3) if toxic else []).astype(np.int64))
