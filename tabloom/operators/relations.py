@@ -353,3 +353,22 @@ def summary_lines(relations: DataFrame) -> DataFrame:
         "%d. %s ↔ %s | method=%s | effect=%.3f | p=%s | adj_p=%s",
         "ord", "_a", "_b", "method", "effect_size", "_p", "_q")
     return numbered.select("ord", line.alias("line"))
+
+
+# What stands before and after the lines of a summary.
+SUMMARY_HEAD = "Top relations (final selected):"
+SUMMARY_NOTES = (
+    "- Only high-quality relations (effect >= {effect:.2f}, adj_p <= {alpha:.2f}, min_points = {points}) are plotted.",
+    "- Parent-level reporting: engineered columns are used for calculation but outputs reference original CSV column names.",
+    "- Plots labels use prettified parent names (underscores removed, Title Case).",
+)
+
+
+def summary_document(relations: DataFrame, n_rows: int, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(ord, line) of the whole summary: a heading (0), the relations, a blank line, and notes on the thresholds."""
+    body = summary_lines(relations)
+    notes = [n.format(effect=cfg.min_effect, alpha=cfg.alpha, points=min_points(n_rows)) for n in SUMMARY_NOTES]
+    frame = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(line).alias("line")) for i, line in enumerate([SUMMARY_HEAD, "", "Notes:", *notes])])
+    # a single row, also where there is no relation
+    last = relations.agg(F.count(F.lit(1)).cast("int").alias("n")).select("n", F.inline(frame))
+    return body.unionByName(last.select(F.when(F.col("at") == 0, 0).otherwise(F.col("n") + F.col("at")).alias("ord"), "line"))

@@ -138,13 +138,21 @@ def candidate_rule() -> Column:
     return ~code_like & ((words >= 2.0) | F.col("keyword_signal"))
 
 
+def non_null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """Number of rows, and of present cells of each column; one scan that reads no values where the format knows them."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(quoted_col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
 def candidates(df: DataFrame, keys: list[str], vocabulary, skip: set[str] = frozenset(),
                cfg: Settings = DEFAULTS) -> DataFrame:
-    """Facts of every string column plus ``is_candidate``.  ``skip`` holds the
+    """Facts of every string column plus ``non_null_count`` and ``is_candidate``.  ``skip`` holds the
     columns profiled as datetime."""
     names = [c for c, k in physical_classes(df).items() if k == "string" and c not in skip]
     facts = sampled_text_facts(text_sample(df, keys, names, cfg), vocabulary, cfg)
-    return facts.withColumn("is_candidate", candidate_rule())
+    _, present = non_null_counts(df, names)
+    counts = F.create_map(*[F.lit(x) for pair in present.items() for x in pair])
+    return facts.withColumns({"non_null_count": counts[F.col("column")], "is_candidate": candidate_rule()})
 
 
 def opinion_gate(sample: DataFrame, scorer: Scorer, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -268,16 +276,17 @@ def enrich(df: DataFrame, keys: list[str], record: dict, scorer: Scorer | None =
     facts = sampled_text_facts(sample, vocabulary, cfg).withColumn("is_candidate", candidate_rule())
     gate = opinion_gate(sample, scorer, cfg)
     rows = {r["column"]: r for r in facts.join(F.broadcast(gate), "column").collect()}
+    n_rows, present = non_null_counts(df, names)
     chosen = []
     for c in names:
         r = rows.get(c)
         if r is None or not r["is_candidate"]:
             continue
-        meta["candidates"].append({k: r[k] for k in ("column", "avg_words", "unique_word_ratio", "keyword_signal")})
+        meta["candidates"].append({**{k: r[k] for k in ("column", "avg_words", "unique_word_ratio", "keyword_signal")}, "non_null_count": present[c]})
         found = {"column": c, "opinion_frac": r["opinion_frac"], "mean_conf": r["mean_conf"]}
         if r["passes"]:
             added = [f"{c}_sentiment", f"{c}_sentiment_num", f"{c}_sentiment_confidence"]
-            meta["analyzed"].append({**found, "added_columns": added})
+            meta["analyzed"].append({**found, "rows_processed": n_rows, "added_columns": added})
             chosen.append(c)
         else:
             meta["skipped"].append(found)

@@ -138,7 +138,7 @@ def analyze(df: DataFrame, keys: list[str], primary: str, secondary=(), task: st
     counts = sentiment.distribution(table, column) if column else None
     result = {
         "profile": profiled.table, "title": title.table, "cleaned": cleaned, "enriched": enriched, "features": table,
-        "relations": ranked, "selected": selected, "summary": relations.summary_lines(selected),
+        "relations": ranked, "selected": selected, "summary": relations.summary_document(selected, n_rows, cfg),
         "report": responses.report_facts(profiled.table, counts, selected),
     }
     if counts is not None:

@@ -405,6 +405,26 @@ def relation_summary_lines(spark, sf):
     return out.select(F.col("ord").cast("long").alias("ord"), "line")
 
 
+@query("relation_summary", f"""
+WITH k AS (SELECT count(*) AS m FROM ({_RANKED})), rows AS (SELECT count(*) AS n FROM lineitem)
+SELECT CAST(0 AS BIGINT) AS ord, 'Top relations (final selected):' AS line FROM k
+UNION ALL SELECT row_number() OVER (ORDER BY rank_score DESC, seq), format('{{}}. {{}} ↔ {{}} | method=pearson | effect={{:.3f}} | p={{:.3g}} | adj_p={{:.3g}}',
+    row_number() OVER (ORDER BY rank_score DESC, seq), a, b, effect_size, p_value, adj)
+  FROM (SELECT *, array_to_string(list_transform(string_split(parent_a, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a,
+               array_to_string(list_transform(string_split(parent_b, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS b FROM ({_RANKED}))
+UNION ALL SELECT m + 1, '' FROM k UNION ALL SELECT m + 2, 'Notes:' FROM k
+UNION ALL SELECT m + 3, '- Only high-quality relations (effect >= 0.15, adj_p <= 0.05, min_points = ' ||
+    (CASE WHEN n < 100 THEN greatest(10, CAST(floor(n * 0.1) AS BIGINT)) ELSE 50 END) || ') are plotted.' FROM k, rows
+UNION ALL SELECT m + 4, '- Parent-level reporting: engineered columns are used for calculation but outputs reference original CSV column names.' FROM k
+UNION ALL SELECT m + 5, '- Plots labels use prettified parent names (underscores removed, Title Case).' FROM k
+""")
+def relation_summary(spark, sf):
+    """The whole summary file."""
+    ranked = rl.rank(_derived_relations(spark, sf), "l_quantity", ["l_tax"])
+    out = rl.summary_document(ranked, table(spark, sf, "lineitem").count())
+    return out.select(F.col("ord").cast("long").alias("ord"), "line")
+
+
 @query("prettify", r"""
 SELECT p_name, regexp_replace(trim(replace(k, '_', ' ')), '^$', '') AS raw, pretty FROM (
   SELECT DISTINCT p_name, replace(p_name, ' ', '_') || '_(10)' AS k,

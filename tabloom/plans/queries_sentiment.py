@@ -107,7 +107,7 @@ _CANDIDATES = [
 
 
 @query("sentiment_candidates", union_sql([f"""
-SELECT '{c}' AS "column", round(aw, 6) AS avg_words, round(ur, 6) AS unique_word_ratio, kw AS keyword_signal,
+SELECT '{c}' AS "column", round(aw, 6) AS avg_words, round(ur, 6) AS unique_word_ratio, kw AS keyword_signal, (SELECT count({c}) FROM {t}) AS non_null_count,
        NOT (aw < 1.5 AND ur > 0.9) AND (aw >= 2 OR kw) AS is_candidate
 FROM (SELECT avg(len({words_sql('t')})) AS aw, {_ratio_sql(sample_sql(t, c, k))} AS ur,
              avg(CASE WHEN {hits_sql('t', VOCABULARY)} > 0 THEN 1.0 ELSE 0 END) > 0.01 AS kw FROM {sample_sql(t, c, k)})

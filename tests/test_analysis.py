@@ -25,7 +25,9 @@ def test_reviews_end_to_end(spark, tmp_path):
     assert {best["parent_a"], best["parent_b"]} == {"score", "content"}
     assert best["feature_b"] == "content_sentiment_num" and best["effect_size"] > 0.8 and best["method"] == "spearman"
     assert abs(best["rank_score"] - best["effect_size"] * 4) < 1e-6
-    assert got["summary"].count() == len(top) <= 2
+    lines = [r["line"] for r in got["summary"].orderBy("ord").collect()]
+    assert lines[0] == "Top relations (final selected):" and lines[1].startswith("1. ") and len(top) <= 2
+    assert lines[len(top) + 1:len(top) + 3] == ["", "Notes:"] and "(effect >= 0.15, adj_p <= 0.05, min_points = 50)" in lines[len(top) + 3] and len(lines) == len(top) + 6
     sections = {x["section"] for x in got["report"].collect()}
     assert sections == {"overview", "columns", "sentiment", "relations"}
     # a second run reads the finished stages back, whatever the order of rows; another input does not
