@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import cut
+from tabloom.operators.ranking import lookup
 
 JUMPS = 2
 
@@ -46,8 +47,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _follow(rows: DataFrame, up: DataFrame, column: str) -> DataFrame:
-    """Replaces a column by what it points to."""
-    to = up.select(F.col("_from").alias("_f"), F.col("_to").alias("_t"))
-    rest = [c for c in rows.columns if c != column]
-    return rows.join(to, rows[column] == to["_f"], "left").select(
-        *rest, F.coalesce(F.col("_t"), F.col(column)).alias(column)).select(*rows.columns)
+    """Replaces a column by what it points to.
+
+    Many rows may point to one node, as all members of a star do after a round.  Nodes with a thousandth of the rows or
+    more are looked up in a broadcast of at most a thousand of them, so no task receives what points to one node.
+    """
+    counts = rows.groupBy(F.col(column).alias("_from")).agg(F.count(F.lit(1)).alias("n"))
+    table = cut(up.withColumnRenamed("_to", "_next").join(counts, "_from").withColumnRenamed("_from", column), "followed")
+    total = table.agg(F.sum("n")).first()[0]
+    if not total:
+        return rows
+    found = lookup(rows, table, [column], ["_next"], total, None)
+    return found.withColumn(column, F.coalesce("_next", column)).select(*rows.columns)
