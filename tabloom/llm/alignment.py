@@ -100,13 +100,10 @@ class Aligner:
         text_of = np.repeat(np.arange(len(at_a) - 1), np.diff(at_a))
         wide = np.flatnonzero(links > WIDE_GROUP)
         times = np.diff(begin_b)
-        if len(wide):
-            times = times.copy()
-            times[wide] = 0
+        times[wide] = 0
         times = times[group_a]
         other = b[spread(begin_b[group_a], times)]
-        keys = [_key(np.repeat(a, times), other, np.repeat(text_of, times))]
-        keys, number = np.unique(keys[0], return_counts=True)
+        keys, number = np.unique(_key(np.repeat(a, times), other, np.repeat(text_of, times)), return_counts=True)
         parts, numbers = [keys], [number.astype(np.int64)]
         for g in wide:
             own_a, m_a = np.unique(a[begin_a[g]:begin_a[g + 1]], return_counts=True)
@@ -240,7 +237,7 @@ class Container:
         self.docs, self.held = 0, 0
         self.names: list[pa.Array] = []
         self.facts: list[np.ndarray] = []
-        self.digest: dict[int, hashlib._Hash] = {}
+        self.digest: dict[int, object] = {}
         self.keys: list[np.ndarray] = []
         self.numbers: list[np.ndarray] = []
 
