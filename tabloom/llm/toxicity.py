@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ODD, SEPARATOR, cut, lowered_hash, pieces, quoted, text_column, utf8, word_ranges
+from tabloom.llm.common import ODD, SEPARATOR, cut, lowered_hash, mixed, pieces, quoted, text_column, utf8, word_ranges
 
 MOST_TOXIC, MOST_UNLABELLED = 4_000, 8_000
 BITS = 22
 WHOLE = 1 << (BITS - 1)  # set in features that are whole words
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 DECISIVE, SUREST = 0.5, 0.99  # share of toxic documents among those with a word that decides alone, and the most that is taken for it
+WITNESSES, DECISIVE_GROUPS = 8, 0.3  # groups of like toxic documents that such a word needs, and the share that is toxic among groups
 LEAST_DOCUMENTS, LEAST_LIFT, LEAST_Z = 5, 4.0, 6.0  # of features: toxic documents, ratio of shares, standard deviations
 STEPS, BATCH, RATE, DECAY = 1500, 1024, 0.05, 1e-5
 SETTINGS_SEED = 11
@@ -170,15 +171,34 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
 
 def _decisive(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Whole words of which most unlabelled documents must be toxic, and the log odds that each gives."""
+    """Whole words of which most unlabelled documents must be toxic, and the log odds that each gives.
+
+    Copies and near copies of a document are one witness: a word of one large group of copies would else pass for toxic.  So a
+    word needs ``WITNESSES`` groups of positives, and has to be telling among groups, too.
+    """
     names = names[(names & WHOLE) != 0]
-    p, u = (np.isin(np.concatenate(rows), names) for rows in (positive, unlabelled))
-    p, u = (np.bincount(np.searchsorted(names, np.concatenate(rows)[own]), minlength=len(names)) for rows, own in ((positive, p), (unlabelled, u)))
+    (p, p_groups, n_p), (u, u_groups, n_u) = (_held(rows, names) for rows in (positive, unlabelled))
     share = np.minimum(prior * (p / len(positive)) / ((u + 0.5) / (len(unlabelled) + 1)), SUREST)
-    own = share >= DECISIVE
+    of_groups = prior * (p_groups / n_p) / ((u_groups + 0.5) / (n_u + 1))
+    own = (share >= DECISIVE) & (p_groups >= WITNESSES) & (of_groups >= DECISIVE_GROUPS)
     return names[own], np.log(share[own] / (1 - share[own]))
 
 
+def _held(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """How many documents, and how many groups of like documents, hold each word; and the number of groups.
+
+    Documents are alike that have the same least feature under one random order, as near copies mostly have.
+    """
+    word, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    least = np.array([mixed(r.astype(np.uint64) + ODD[0]).min() if len(r) else 0 for r in rows], np.uint64)
+    groups, group = np.unique(least, return_inverse=True)
+    place = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
+    own = names[place] == word if len(names) else np.zeros(len(word), bool)
+    place, of = place[own], np.repeat(group, size)[own]
+    pairs = np.unique(place * len(groups) + of)
+    return np.bincount(place, minlength=len(names)), np.bincount(pairs // len(groups), minlength=len(names)), len(groups)
+
+
 def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int, prior: float) -> np.ndarray:
     """Features that more positives hold than their share of unlabelled documents explains."""
     n_p, n_u = len(positive), len(unlabelled)
