@@ -35,9 +35,9 @@ from tabloom.llm.components import components
 from tabloom.operators.ranking import lookup
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
-DEPTHS = (8, 16, 32)   # how many of the nearest pivots may describe a vector
+DEPTHS = (8, 16, 32, 64)   # how many of the nearest pivots may describe a vector
 PASSING = 0.005        # the smallest depth is taken at which fewer unlinked pairs are candidates
-LOST = 0.0005          # border cases that may share fewer pivots than are asked for
+LOST = 0.001          # border cases that may share fewer pivots than are asked for
 TURNED = 4000          # border cases measured
 MOST_LISTS = 128       # lists of a vector, beyond which lists are named by one pivot
 BLOCK = 512

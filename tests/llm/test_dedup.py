@@ -154,3 +154,48 @@ def test_vector_recall(spark):
     assert total > 1000
     assert sum(min(got[r[0]], r[1]) for r in want) >= 0.97 * total
     assert all(got[r[0]] <= r[1] for r in want)
+
+
+def test_vector_index_in_a_narrow_cone(spark):
+    """Vectors of mean cosine 0.95, with planted pairs just beyond the border: few pairs are candidates, and links are found."""
+    rng = np.random.default_rng(12)
+    spread = rng.normal(size=(1500, 64))
+    spread[:, 0] = 0
+    base = np.sqrt(0.05) * embedding_dedup.unit(spread)
+    base[:, 0] = np.sqrt(0.95)
+    away = base[500:1000] - base[1000:]
+    away -= (away * base[:500]).sum(axis=1, keepdims=True) * base[:500]
+    v = np.concatenate([base, 0.9803 * base[:500] + np.sqrt(1 - 0.9803 ** 2) * embedding_dedup.unit(away)])
+    cosine = v @ v.T
+    assert 0.94 < cosine[:1500, :1500].mean() < 0.96
+    r = embedding_dedup.reference_points(v.tolist(), 256, 0.98)[64]
+    held = np.zeros((len(v), len(r.pivots)))
+    np.put_along_axis(held, np.argsort(-(v @ r.pivots.T), axis=1)[:, :r.depth], 1, axis=1)
+    candidates = np.triu(held @ held.T >= r.shared, 1)
+    assert candidates.sum() < 0.05 * len(v) * (len(v) - 1) / 2
+    wanted = np.triu(cosine >= 0.98, 1)
+    assert wanted.sum() >= 500 and candidates[wanted].mean() > 0.995
+
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = sum(r["n_links"] for r in embedding_dedup.near_vectors(df).collect())
+    assert 0.995 * 2 * wanted.sum() < got <= 2 * wanted.sum()
+
+
+def test_vector_candidates_by_both_ways(monkeypatch):
+    """Counting by products and by bits finds the same pairs, in the list of their two smallest shared pivots only."""
+    rng = np.random.default_rng(3)
+    near = np.sort(np.argsort(rng.random((150, 12)), axis=1)[:, :6], axis=1).astype(np.int16)
+    members = [(a, b, np.flatnonzero((near == a).any(axis=1) & (near == b).any(axis=1))) for b in range(12) for a in range(b)]
+    table = pa.table({
+        "task": np.concatenate([np.full(len(m), 12 * a + b) for a, b, m in members]),
+        "last": np.concatenate([np.full(len(m), b, np.int16) for _, b, m in members]),
+        "node": np.concatenate([m for *_, m in members]), "near": pa.array([near[i] for *_, m in members for i in m], pa.list_(pa.int16())),
+        **{c: np.full(sum(len(m) for *_, m in members), v) for c, v in [("left", True), ("right", True), ("place", 1), ("dim", 3)]}})
+    node = np.asarray(table["node"])
+    wanted = sorted((i, j) for j in range(150) for i in range(j) if len(set(near[i]) & set(near[j])) >= 3)
+    for dense in (2, 30, 10**6):
+        monkeypatch.setattr(embedding_dedup.Tasks, "DENSE", dense)
+        monkeypatch.setattr(embedding_dedup.Tasks, "PAIRS", 100)
+        got = [(int(node[i]), int(node[j])) for x, y in embedding_dedup.Tasks(table, {3: (3, 2)}, 12).candidates() for i, j in zip(x, y)]
+        assert sorted(got) == wanted
