@@ -38,6 +38,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.unionByName(self_linked.join(labels, "node", "left_anti").withColumn("root", F.col("node")))
 
 
+def of_root(nodes: DataFrame, values: DataFrame, take: list[str]) -> DataFrame:
+    """``nodes`` with columns of ``values``, which has one row per root with its number ``n`` of nodes.  A root with very many
+    nodes is looked up in a broadcast, so no task receives all of them."""
+    values = cut(values, "roots")
+    return lookup(nodes, values, ["root"], take, values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], None)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     return (

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ODD, cut, mixed, quoted, signed, streamed_groups
-from tabloom.llm.components import components
+from tabloom.llm.components import components, of_root
 from tabloom.operators.ranking import lookup
 
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
@@ -82,9 +82,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b IS NOT NULL"))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = (
-        named.join(smallest, "root").join(counts, "node", "left")
+        of_root(named, smallest, ["component_id"]).join(counts, "node", "left")
         .select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     out = rows.select("id", "node").join(of_class, "node", "left")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ODD, cut, mixed, quoted, shingle_sets, signed, streamed_groups, text_column
-from tabloom.llm.components import components
+from tabloom.llm.components import components, of_root
 
 PERMUTATIONS, BAND = 50, 5
 BANDS = 2 * PERMUTATIONS // BAND
@@ -41,6 +41,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     never the smallest while another one is there, and a component of null ids has a null component and keeps nothing.
     An empty table gives an empty result; other columns are not looked at.
     """
+    signed_docs, found = _grouped(docs, doc_id, text, percent)
+    smallest = found.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = of_root(found, smallest, ["component_id"]).select("node", "component_id")
+    out = signed_docs.select("id", "n", "node").join(of_class, "node", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component of ``near_duplicates`` stays.
+
+    It is the row with the smallest id and, among texts on one id, the smallest hash; a null id comes last.  Ids decide
+    nothing else: two texts on one id are kept or dropped each for itself.  Rows whose texts are null or hold no words stay,
+    one for each id and text, and all of them where the id is null.  An empty table gives an empty result.
+    """
+    signed_docs, found = _grouped(docs, doc_id, text, percent)
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one")
+    stay = found.groupBy("root").agg(one).select("one.id", "one.key", F.lit(False).alias("alone")).unionByName(
+        signed_docs.where("n = 0").select("id", "key", F.col("id").isNull().alias("alone")).distinct())
+    named = lambda id, key: [id.isNull().alias("none"), F.coalesce(id.cast("string"), F.lit("")).alias("name"), key.alias("key")]
+    keys = ["none", "name", "key"]
+    rows = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), *named(docs[quoted(doc_id)], F.xxhash64(text_column(docs, text))))
+    kept = rows.join(stay.select(*named(F.col("id"), F.col("key")), "alone"), keys)
+    return kept.where("NOT alone").dropDuplicates(keys).unionByName(kept.where("alone")).select("row.*")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (node, id, key, root) of each distinct set: its first row and its component."""
     ids = docs.select(F.col(quoted(doc_id)).alias("id"), text_column(docs, text).alias("text"))
     signed_docs = cut(signatures(ids), "minhash")
     some = signed_docs.where("n > 0")
@@ -49,19 +79,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"), F.first("bands").alias("bands"))
         .select("node", "least.id", "least.key", "bands"),
         "minhash-classes")
-    links = verified_links(ids, classes, percent)
-    roots = components(links)
-    found = (
-        classes.select("node", "id").join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
-    smallest = found.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = found.select("node", "root").join(smallest, "root").select("node", "component_id")
-    out = signed_docs.select("id", "n", "node").join(of_class, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    roots = components(verified_links(ids, classes, percent))
+    return signed_docs, classes.select("node", "id", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def signatures(ids: DataFrame) -> DataFrame:

@@ -23,14 +23,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
-
-    Of repeated rows one stays.  Rows without an id have no document to stand for them and all stay.
-    """
+    """One row of each group of near-duplicates stays, as ``minhash_dedup.without_near_duplicates`` says, which also names
+    what nulls, empty texts and repeated rows give."""
     small_batches(spark)
-    kept = minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(
-        docs.where("doc_id IS NULL"))
+    return minhash_dedup.without_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

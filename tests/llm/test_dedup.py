@@ -12,7 +12,7 @@ from brute import repeats as plain_repeats
 from brute import roots
 from conftest import SF
 from tabloom.llm import components as cc
-from tabloom.llm import embedding_dedup, minhash_dedup, suffix_dedup
+from tabloom.llm import embedding_dedup, minhash_dedup, stages, suffix_dedup
 from tabloom.llm.common import utf8
 
 
@@ -199,3 +199,17 @@ def test_vector_candidates_by_both_ways(monkeypatch):
         monkeypatch.setattr(embedding_dedup.Tasks, "PAIRS", 100)
         got = [(int(node[i]), int(node[j])) for x, y in embedding_dedup.Tasks(table, {3: (3, 2)}, 12).candidates() for i, j in zip(x, y)]
         assert sorted(got) == wanted
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, two texts on one id, repeated rows, texts without words and columns with names of the operator's own."""
+    words = [f"w{i}" for i in range(60)]
+    long, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words))
+    rows = [(3, long), (1, near), (1, other), (1, near), (None, long), (None, long), (None, "a b"), (None, "a b"), (7, other),
+            (8, None), (8, None), (9, ""), (None, ""), (None, None), (4, "c d"), (4, "c d")]
+    df = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "doc_id long, text string, key int, row int").repartition(3)
+    got = stages.near_duplicate_filter(spark, df, "")
+    assert got.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key)
+    assert got == sorted([(1, near), (1, other), (None, "a b"), (8, None), (9, ""), (None, ""), (None, None), (4, "c d")], key=key)
+    assert stages.near_duplicate_filter(spark, df.limit(0), "").collect() == []
