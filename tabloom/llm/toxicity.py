@@ -92,46 +92,97 @@ def word_sets(column: pa.Array, known: np.ndarray | None = None) -> Iterator[tup
         yield first, last, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Word sets of toxic and of unlabelled documents, and the share of toxic ones among the labelled."""
+@dataclass(frozen=True)
+class Side:
+    """Documents of one kind: the telling features of each, flat and with borders, and the group of like documents of each."""
+
+    words: np.ndarray
+    at: np.ndarray
+    group: np.ndarray
+    groups: int
+
+    def held(self, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many documents, and how many groups of like documents, hold each feature."""
+        of = np.repeat(self.group, np.diff(self.at))
+        pairs = np.unique(self.words * self.groups + of)
+        return np.bincount(self.words, minlength=n_words), np.bincount(pairs // max(self.groups, 1), minlength=n_words)
+
+
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[np.ndarray, Side, Side, float]:
+    """Telling features, those of toxic and of unlabelled documents by their numbers, and the share of toxic ones among the labelled.
+
+    Features are counted on the cluster, so that of a document's features only telling ones reach the driver.
+    """
     rows = docs.select(docs[quoted(doc_id)].alias("_doc"), text_column(docs, text).alias("_text")).where("_doc IS NOT NULL")
     told = labels.select(F.col("doc_id").alias("_doc"), F.col("toxic")).where("_doc IS NOT NULL AND toxic IS NOT NULL")
     # labels of other documents say nothing about these
     told = cut(told.join(rows.select("_doc"), "_doc", "left_semi"), "labels-of-documents")
     counts = told.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("int"))).first()
+    prior = min(max((counts[1] or 0) / max(counts[0], 1), 1e-4), 0.5)
     order = F.xxhash64("_doc", F.lit(SETTINGS_SEED))
     # the ids are chosen first: at most so many, so that only these texts are fetched
     toxic = told.where("toxic = 1").select("_doc").distinct().orderBy(order).limit(MOST_TOXIC)
     unlabelled = rows.select("_doc").distinct().orderBy(order).limit(MOST_UNLABELLED)
-    out = []
-    for chosen in (toxic, unlabelled):
-        texts = rows.join(F.broadcast(chosen), "_doc", "left_semi")
-        lists = texts.mapInArrow(_words, "words array<int>").toArrow()["words"].combine_chunks()
-        words, at = np.asarray(lists.flatten()).astype(np.int64), np.cumsum(np.asarray(lists.value_lengths()))
-        out.append(np.split(words, at[:-1]) if len(at) else [])
-    return out[0], out[1], (counts[1] or 0) / max(counts[0], 1)
+    sides = [cut(rows.join(F.broadcast(chosen), "_doc", "left_semi").mapInArrow(_words, "words array<int>, least long"), "word-sets")
+             for chosen in (toxic, unlabelled)]
+    n_p, n_u = (side.count() for side in sides)
+    p, u = (side.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias(n)) for side, n in zip(sides, "pu", strict=True))
+    held = p.where(F.col("p") >= LEAST_DOCUMENTS).join(u, "word", "left").na.fill(0, ["u"]).toArrow()
+    word, p, u = (held[c].to_numpy() for c in ("word", "p", "u"))
+    names = np.sort(word[_telling(p, u, n_p, n_u, prior)]).astype(np.int64)
+    return names, *(_fetched(side, names) for side in sides), prior
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of each document and, by which like documents are known, the least of them under one random order."""
     for batch in batches:
         for first, last, document, word in word_sets(batch.column("_text")):
             at = np.searchsorted(document, np.arange(last - first + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(word.astype(np.int32)))], ["words"])
+            least = np.zeros(last - first, np.uint64)
+            some = at[1:] > at[:-1]
+            if some.any():
+                least[some] = np.minimum.reduceat(mixed(word.astype(np.uint64) + ODD[0]), at[:-1][some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(at, pa.array(word.astype(np.int32))), pa.array(least.view(np.int64))], ["words", "least"])
+
+
+def _fetched(side: DataFrame, names: np.ndarray) -> Side:
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            word, at = np.asarray(lists.flatten()), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            number = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
+            own = names[number] == word if len(names) else np.zeros(len(word), bool)
+            kept = np.append(0, np.cumsum(own))[at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(kept, pa.array(number[own].astype(np.int32))), batch.column("least")], ["words", "least"])
+
+    table = side.mapInArrow(telling, "words array<int>, least long").toArrow().combine_chunks()
+    lists = table["words"].combine_chunks()
+    groups, group = np.unique(table["least"].to_numpy(), return_inverse=True)
+    return Side(np.asarray(lists.flatten()).astype(np.int64), np.append(0, np.cumsum(np.asarray(lists.value_lengths()))).astype(np.int64), group, len(groups))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Linear model by the non-negative risk estimator; without positives every score is low."""
-    n_words = 1 << BITS
-    if not positive or not unlabelled:
-        return Model(np.zeros(n_words), -5.0)
+    """Model of features that are at hand, one array of distinct ones for each document."""
     prior = min(max(prior, 1e-4), 0.5)
-    often = _telling(positive, unlabelled, n_words, prior)
-    names = np.flatnonzero(often)
-    number = np.cumsum(often) - 1
+    p, u = (np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS) for rows in (positive, unlabelled))
+    names = np.flatnonzero(_telling(p, u, len(positive), len(unlabelled), prior))
     sides = []
     for rows in (positive, unlabelled):
-        kept = [number[r[often[r]]] for r in rows]
-        sides.append((np.concatenate([*kept, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(k) for k in kept])])))
+        kept = [np.searchsorted(names, r[np.isin(r, names)]) for r in rows]
+        least = [mixed(r.astype(np.uint64) + ODD[0]).min() if len(r) else 0 for r in rows]
+        groups, group = np.unique(np.array(least, np.uint64), return_inverse=True)
+        sides.append(Side(np.concatenate([np.zeros(0, np.int64), *kept]), np.append(0, np.cumsum([len(k) for k in kept])).astype(np.int64), group, len(groups)))
+    return fitted(names, *sides, prior)
+
+
+def fitted(names: np.ndarray, positive: Side, unlabelled: Side, prior: float) -> Model:
+    """Linear model by the non-negative risk estimator; without positives every score is low."""
+    n_words = 1 << BITS
+    if not len(positive.group) or not len(unlabelled.group):
+        return Model(np.zeros(n_words), -5.0)
+    sides = [(side.words, side.at) for side in (positive, unlabelled)]
     weight, bias = np.zeros(len(names)), -1.0
     moment, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     rng = np.random.default_rng(SETTINGS_SEED)
@@ -170,40 +221,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Model(whole, float(bias), *_decisive(positive, unlabelled, names, prior))
 
 
-def _decisive(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def _decisive(positive: Side, unlabelled: Side, names: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Whole words of which most unlabelled documents must be toxic, and the log odds that each gives.
 
     Copies and near copies of a document are one witness: a word of one large group of copies would else pass for toxic.  So a
     word needs ``WITNESSES`` groups of positives, and has to be telling among groups, too.
     """
-    names = names[(names & WHOLE) != 0]
-    (p, p_groups, n_p), (u, u_groups, n_u) = (_held(rows, names) for rows in (positive, unlabelled))
-    share = np.minimum(prior * (p / len(positive)) / ((u + 0.5) / (len(unlabelled) + 1)), SUREST)
-    of_groups = prior * (p_groups / n_p) / ((u_groups + 0.5) / (n_u + 1))
-    own = (share >= DECISIVE) & (p_groups >= WITNESSES) & (of_groups >= DECISIVE_GROUPS)
+    (p, p_groups), (u, u_groups) = positive.held(len(names)), unlabelled.held(len(names))
+    n_p, n_u = len(positive.group), len(unlabelled.group)
+    share = np.minimum(prior * (p / n_p) / ((u + 0.5) / (n_u + 1)), SUREST)
+    of_groups = prior * (p_groups / positive.groups) / ((u_groups + 0.5) / (unlabelled.groups + 1))
+    own = ((names & WHOLE) != 0) & (share >= DECISIVE) & (p_groups >= WITNESSES) & (of_groups >= DECISIVE_GROUPS)
     return names[own], np.log(share[own] / (1 - share[own]))
 
 
-def _held(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """How many documents, and how many groups of like documents, hold each word; and the number of groups.
-
-    Documents are alike that have the same least feature under one random order, as near copies mostly have.
-    """
-    word, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    least = np.array([mixed(r.astype(np.uint64) + ODD[0]).min() if len(r) else 0 for r in rows], np.uint64)
-    groups, group = np.unique(least, return_inverse=True)
-    place = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
-    own = names[place] == word if len(names) else np.zeros(len(word), bool)
-    place, of = place[own], np.repeat(group, size)[own]
-    pairs = np.unique(place * len(groups) + of)
-    return np.bincount(place, minlength=len(names)), np.bincount(pairs // len(groups), minlength=len(names)), len(groups)
-
-
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int, prior: float) -> np.ndarray:
+def _telling(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
     """Features that more positives hold than their share of unlabelled documents explains."""
-    n_p, n_u = len(positive), len(unlabelled)
-    p = np.bincount(np.concatenate(positive), minlength=n_words)
-    u = (np.bincount(np.concatenate(unlabelled), minlength=n_words) + 0.5) / (n_u + 1)
+    u = (u + 0.5) / (n_u + 1)
     expected = n_p * u
     lift = min(LEAST_LIFT, 0.7 / prior)  # a word of toxic documents alone is 1 / prior times as frequent in them
     return (p >= LEAST_DOCUMENTS) & (p >= lift * expected) & (p - expected >= LEAST_Z * np.sqrt(expected * (1 - u)))
@@ -238,4 +272,4 @@ def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Model of the toxic ones among the labelled documents.  Without any, every score is low."""
-    return fit(*sample(docs, labels, doc_id, text))
+    return fitted(*sample(docs, labels, doc_id, text))
