@@ -13,15 +13,18 @@ _CORRUPT = "_tabloom_record"
 
 
 def _kinds(spark: SparkSession, path: str) -> DataFrame:
-    """(file, valid, wrapped, header): whether all lines are UTF-8, whether a quoted value may hold a line break, and the
-    first line.  Lines are read in a splittable scan and combined per file."""
+    """(file, valid, wrapped, header): whether all lines are UTF-8, whether a quoted value may hold a line break, and 128 bits
+    of hash that name the first line.  Lines are read in a splittable scan and combined per file; as states are of fixed
+    length, no task has to sort its lines for that."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
         F.monotonically_increasing_id().alias("at"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.when(F.col("block") == 0, F.col("at"))
     return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("wrapped"),
-        F.min_by("value", F.when(F.col("block") == 0, F.col("at"))).alias("header"))
+        F.min_by(F.xxhash64("value"), first).alias("high"), F.min_by(F.xxhash64(F.lit(1), "value"), first).alias("low"),
+    ).select("file", "valid", "wrapped", F.concat_ws("-", "high", "low").alias("header"))
 
 
 def _header(spark: SparkSession, file: str, encoding: str, sep: str) -> list[str]:

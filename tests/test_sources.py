@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import profile as pf
+from tabloom.plans import queries_profile as qp
 from tabloom.sources import csv, store
 
 MESSY = 'a,b,a\n1,é,3\n2,x\n3,x,y,\n4,x,y,z\n"5\n5",NA,"q""z,w"\n6,,n/a\n'
@@ -127,3 +128,37 @@ def test_csv_files_with_other_headers(spark, tmp_path):
     (tmp_path / "f" / "3.csv").write_text("c,a\n6,5\n")
     rows = {tuple(r) for r in csv.read_csv(spark, str(tmp_path / "f")).select("a", "b", "c").collect()}
     assert rows == {("1", "2", None), ("3", "4", None), ("5", None, "6")}
+
+
+def test_kinds_of_files_are_found_without_sorting_lines(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "1.csv").write_text('a,b\n1,"2\n"\n')
+    (tmp_path / "f" / "2.csv").write_bytes("a,b\né,4\n".encode("latin-1"))
+    (tmp_path / "f" / "3.csv").write_text("b,a\n4,3\n")
+    found = csv._kinds(spark, str(tmp_path / "f"))
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r["file"][-5]: r for r in found.collect()}
+    assert [(rows[f]["valid"], rows[f]["wrapped"]) for f in "123"] == [(True, True), (False, False), (True, False)]
+    assert rows["1"]["header"] == rows["2"]["header"] != rows["3"]["header"]
+
+
+def test_messy_files_grow_in_number_and_lines_are_made_last(spark, tmp_path):
+    """Rows for which the shuffle partitions alone would make too few files, and one of each kind of line."""
+    n = 16_384
+    rows = spark.range(n).selectExpr(
+        "id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey",
+        "element_at(array('MACHINERY', 'BUILDING', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE'), CAST(IF(id < 5, id, 3 + id % 3 % 2) + 1 AS INT)) AS c_mktsegment")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = qp.csv_tolerant_read(spark, str(tmp_path))
+        assert len(got.inputFiles()) == 8  # two headers
+        cells = {r["c_custkey"]: tuple(r)[1:] for r in got.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(cells) == n - 2 and not {"1", "2"} & set(cells)
+    assert cells["0"] == ("c0", None, None) and cells["3"] == ("c3", "HOUSEHOLD", None)
+    assert cells["4"] == ('Doe, "c4"\né', "FURNITURE", "4") and cells["7"] == ('Doe, "c7"\né', "FURNITURE", "7")
+    plan = qp.messy_lines(rows, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS value" in plan and "AS value" not in plan[plan.index("Sort ["):]
